@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glidepath.constants import EMERGENCY_EVENTS, FIELD_ELEV_FT, SQUAWK_EVENTS
 from glidepath.functions.geo import circular_spread
+from glidepath.functions.numbers import settled
 from glidepath.operators.slices import SLICE_S, interval_join, two_level
 
 SQUAWKS = list(SQUAWK_EVENTS)
@@ -55,13 +56,13 @@ def _track_extents(cond: Column) -> tuple[dict[str, Column], dict[str, Column]]:
 
 
 def _spread() -> Column:
-    return F.round(circular_spread(_mean("_c_cos", "_c_n"), _mean("_c_sin", "_c_n")), 2)
+    return settled(circular_spread(_mean("_c_cos", "_c_n"), _mean("_c_sin", "_c_n")), 2)
 
 
 def _box(per_degree: float, digits: int) -> tuple[Column, Column]:
     ns = (F.col("_lat_hi") - F.col("_lat_lo")) * per_degree
     ew = (F.col("_lon_hi") - F.col("_lon_lo")) * per_degree * F.cos(F.radians(_mean("_c_lat", "_c_n")))
-    return F.round(ns, digits), F.round(ew, digits)
+    return settled(ns, digits), settled(ew, digits)
 
 
 def segment_summary(tracks: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
@@ -111,10 +112,10 @@ def holding(summary: DataFrame, min_n: int = 8, min_spread: float = 0.5, max_box
         .select(
             "seg_id", "icao", "callsign", "ac_type", "apt_icao", F.col("_c_n").alias("n_reports"),
             F.col("_first").alias("first_ts"), F.col("_last").alias("last_ts"),
-            F.round(_mean("_c_alt", "_c_alt_n")).alias("mean_alt_ft"),
-            F.round(_mean("_c_dist", "_c_dist_n"), 1).alias("mean_dist_nm"),
-            F.round(_mean("_c_lat", "_c_n"), 4).alias("approx_lat"),
-            F.round(_mean("_c_lon", "_c_n"), 4).alias("approx_lon"),
+            settled(_mean("_c_alt", "_c_alt_n")).alias("mean_alt_ft"),
+            settled(_mean("_c_dist", "_c_dist_n"), 1).alias("mean_dist_nm"),
+            settled(_mean("_c_lat", "_c_n"), 4).alias("approx_lat"),
+            settled(_mean("_c_lon", "_c_n"), 4).alias("approx_lon"),
             ns.alias("ns_nm"), ew.alias("ew_nm"), _spread().alias("heading_spread"))
         .where((F.col("n_reports") >= min_n) & (F.col("heading_spread") >= min_spread) & (F.col("ns_nm") <= max_box_nm)
                & (F.col("ew_nm") <= max_box_nm) & (F.col("mean_dist_nm") <= max_dist_nm))
@@ -132,9 +133,9 @@ def orbits(silver: DataFrame, min_n: int = 25, min_speed_kt: float = 120, min_sp
     return (
         summary.select(
             "icao", "callsign", "ac_type", F.col("_c_n").alias("pings"),
-            F.round(_mean("_c_gs", "_c_gs_n")).alias("avg_speed_kt"), F.round(_mean("_c_alt", "_c_alt_n")).alias("avg_alt_ft"),
+            settled(_mean("_c_gs", "_c_gs_n")).alias("avg_speed_kt"), settled(_mean("_c_alt", "_c_alt_n")).alias("avg_alt_ft"),
             ns.alias("ns_km"), ew.alias("ew_km"), _spread().alias("heading_spread"),
-            F.round(_mean("_c_lat", "_c_n"), 3).alias("approx_lat"), F.round(_mean("_c_lon", "_c_n"), 3).alias("approx_lon"))
+            settled(_mean("_c_lat", "_c_n"), 3).alias("approx_lat"), settled(_mean("_c_lon", "_c_n"), 3).alias("approx_lon"))
         .where((F.col("pings") >= min_n) & (F.col("avg_speed_kt") >= min_speed_kt)
                & (F.col("heading_spread") >= min_spread) & (F.col("ns_km") <= max_box_km) & (F.col("ew_km") <= max_box_km))
     )
@@ -150,7 +151,7 @@ def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
         summary.where(F.col("_f_n") > 0)
         .select(
             "seg_id", "icao", "callsign", "ac_type", "apt_icao",
-            F.coalesce("_f_ground", "_f_air").alias("touchdown_ts"), F.round("_f_dist", 2).alias("min_dist_nm"),
+            F.coalesce("_f_ground", "_f_air").alias("touchdown_ts"), settled("_f_dist", 2).alias("min_dist_nm"),
             F.col("_f_alt").alias("min_alt_ft"), F.col("_f_descents").alias("descent_reports"),
             F.col("_f_n").alias("n_short_final"))
         .where((F.col("min_dist_nm") < 6) & (F.col("min_alt_ft") <= elev_ft + 2000) & (F.col("descent_reports") >= 1)
@@ -172,7 +173,7 @@ def _emergencies(tracks: DataFrame, landed: DataFrame) -> DataFrame:
         landed.where(F.col("emergency_ts").isNotNull())
         .join(words, "seg_id", "left")
         .withColumns({"kind": F.lit("emergency"), "event_ts": F.col("emergency_ts"),
-                      "dist_nm": F.round("min_dist", 1), "alt_ft": F.col("max_alt").cast("double"),
+                      "dist_nm": settled("min_dist", 1), "alt_ft": F.col("max_alt").cast("double"),
                       "detail": detail, "confidence": F.lit(1.0)})
     )
 
@@ -210,7 +211,7 @@ def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_E
         landed.join(go_around_climbs(tracks, summary, elev_ft, slice_s), "seg_id")
         .where(F.col("td_ts").isNull()
                | (F.unix_micros("td_ts") > F.unix_micros("climb_ts") + F.lit(min_after_climb_s * 1_000_000)))
-        .withColumns({"kind": F.lit("go_around"), "event_ts": F.col("climb_ts"), "dist_nm": F.round("min_dist", 1),
+        .withColumns({"kind": F.lit("go_around"), "event_ts": F.col("climb_ts"), "dist_nm": settled("min_dist", 1),
                       "alt_ft": F.col("max_alt").cast("double"),
                       "detail": F.lit("approached < 5 nm then climbed out"), "confidence": F.lit(0.6)})
     )
@@ -258,7 +259,7 @@ def live_flags(tracks: DataFrame, apt: str, fresh_min: int = 20, lookback_min: i
                                  F.col("heading_spread").cast("string")).alias("detail"))))
     return (
         now.withColumn("_flag", F.explode(F.filter(rules, lambda r: r.isNotNull())))
-        .select("apt_icao", "icao", "callsign", "ac_type", "snapshot_ts", F.round("dist_to_apt_nm", 1).alias("dist_to_apt_nm"),
+        .select("apt_icao", "icao", "callsign", "ac_type", "snapshot_ts", settled("dist_to_apt_nm", 1).alias("dist_to_apt_nm"),
                 "alt_ft", "gs_kt", "lat", "lon", "_flag.kind", "_flag.severity", "_flag.detail")
     )
 

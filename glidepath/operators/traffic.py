@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glidepath.constants import EMERGENCY_EVENTS, SQUAWK_EVENTS
 from glidepath.functions.geo import hex_cell
+from glidepath.functions.numbers import settled
 
 
 def ring(dist="dist_to_apt_nm", rings=(40, 100)) -> Column:
@@ -36,9 +37,9 @@ def congestion(tracks: DataFrame, rings=(40, 100)) -> DataFrame:
     )
     return per_aircraft.groupBy(*keys).agg(
         F.count("icao").alias("n_aircraft"), F.sum("_in").alias("n_inbound"),
-        F.round(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("mean_alt_ft"),
-        F.round(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("mean_gs_kt"),
-        F.round(F.try_divide(F.sum("_eta"), F.sum("_eta_n")), 1).alias("mean_eta_min"))
+        settled(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("mean_alt_ft"),
+        settled(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("mean_gs_kt"),
+        settled(F.try_divide(F.sum("_eta"), F.sum("_eta_n")), 1).alias("mean_eta_min"))
 
 
 def common_ring_inbound(congested: DataFrame, rings=("00-40", "40-100")) -> DataFrame:
@@ -59,7 +60,7 @@ def kpis(silver: DataFrame, tracks: DataFrame, holds: DataFrame, td: DataFrame)
     landed = td.agg(F.count(F.lit(1)).alias("touchdowns_in_window"))
     span = (F.unix_seconds("as_of_ts") - F.unix_seconds("_from")) / 60.0
     return seen.crossJoin(now).crossJoin(held).crossJoin(landed).select(
-        "as_of_ts", F.round(span, 1).alias("window_minutes"), "aircraft_seen", "inbound_now", "holding_now",
+        "as_of_ts", settled(span, 1).alias("window_minutes"), "aircraft_seen", "inbound_now", "holding_now",
         "touchdowns_in_window")
 
 
@@ -72,7 +73,7 @@ def fleet_kpis(silver: DataFrame) -> DataFrame:
 
     totals = silver.agg(
         F.count_if(fix).alias("position_reports"),
-        F.round(F.try_divide(F.count_if(F.col("alt_ft") > 0), F.count_if(fix)) * 100, 1).alias("pct_airborne"),
+        settled(F.try_divide(F.count_if(F.col("alt_ft") > 0), F.count_if(fix)) * 100, 1).alias("pct_airborne"),
         F.min("snapshot_ts").alias("window_start"), F.max("snapshot_ts").alias("window_end"))
     per_icao = silver.groupBy("icao").agg(
         F.max(F.when(fix, 1).otherwise(0)).alias("_fix"), F.max(F.when(flagged, 1).otherwise(0)).alias("_em"))
@@ -90,9 +91,9 @@ def by_group(silver: DataFrame, keys: dict[str, Column], speed: bool = False, al
         F.sum("gs_kt").alias("_gs"), F.count("gs_kt").alias("_gs_n"))
     aggs = [F.count("icao").alias("aircraft"), F.sum("_n").alias("position_reports")]
     if altitude:
-        aggs.append(F.round(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("avg_alt_ft"))
+        aggs.append(settled(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("avg_alt_ft"))
     if speed:
-        aggs.append(F.round(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("avg_ground_speed_kt"))
+        aggs.append(settled(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("avg_ground_speed_kt"))
     return fine.groupBy(*keys).agg(*aggs)
 
 
@@ -134,7 +135,7 @@ def special_squawks(silver: DataFrame) -> DataFrame:
         rows.groupBy(*keys).agg(
             F.bool_or("has_position").alias("has_position"), F.min("snapshot_ts").alias("first_seen"),
             F.max("snapshot_ts").alias("last_seen"), F.count(F.lit(1)).alias("pings"),
-            F.round(F.avg("lat"), 3).alias("approx_lat"), F.round(F.avg("lon"), 3).alias("approx_lon"))
+            settled(F.avg("lat"), 3).alias("approx_lat"), settled(F.avg("lon"), 3).alias("approx_lon"))
         .withColumn("event_type", text.otherwise(F.concat(F.lit("Emergency: "), F.col("emergency"))))
         .withColumn("confidence", F.when(seen & F.col("callsign").isNotNull() & ~F.col("icao").startswith("~"), "high")
                     .when(seen | F.col("callsign").isNotNull(), "medium").otherwise("low"))

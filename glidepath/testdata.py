@@ -17,6 +17,18 @@ from glidepath.operators.tracks import enrich_tracks, point_features
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, start of the events table
 
 
+def _once(view):
+    """Builds a view's plan once per session and folder. Only the plan is kept, never its rows."""
+    plans: dict[tuple[str, str], DataFrame] = {}
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = (spark.sparkContext.applicationId, sf_dir)
+        if at not in plans:
+            plans[at] = view(spark, sf_dir)
+        return plans[at]
+    return build
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +79,7 @@ _REPORT = {
 }
 
 
+@_once
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver-shaped position reports: typed columns plus the point-wise features."""
     reports = spark.sql(_KINEMATICS, d=_instants(spark, sf_dir)).selectExpr(*[f"{e} AS {n}" for n, e in _REPORT.items()])
@@ -74,9 +87,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_features(reports.withColumns({"apt_lat": F.lit(AIRPORT_LAT), "apt_lon": F.lit(AIRPORT_LON)}))
 
 
-def tracks(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return enrich_tracks(positions(spark, sf_dir), **kw)
+@_once
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich_tracks(positions(spark, sf_dir))
 
 
+@_once
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.segment_summary(tracks(spark, sf_dir), FIELD_ELEV_FT)

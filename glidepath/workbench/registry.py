@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glidepath.functions.numbers import settled
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -41,7 +43,7 @@ def flat(df: DataFrame, digits: int = 6) -> DataFrame:
         elif isinstance(field.dataType, T.BooleanType):
             c = c.cast("int")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = settled(c.cast("double"), digits)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("bigint")
         out.append(c.alias(field.name))
