@@ -183,6 +183,6 @@ def incremental_tracks(silver: DataFrame, cutoff, lookback_s: int, **kw) -> Data
     near = enrich_tracks(silver.where(ts >= begin), **kw)
     reach = F.timestamp_seconds(F.unix_seconds(begin) + F.lit(kw.get("max_gap_s", 180) + kw.get("vrate_gap_s", 600)))
     open_keys = near.where((F.col("seg_start_ts") < reach) & (ts >= cutoff)).select("icao").distinct()
-    settled = near.where(ts >= cutoff).join(open_keys, "icao", "left_anti")
+    closed = near.where(ts >= cutoff).join(open_keys, "icao", "left_anti")
     reopened = enrich_tracks(silver.join(open_keys, "icao", "left_semi"), **kw).where(ts >= cutoff)
-    return settled.unionByName(reopened)
+    return closed.unionByName(reopened)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glidepath.constants import AIRPORT, AIRPORT_LAT, AIRPORT_LON, FIELD_ELEV_FT
-from glidepath.operators import events, traffic
+from glidepath.operators import demand, events, features, traffic
 from glidepath.operators.tracks import enrich_tracks, point_features
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, start of the events table
@@ -95,3 +95,70 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.segment_summary(tracks(spark, sf_dir), FIELD_ELEV_FT)
+
+
+@_once
+def touchdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.touchdowns(summary(spark, sf_dir))
+
+
+@_once
+def irregularities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.irregularities(tracks(spark, sf_dir), summary(spark, sf_dir))
+
+
+@_once
+def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic.common_ring_inbound(traffic.congestion(tracks(spark, sf_dir)))
+
+
+def _run(ts: str):
+    """Start of the ten-minute run a time belongs to."""
+    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 600) * 600)
+
+
+@_once
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring runs every ten minutes: the newest inbound report of each aircraft, with the
+    naive estimate as the prediction."""
+    moving = tracks(spark, sf_dir).where(F.col("inbound_flag") & (F.col("gs_kt") > 40))
+    cols = ["callsign", "ac_type", "apt_icao", "snapshot_ts", "lat", "lon", "dist_to_apt_nm", "alt_ft", "gs_kt", "vrate_fpm", "phase"]
+    newest = (moving.groupBy("icao", _run("snapshot_ts").alias("scored_at"))
+              .agg(F.max_by(F.struct(*cols), "snapshot_ts").alias("r")).select("icao", "scored_at", "r.*"))
+    eta = features.naive_eta()
+    arrive = F.timestamp_seconds(F.unix_seconds("snapshot_ts") + F.floor(eta * 60))
+    return newest.withColumns({"model_version": F.lit(1).cast("bigint"), "predicted_eta_min": eta, "predicted_touchdown_ts": arrive})
+
+
+@_once
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag runs: each irregular segment in the run of its event."""
+    return irregularities(spark, sf_dir).select(
+        _run("event_ts").alias("scored_at"), "apt_icao", "icao", "callsign", "ac_type", "kind",
+        F.when(F.col("kind") == "holding", 2).otherwise(3).alias("severity"), F.col("dist_nm").alias("dist_to_apt_nm"), "alt_ft",
+        "detail", F.col("event_ts").alias("snapshot_ts"))
+
+
+@_once
+def demand_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day frame of the real event times, taken as landings."""
+    landings = table(spark, sf_dir, "events").select(F.lit(AIRPORT).alias("apt_icao"), F.col("ts").cast("timestamp").alias("touchdown_ts"))
+    return demand.day_frame(demand.demand_series(landings))
+
+
+@_once
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forecast at every scoring run, from the detected landings and the event profile."""
+    moments = predictions(spark, sf_dir).select(F.col("apt_icao").alias("series"), "scored_at").distinct()
+    asked = demand.score_requests(touchdowns(spark, sf_dir), moments)
+    return demand.forecast(asked, demand.profile(demand_frame(spark, sf_dir)))
+
+
+@_once
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.arrival_training_set(tracks(spark, sf_dir), touchdowns(spark, sf_dir), inbound(spark, sf_dir))
+
+
+@_once
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.training_rows(arrivals(spark, sf_dir), touchdowns(spark, sf_dir))

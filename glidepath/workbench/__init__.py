@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
-from glidepath.workbench import core, demand  # noqa: F401
+from glidepath.workbench import core, demand, points  # noqa: F401
 from glidepath.workbench.registry import QUERIES, SQL  # noqa: F401
