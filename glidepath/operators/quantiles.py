@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000,
-                    few_groups: bool = False) -> DataFrame:
+                    few_groups: bool = False, at_index: bool = False) -> DataFrame:
     """`keys, n, q` where `q` is the array of linearly interpolated quantiles of `value` at `probs`.
 
     A first pass brackets each quantile with an approximate one, whose rank error is known. The
     second pass counts what lies below each bracket and ranks only the distinct values inside it,
     about 4 / `accuracy` of a group. Null and NaN values are ignored; a group without any other
     value is absent. `few_groups` says that the keys come from a short fixed list, such as the
-    model's features; only then is the one-row-per-group table broadcast.
+    model's features; only then is the one-row-per-group table broadcast. `at_index` takes the
+    element at index int(p * n) of the sorted values instead of interpolating.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     eps = 2.0 / accuracy
@@ -39,7 +40,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)))
     )
-    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1) * (F.col("n") - 1)
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    last = (F.col("n") - 1).cast("double")
+    at = F.least(F.floor(prob * F.col("n")).cast("double"), last) if at_index else prob * last
     per_prob = (around.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
                 .withColumns({"_pos": at, "_base": F.get("_below", F.col("_i"))})
                 .withColumns({"_k0": F.floor("_pos") - F.col("_base"), "_k1": F.ceil("_pos") - F.col("_base")}))
