@@ -30,7 +30,7 @@ def _sections(text: str) -> Iterator[tuple[str, str]]:
 
 
 def _pieces(body: str, fits) -> Iterator[str]:
-    """Paragraphs; one that does not fit comes line by line, a longer line cut to the limit."""
+    """Paragraphs; one that does not fit comes line by line."""
     for para in map(str.strip, _BLANK.split(body)):
         if fits(para):
             if para:
@@ -48,8 +48,9 @@ def passages_of(name: str, text: str, max_words: int, max_chars: int, min_words:
         source = f"{name} §{heading}" if heading else name
         held, words, chars = [], 0, 0
         packed = []
-        for piece in _pieces(body, fits):
-            piece = piece[:max_chars]
+        # a line over the limit is cut into consecutive pieces, so no text is lost
+        cut = (line[i:i + max_chars] for line in _pieces(body, fits) for i in range(0, len(line), max_chars))
+        for piece in cut:
             n = len(piece.split())
             if held and (words + n > max_words or chars + 2 + len(piece) > max_chars):
                 packed.append((words, held))
