@@ -96,30 +96,36 @@ def segment_summary(tracks: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFram
         "seg_end_ts": ts,
         "squawk_code": F.when(F.col("squawk").isin(SQUAWKS), F.col("squawk").try_cast("int")),
     }
-    return two_level(tracks, ["seg_id"], ["icao", "callsign", "ac_type", "apt_icao"], sums, mins, maxs)
+    words = {"emergency_word": F.when(has_emergency_field(), F.col("emergency"))}
+    return two_level(tracks, ["seg_id"], ["icao", "callsign", "ac_type", "apt_icao"], sums, mins, maxs, words)
 
 
 def _climbing_out(elev_ft: int) -> Column:
     return (F.col("alt_ft") > elev_ft + 3500) & (F.col("vrate_fpm") > 300) & (F.col("dist_to_apt_nm") > 7)
 
 
+def _circling_measures() -> dict[str, Column]:
+    ns, ew = _box(60, 1)
+    return {
+        "n_reports": F.col("_c_n"), "first_ts": F.col("_first"), "last_ts": F.col("_last"),
+        "mean_alt_ft": settled(_mean("_c_alt", "_c_alt_n")), "mean_dist_nm": settled(_mean("_c_dist", "_c_dist_n"), 1),
+        "approx_lat": settled(_mean("_c_lat", "_c_n"), 4), "approx_lon": settled(_mean("_c_lon", "_c_n"), 4),
+        "ns_nm": ns, "ew_nm": ew, "heading_spread": _spread(),
+    }
+
+
+def _holds(min_n: int, min_spread: float, max_box_nm: float, max_dist_nm: float) -> Column:
+    return ((F.col("n_reports") >= min_n) & (F.col("heading_spread") >= min_spread) & (F.col("ns_nm") <= max_box_nm)
+            & (F.col("ew_nm") <= max_box_nm) & (F.col("mean_dist_nm") <= max_dist_nm))
+
+
 def holding(summary: DataFrame, min_n: int = 8, min_spread: float = 0.5, max_box_nm: float = 15,
             max_dist_nm: float = 80) -> DataFrame:
     """Circling segments: headings spread over the compass inside a small box."""
-    ns, ew = _box(60, 1)
-    return (
-        summary.where(F.col("_c_n") > 0)
-        .select(
-            "seg_id", "icao", "callsign", "ac_type", "apt_icao", F.col("_c_n").alias("n_reports"),
-            F.col("_first").alias("first_ts"), F.col("_last").alias("last_ts"),
-            settled(_mean("_c_alt", "_c_alt_n")).alias("mean_alt_ft"),
-            settled(_mean("_c_dist", "_c_dist_n"), 1).alias("mean_dist_nm"),
-            settled(_mean("_c_lat", "_c_n"), 4).alias("approx_lat"),
-            settled(_mean("_c_lon", "_c_n"), 4).alias("approx_lon"),
-            ns.alias("ns_nm"), ew.alias("ew_nm"), _spread().alias("heading_spread"))
-        .where((F.col("n_reports") >= min_n) & (F.col("heading_spread") >= min_spread) & (F.col("ns_nm") <= max_box_nm)
-               & (F.col("ew_nm") <= max_box_nm) & (F.col("mean_dist_nm") <= max_dist_nm))
-    )
+    measures = _circling_measures()
+    rows = summary.where(F.col("_c_n") > 0).withColumns(measures)
+    return rows.where(_holds(min_n, min_spread, max_box_nm, max_dist_nm)).select(
+        "seg_id", "icao", "callsign", "ac_type", "apt_icao", *measures)
 
 
 def orbits(silver: DataFrame, min_n: int = 25, min_speed_kt: float = 120, min_spread: float = 0.5,
@@ -141,40 +147,26 @@ def orbits(silver: DataFrame, min_n: int = 25, min_speed_kt: float = 120, min_sp
     )
 
 
-def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
-    """Landings: the first ground report near the field, else the last airborne report on final.
+def _with_landing(summary: DataFrame, elev_ft: int) -> DataFrame:
+    """Adds the landing gates to the segment row: `touchdown_ts` is null where nothing landed.
 
     The distance is rounded before it is compared; the published rows depend on that.
     """
-    confirmed = (F.col("min_dist_nm") < 3) & (F.col("min_alt_ft") <= elev_ft + 500)
-    return (
-        summary.where(F.col("_f_n") > 0)
-        .select(
-            "seg_id", "icao", "callsign", "ac_type", "apt_icao",
-            F.coalesce("_f_ground", "_f_air").alias("touchdown_ts"), F.round("_f_dist", 2).alias("min_dist_nm"),
-            F.col("_f_alt").alias("min_alt_ft"), F.col("_f_descents").alias("descent_reports"),
-            F.col("_f_n").alias("n_short_final"))
-        .where((F.col("min_dist_nm") < 6) & (F.col("min_alt_ft") <= elev_ft + 2000) & (F.col("descent_reports") >= 1)
-               & F.col("touchdown_ts").isNotNull())
-        .withColumn("touchdown_confidence", F.when(confirmed, "confirmed").otherwise("inferred"))
-    )
+    near, low = F.round("_f_dist", 2), F.col("_f_alt")
+    at = F.coalesce("_f_ground", "_f_air")
+    landed = (F.col("_f_n") > 0) & (near < 6) & (low <= elev_ft + 2000) & (F.col("_f_descents") >= 1)
+    return summary.withColumns({"min_dist_nm": near, "touchdown_ts": F.when(landed, at)})
 
 
-_FLAG_COLUMNS = ["seg_id", "icao", "callsign", "ac_type", "apt_icao", "kind", "event_ts", "dist_nm", "alt_ft",
-                 "landed", "detail", "confidence"]
-
-
-def _emergencies(tracks: DataFrame, landed: DataFrame) -> DataFrame:
-    words = two_level(tracks.where(has_emergency_field()), ["seg_id"], [],
-                      maxs={"_word": F.col("emergency")})
-    detail = F.concat_ws(" ", F.concat(F.lit("squawk="), F.col("squawk_code").cast("string")),
-                         F.concat(F.lit("emergency="), F.col("_word")))
+def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
+    """Landings: the first ground report near the field, else the last airborne report on final."""
+    confirmed = (F.col("min_dist_nm") < 3) & (F.col("_f_alt") <= elev_ft + 500)
     return (
-        landed.where(F.col("emergency_ts").isNotNull())
-        .join(words, "seg_id", "left")
-        .withColumns({"kind": F.lit("emergency"), "event_ts": F.col("emergency_ts"),
-                      "dist_nm": F.round("min_dist", 1), "alt_ft": F.col("max_alt").cast("double"),
-                      "detail": detail, "confidence": F.lit(1.0)})
+        _with_landing(summary, elev_ft).where(F.col("touchdown_ts").isNotNull())
+        .select(
+            "seg_id", "icao", "callsign", "ac_type", "apt_icao", "touchdown_ts", "min_dist_nm", F.col("_f_alt").alias("min_alt_ft"),
+            F.col("_f_descents").alias("descent_reports"), F.col("_f_n").alias("n_short_final"),
+            F.when(confirmed, "confirmed").otherwise("inferred").alias("touchdown_confidence"))
     )
 
 
@@ -191,32 +183,35 @@ def go_around_climbs(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD
 
 def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_ELEV_FT,
                    min_after_climb_s: int = 240, slice_s: int = SLICE_S) -> DataFrame:
-    """Emergency, holding and go-around segments in one table, with whether the segment landed."""
-    td = touchdowns(summary, elev_ft).select("seg_id", F.col("touchdown_ts").alias("td_ts"))
-    landed = summary.join(td, "seg_id", "left").withColumn("landed", F.when(F.col("td_ts").isNotNull(), 1).otherwise(0))
-    emergency = _emergencies(tracks, landed)
-    holds = (
-        holding(summary).where((F.col("mean_alt_ft") >= 6000) & F.col("mean_dist_nm").between(5, 60)
-                               & (F.col("n_reports") >= 10))
-        .join(td, "seg_id", "left")
-        .withColumns({
-            "kind": F.lit("holding"), "event_ts": F.col("first_ts"), "dist_nm": F.col("mean_dist_nm"),
-            "alt_ft": F.col("mean_alt_ft").cast("double"),
-            "landed": F.when(F.col("td_ts").isNotNull(), 1).otherwise(0),
-            "detail": F.format_string("racetrack, %d reports, heading spread %s", "n_reports",
-                                      F.col("heading_spread").cast("string")),
-            "confidence": F.least(F.lit(1.0), F.col("heading_spread") + 0.2)})
-    )
-    around = (
-        landed.join(go_around_climbs(tracks, summary, elev_ft, slice_s), "seg_id")
-        .where(F.col("td_ts").isNull()
-               | (F.unix_micros("td_ts") > F.unix_micros("climb_ts") + F.lit(min_after_climb_s * 1_000_000)))
-        .withColumns({"kind": F.lit("go_around"), "event_ts": F.col("climb_ts"), "dist_nm": F.round("min_dist", 1),
-                      "alt_ft": F.col("max_alt").cast("double"),
-                      "detail": F.lit("approached < 5 nm then climbed out"), "confidence": F.lit(0.6)})
+    """Emergency, holding and go-around segments in one table, with whether the segment landed.
+
+    All rules read one segment row and give up to three flags from it, so the segments are
+    aggregated once and only go-around candidates look at single reports again.
+    """
+    rows = _with_landing(summary, elev_ft).withColumns(_circling_measures())
+    rows = rows.join(go_around_climbs(tracks, summary, elev_ft, slice_s), "seg_id", "left")
+    landed = F.col("touchdown_ts").isNotNull()
+    after = F.unix_micros("touchdown_ts") > F.unix_micros("climb_ts") + F.lit(min_after_climb_s * 1_000_000)
+    dist, alt = F.round("min_dist", 1), F.col("max_alt").cast("double")
+    emergency_text = F.concat_ws(" ", F.concat(F.lit("squawk="), F.col("squawk_code").cast("string")),
+                                 F.concat(F.lit("emergency="), F.col("emergency_word")))
+    hold_text = F.format_string("racetrack, %d reports, heading spread %s", "n_reports", F.col("heading_spread").cast("string"))
+    plausible = (_holds(10, 0.5, 15, 60) & (F.col("mean_alt_ft") >= 6000) & (F.col("mean_dist_nm") >= 5))
+
+    def flag(kind: str, at, d, a, text, sure) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(at).alias("event_ts"), d.alias("dist_nm"), a.alias("alt_ft"),
+                        text.alias("detail"), sure.alias("confidence"))
+    flags = F.array_compact(F.array(
+        F.when(F.col("emergency_ts").isNotNull(), flag("emergency", "emergency_ts", dist, alt, emergency_text, F.lit(1.0))),
+        F.when(plausible, flag("holding", "first_ts", F.col("mean_dist_nm"), F.col("mean_alt_ft"), hold_text,
+                               F.least(F.lit(1.0), F.col("heading_spread") + 0.2))),
+        F.when(F.col("climb_ts").isNotNull() & (~landed | after),
+               flag("go_around", "climb_ts", dist, alt, F.lit("approached < 5 nm then climbed out"), F.lit(0.6)))))
+    return (
+        rows.withColumn("_f", F.explode(flags))
+        .select("seg_id", "icao", "callsign", "ac_type", "apt_icao", "_f.kind", "_f.event_ts", "_f.dist_nm", "_f.alt_ft",
+                F.when(landed, 1).otherwise(0).alias("landed"), "_f.detail", "_f.confidence")
     )
-    return (emergency.select(_FLAG_COLUMNS).unionByName(holds.select(_FLAG_COLUMNS))
-            .unionByName(around.select(_FLAG_COLUMNS)))
 
 
 def within_latest(df: DataFrame, ts: str, minutes: float, latest_of: DataFrame | None = None) -> DataFrame:

@@ -27,31 +27,30 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         held = rows.crossJoin(F.broadcast(brackets))  # a single row
     else:
         held = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
-    lo, hi = [F.col("_marks")[i] for i in range(m)], [F.col("_marks")[m + i] for i in range(m)]
-    v = F.col("_v")
-    around = held.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.array(*[F.count_if(v < lo[i]) for i in range(m)]).alias("_below"),
-        F.array(*[F.max(F.when(v < lo[i], v)) for i in range(m)]).alias("_prev"),
-        F.array(*[F.min(F.when(v > hi[i], v)) for i in range(m)]).alias("_next"))
-    inside = F.filter(F.array(*[F.when((v >= lo[i]) & (v <= hi[i]), F.lit(i)) for i in range(m)]), lambda i: i.isNotNull())
+    edge = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(
+        i.alias("_i"), F.get("_marks", i).alias("_lo"), F.get("_marks", i + m).alias("_hi")))
+    # one row per value and quantile, reduced before it is shuffled
+    each = held.select(*keys, "_v", "n", F.inline(edge))
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    around = each.groupBy(*keys, "_i").agg(
+        F.max("n").alias("n"), F.count_if(v < lo).alias("_below"), F.max(F.when(v < lo, v)).alias("_prev"),
+        F.min(F.when(v > hi, v)).alias("_next"))
     ranked = (
-        held.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        each.where((v >= lo) & (v <= hi)).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)))
     )
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
     last = (F.col("n") - 1).cast("double")
     at = F.least(F.floor(prob * F.col("n")).cast("double"), last) if at_index else prob * last
-    per_prob = (around.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-                .withColumns({"_pos": at, "_base": F.get("_below", F.col("_i"))})
-                .withColumns({"_k0": F.floor("_pos") - F.col("_base"), "_k1": F.ceil("_pos") - F.col("_base")}))
+    per_prob = (around.withColumn("_pos", at)
+                .withColumns({"_k0": F.floor("_pos") - F.col("_below"), "_k1": F.ceil("_pos") - F.col("_below")}))
     joined = per_prob.join(ranked, [*keys, "_i"], "left")
     first_upto = F.col("_upto") - F.col("_c")
 
     def pick(k: str):
         within = F.max(F.when((F.col(k) >= first_upto) & (F.col(k) < F.col("_upto")), F.col("_v")))
-        outside = F.max(F.when(F.col(k) < 0, F.get("_prev", F.col("_i"))).otherwise(F.get("_next", F.col("_i"))))
+        outside = F.max(F.when(F.col(k) < 0, F.col("_prev")).otherwise(F.col("_next")))
         return F.coalesce(within, outside)
 
     one = joined.groupBy(*keys, "_i").agg(F.max("n").alias("n"), F.max("_pos").alias("_pos"), pick("_k0").alias("_a"),

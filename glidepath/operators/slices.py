@@ -64,19 +64,23 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread
 
 
 def two_level(df: DataFrame, keys: list[str], labels: list[str], sums: dict[str, Column] | None = None,
-              mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None) -> DataFrame:
-    """Groups by `keys`, with the smallest value of each label and decomposable measures.
+              mins: dict[str, Column] | None = None, maxs: dict[str, Column] | None = None,
+              words: dict[str, Column] | None = None) -> DataFrame:
+    """Groups by `keys`, with the smallest value of each label, the largest of each text in
+    `words`, and decomposable measures.
 
-    String minima would force a sort-based aggregate over all rows; grouping by the labels
-    first keeps the large pass a hash aggregate with map-side combine, and the second pass
+    Minima and maxima of text would force a sort-based aggregate over all rows; grouping by the
+    texts first keeps the large pass a hash aggregate with map-side combine, and the second pass
     sees about one row per group.
     """
+    words = words or {}
     parts = [(n, e, F.sum) for n, e in (sums or {}).items()]
     parts += [(n, e, F.min) for n, e in (mins or {}).items()]
     parts += [(n, e, F.max) for n, e in (maxs or {}).items()]
-    fine = df.groupBy(*keys, *labels).agg(*[f(e).alias(n) for n, e, f in parts])
+    fine = df.groupBy(*keys, *labels, *[e.alias(n) for n, e in words.items()]).agg(*[f(e).alias(n) for n, e, f in parts])
     return fine.groupBy(*keys).agg(
-        *[F.min(label).alias(label) for label in labels], *[f(F.col(n)).alias(n) for n, _, f in parts])
+        *[F.min(label).alias(label) for label in labels], *[F.max(n).alias(n) for n in words],
+        *[f(F.col(n)).alias(n) for n, _, f in parts])
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, ahead_s: int = 0,

@@ -48,13 +48,21 @@ def _values(kind: str, tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
 
 
-def prose_values(text: Column) -> Column:
+def _staged(rows: DataFrame, source: str, stamps: bool) -> DataFrame:
+    """Adds `_t0`..`_t3`: the text, then without stamps, callsigns and times. Each stage is its own
+    column, so a text is rewritten once per stage; a text without any digit is left alone."""
+    def without(column: str, pattern: str, by: str = " ") -> Column:
+        return F.when(F.col("_digit"), F.regexp_replace(column, pattern, by)).otherwise(F.lit(""))
+    t = rows.withColumn("_t0", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    t = t.withColumn("_digit", F.col("_t0").rlike(r"(?U)\d"))
+    t = t.withColumn("_t1", without("_t0", FULL_STAMP, r" ${date} ") if stamps else F.when(F.col("_digit"), F.col("_t0")).otherwise(""))
+    return t.withColumn("_t2", without("_t1", CALLSIGN)).withColumn("_t3", without("_t2", TIME))
+
+
+def prose_values() -> Column:
     """Array of `kind, token` stated in free text: callsigns, then times, then numbers."""
-    no_callsigns = F.regexp_replace(text, CALLSIGN, " ")
-    no_times = F.regexp_replace(no_callsigns, TIME, " ")
-    return F.concat(_values("callsign", _all(text, CALLSIGN)),
-                    _values("time", F.transform(_all(no_callsigns, TIME), _clock)),
-                    _values("number", _all(no_times, NUMBER)))
+    return F.concat(_values("callsign", _all(F.col("_t1"), CALLSIGN)),
+                    _values("time", F.transform(_all(F.col("_t2"), TIME), _clock)), _values("number", _all(F.col("_t3"), NUMBER)))
 
 
 def harvest(evidence: DataFrame, key: str, cell: str) -> DataFrame:
@@ -63,16 +71,18 @@ def harvest(evidence: DataFrame, key: str, cell: str) -> DataFrame:
     A cell that is a number or a time is that value; an ISO stamp gives its time and date parts;
     any other cell is read as prose. A number also allows its rounding.
     """
-    s = F.trim(F.coalesce(F.col(cell).cast("string"), F.lit("")))
-    stamps = _all(s, ISO_STAMP)
+    rows = _staged(evidence.select(key, F.trim(F.col(cell).cast("string")).alias("_cell")), "_cell", stamps=False)
+    s = F.col("_t1")
+    rows = rows.withColumn("_iso", _all(s, ISO_STAMP))
+    stamps = F.col("_iso")
     parts = F.flatten(F.transform(stamps, lambda x: F.array(F.substr(x, F.lit(1), F.lit(4)), F.substr(x, F.lit(6), F.lit(2)),
                                                            F.substr(x, F.lit(9), F.lit(2)))))
     clocks = F.transform(stamps, lambda x: F.substr(x, F.lit(12), F.lit(5)))
     found = (F.when(s.rlike(WHOLE_NUMBER), _values("number", F.array(s)))
              .when(s.rlike(WHOLE_TIME), _values("time", F.array(_clock(s))))
              .when(F.size(stamps) > 0, F.concat(_values("time", clocks), _values("number", parts)))
-             .otherwise(prose_values(s)))
-    rows = evidence.select(F.col(key), F.explode(F.array_distinct(F.concat(found, _values("callsign", _all(s, CALLSIGN))))).alias("v"))
+             .otherwise(prose_values()))
+    rows = rows.where("_digit").select(F.col(key), F.explode(F.array_distinct(F.concat(found, _values("callsign", _all(s, CALLSIGN))))).alias("v"))
     plain = rows.select(key, "v.kind", "v.token", F.when(F.col("v.kind") == "number", F.abs(_number(F.col("v.token")))).alias("number"))
     both = F.when(F.col("kind") == "number", F.array("number", F.rint("number"))).otherwise(F.array(F.lit(None).cast("double")))
     return plain.select(key, "kind", F.explode(both).alias("number"), F.when(F.col("kind") != "number", F.col("token")).alias("token")).distinct()
@@ -80,21 +90,18 @@ def harvest(evidence: DataFrame, key: str, cell: str) -> DataFrame:
 
 def stated_values(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Values a text states: `key, stage, pos, kind, shown, token, number`, in the order of the check."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    no_stamps = F.regexp_replace(t, FULL_STAMP, r" ${date} ")
-    no_callsigns = F.regexp_replace(no_stamps, CALLSIGN, " ")
-    no_times = F.regexp_replace(no_callsigns, TIME, " ")
+    rows = _staged(texts.select(key, F.col(text).alias("_text")), "_text", stamps=True).where("_digit")
 
     def stage(n: int, kind: str, tokens: Column, token) -> Column:
         return F.transform(tokens, lambda x, i: F.struct(F.lit(n).alias("stage"), i.alias("pos"), F.lit(kind).alias("kind"),
                                                          x.alias("shown"), token(x).alias("token")))
     every = F.concat(
-        stage(1, "time", _all(t, FULL_STAMP), lambda x: _clock(_all(x, HOUR_MINUTE)[0])),
-        stage(2, "callsign", _all(no_stamps, CALLSIGN), lambda x: x),
-        stage(3, "time", _all(no_callsigns, TIME), _clock),
-        stage(4, "number", _all(no_times, NUMBER), lambda x: x))
-    rows = texts.select(F.col(key), F.explode(every).alias("v")).select(key, "v.*")
-    return rows.withColumn("number", F.when(F.col("kind") == "number", _number(F.col("token"))))
+        stage(1, "time", _all(F.col("_t0"), FULL_STAMP), lambda x: _clock(_all(x, HOUR_MINUTE)[0])),
+        stage(2, "callsign", _all(F.col("_t1"), CALLSIGN), lambda x: x),
+        stage(3, "time", _all(F.col("_t2"), TIME), _clock),
+        stage(4, "number", _all(F.col("_t3"), NUMBER), lambda x: x))
+    found = rows.select(F.col(key), F.explode(every).alias("v")).select(key, "v.*")
+    return found.withColumn("number", F.when(F.col("kind") == "number", _number(F.col("token"))))
 
 
 def _bucket(x: Column) -> Column:

@@ -91,27 +91,24 @@ class QualityListener(StreamingQueryListener):
 
 
 def windowed_congestion(silver: DataFrame, watermark: str = "15 minutes") -> DataFrame:
-    """Airborne aircraft per minute and ring on a stream, exact: one row per aircraft, minute and
-    ring is let through before counting."""
-    rows = silver.where(~F.col("is_grounded")).withColumns({
-        "ring": ring(), "minute_ts": F.window("snapshot_ts", "1 minute")["start"]})
-    if silver.isStreaming:
-        rows = rows.withWatermark("snapshot_ts", watermark)
-    once = rows.select("apt_icao", "ring", "icao", "minute_ts", "snapshot_ts")
-    if silver.isStreaming:
-        # the minute is the event time from here on, so closed minutes leave the state
-        once = once.drop("snapshot_ts").withWatermark("minute_ts", watermark).dropDuplicates(["apt_icao", "ring", "icao", "minute_ts"])
-        return once.groupBy(F.window("minute_ts", "1 minute").alias("w"), "apt_icao", "ring").agg(
-            F.count("icao").alias("n_aircraft")).select(F.col("w.start").alias("minute_ts"), "apt_icao", "ring", "n_aircraft")
-    return once.select("apt_icao", "ring", "icao", "minute_ts").distinct().groupBy("minute_ts", "apt_icao", "ring").agg(
-        F.count("icao").alias("n_aircraft"))
+    """Airborne aircraft per minute and ring, on a stream or a table.
+
+    A stream cannot count distinct values exactly, so one row per aircraft, minute and ring is let
+    through first. Both steps key on the minute window, so closed minutes leave their states.
+    """
+    rows = silver.withWatermark("snapshot_ts", watermark) if silver.isStreaming else silver
+    keys = ["w", "apt_icao", "ring"]
+    minutes = rows.where(~F.col("is_grounded")).withColumns({"ring": ring(), "w": F.window("snapshot_ts", "1 minute")})
+    once = minutes.select(*keys, "icao").dropDuplicates([*keys, "icao"])
+    return once.groupBy(*keys).agg(F.count("icao").alias("n_aircraft")).select(
+        F.col("w.start").alias("minute_ts"), "apt_icao", "ring", "n_aircraft")
 
 
 def session_segments(silver: DataFrame, gap: str = "180 seconds", watermark: str = "15 minutes") -> DataFrame:
     """Segments as session windows per aircraft: start, last report and count.
 
     A session closes `gap` after its last report and then leaves the state; on a stream only
-    closed sessions are emitted. Reports exactly `gap` apart start a new session.
+    closed sessions are emitted. Reports exactly `gap` apart stay in one session, as in batch.
     """
     rows = silver.withWatermark("snapshot_ts", watermark) if silver.isStreaming else silver
     return rows.groupBy("icao", F.session_window("snapshot_ts", gap).alias("w")).agg(

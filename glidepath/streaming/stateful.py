@@ -33,21 +33,21 @@ class TrackState(StatefulProcessor):
         self.last = handle.getValueState("last", STATE)
         self.waiting = handle.getListState("waiting", WAITING)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timer_values.getCurrentWatermarkInMs()
-        newest = None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        first = None
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 self.waiting.appendValue((r.snapshot_ts, _num(r.alt_ft), _num(r.dist_to_apt_nm), _num(r.track_deg),
                                           _num(r.heading_err_deg), _num(r.vertical_rate_fpm), _flag(r.is_grounded)))
                 at = int(r.snapshot_ts.timestamp() * 1000)
-                newest = at if newest is None else max(newest, at)
-        if newest is not None:
-            self.handle.registerTimer(newest + 1)
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(max(first, mark) + 1)
         yield from self._release(key, mark)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timer_values.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
         yield from self._release(key, mark)
         if self.last.exists() and not self.waiting.exists():
             due = int(self.last.get()[0].timestamp() * 1000) + self.idle_ms
@@ -66,6 +66,7 @@ class TrackState(StatefulProcessor):
             return
         if late:
             self.waiting.put(late)
+            self.handle.registerTimer(int(late[0][0].timestamp() * 1000) + 1)
         else:
             self.waiting.clear()
         prev = self.last.get() if self.last.exists() else None

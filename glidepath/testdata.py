@@ -146,14 +146,18 @@ def demand_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.day_frame(demand.demand_series(landings))
 
 
-@_once
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecasts_of(spark: SparkSession, sf_dir: str, preds: DataFrame) -> DataFrame:
     """A forecast at every scoring run, from the detected landings and the event profile."""
-    moments = predictions(spark, sf_dir).select(F.col("apt_icao").alias("series"), "scored_at").distinct()
+    moments = preds.select(F.col("apt_icao").alias("series"), "scored_at").distinct()
     asked = demand.score_requests(touchdowns(spark, sf_dir), moments)
     return demand.forecast(asked, demand.profile(demand_frame(spark, sf_dir)))
 
 
+@_once
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecasts_of(spark, sf_dir, predictions(spark, sf_dir))
+
+
 @_once
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.arrival_training_set(tracks(spark, sf_dir), touchdowns(spark, sf_dir), inbound(spark, sf_dir))

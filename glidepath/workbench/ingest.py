@@ -127,7 +127,7 @@ def altitudes(spark, sf):
 
 
 @query("p04_expectations", with_parts("""
-SELECT count(*) AS "rows", count(*) FILTER (icao IS NULL) AS has_icao, 0 AS plausible_altitude, count(*) FILTER (NOT (gs_kt BETWEEN 0 AND 700)) AS plausible_groundspeed FROM rp"""))
+SELECT count(*) AS "rows", count(*) FILTER (icao IS NULL) AS has_icao, CAST(0 AS BIGINT) AS plausible_altitude, count(*) FILTER (NOT (gs_kt BETWEEN 0 AND 700)) AS plausible_groundspeed FROM rp"""))
 def expectations(spark, sf):
     rows = envelopes.typed(envelopes.to_bronze(read_landed(spark, landed(spark, sf))))
     return flat(rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("icao").isNull()).alias("has_icao"), *envelopes.violation_counts()))
@@ -276,7 +276,11 @@ def drained(spark, df, name):
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-@query("r06_windowed_congestion")
+# A triggered run ends with the watermark 15 minutes before the newest report.
+part("mark", "SELECT max(ts)-900 AS m FROM sil")
+
+
+@query("r06_windowed_congestion", with_parts("SELECT minute_ts, apt_icao, ring, n_aircraft FROM cong WHERE minute_ts+60<=(SELECT m FROM mark)"))
 def windowed(spark, sf):
     return flat(drained(spark, medallion.windowed_congestion(positions_stream(spark, sf)), "congestion"))
 
@@ -287,12 +291,16 @@ def windowed_batch(spark, sf):
     return flat(medallion.windowed_congestion(td.positions(spark, sf)))
 
 
-@query("r07_session_segments")
+@query("r07_session_segments", with_parts("""
+SELECT icao, min(ts) AS seg_start_ts, max(ts) AS seg_end_ts, count(*) AS n_reports, round(min(dist_to_apt_nm),6) AS min_dist_nm FROM (
+ SELECT *, sum(CASE WHEN gap<=180 THEN 0 ELSE 1 END) OVER (PARTITION BY icao ORDER BY ts) AS grp FROM trk_lag) q GROUP BY icao, grp HAVING max(ts)+180<=(SELECT m FROM mark)"""))
 def sessions(spark, sf):
     return flat(drained(spark, medallion.session_segments(positions_stream(spark, sf)), "sessions"))
 
 
-@query("r08_stateful_tracks")
+@query("r08_stateful_tracks", with_parts("""
+SELECT icao, ts AS snapshot_ts, seg_start AS seg_start_ts, dt_s, round(dist_to_apt_nm,6) AS dist_to_apt_nm, round(closure_kt,6) AS closure_kt, turn_deg, round(vrate_fpm,6) AS vrate_fpm,
+ CAST(inbound_flag AS INT) AS inbound_flag FROM trk WHERE ts<=(SELECT m FROM mark)"""))
 def stateful_tracks(spark, sf):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)

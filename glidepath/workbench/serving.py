@@ -21,6 +21,12 @@ def hm(x: str) -> str:
     return f"printf('%02d:%02d', ({x}//3600)%24, ({x}//60)%60)"
 
 
+def serving(spark, sf):
+    """The three serving tables, written first as the scoring jobs do: readers use them repeatedly."""
+    preds = stored(td.predictions(spark, sf), "predictions")
+    return preds, stored(td.forecasts_of(spark, sf, preds), "forecasts"), stored(td.flags(spark, sf), "flags")
+
+
 @query("s15_latest_run", with_parts("SELECT icao, scored_at, ts AS snapshot_ts, round(eta,6) AS predicted_eta_min, land_ts AS predicted_touchdown_ts FROM prd_now"))
 def latest(spark, sf):
     return flat(views.latest_run(td.predictions(spark, sf)).select("icao", "scored_at", "snapshot_ts", "predicted_eta_min", "predicted_touchdown_ts"))
@@ -142,7 +148,8 @@ SELECT (SELECT count(*) FROM prd_now) AS inbound_now, round(sum(q50)) AS next_3h
  (SELECT count(*) FROM flg_now WHERE kind='emergency') AS emergency, (SELECT count(*) FROM flg_now WHERE kind='go_around') AS go_around,
  (SELECT count(*) FROM flg_now WHERE kind='holding') AS holding FROM fct_now"""))
 def headline(spark, sf):
-    return flat(views.headline(td.forecasts(spark, sf), td.flags(spark, sf), td.predictions(spark, sf), AIRPORT))
+    preds, fc, flags = serving(spark, sf)
+    return flat(views.headline(fc, flags, preds, AIRPORT))
 
 
 @query("v11_data_age", with_parts("""
@@ -208,9 +215,7 @@ LEFT JOIN sit_f f ON f.scored_at=(SELECT max(scored_at) FROM flg WHERE flg.score
 
 
 def _facts(spark, sf):
-    # scoring jobs write these tables; the facts read them several times
-    preds, fc, flags = (stored(v(spark, sf), n) for v, n in (
-        (td.predictions, "predictions"), (td.forecasts, "forecasts"), (td.flags, "flags")))
+    preds, fc, flags = serving(spark, sf)
     moments = preds.select(F.col("scored_at").alias("now")).distinct()
     return situation.situation_facts(preds, fc, flags, AIRPORT, moments, per_hour=20)
 
