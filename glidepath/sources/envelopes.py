@@ -35,7 +35,9 @@ def read_envelopes(spark: SparkSession, root: str, streaming: bool = False, one_
 
 def explode_reports(envelopes: DataFrame) -> DataFrame:
     """One row per report text. Envelopes without reports give no row; both list names are read."""
-    return envelopes.withColumn("report_json", F.explode(F.coalesce("ac", "aircraft"))).drop("ac", "aircraft")
+    # an inner explode would add a size filter that parses every envelope a second time
+    each = envelopes.withColumn("report_json", F.explode_outer(F.coalesce("ac", "aircraft"))).drop("ac", "aircraft")
+    return each.where(F.col("report_json").isNotNull())
 
 
 def to_bronze(envelopes: DataFrame, now_in_seconds: bool = False) -> DataFrame:
