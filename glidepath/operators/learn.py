@@ -7,7 +7,7 @@ import random
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -23,8 +23,9 @@ OFTEN_MISSING = ["vrate_fpm", "closure_kt", "turn_rate_dps", "sel_altitude_ft"]
 
 
 def model_inputs(df: DataFrame) -> DataFrame:
-    """Numeric inputs as doubles, `_missing` marks for those often absent, and a known phase."""
-    out = {c: F.col(c).cast("double") for c in NUMERIC_FEATURES}
+    """Numeric inputs as doubles in `<name>_f`, zero where absent, with `_missing` marks for those
+    often absent, so that a tree can split on the absence; and a known phase."""
+    out = {f"{c}_f": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC_FEATURES}
     out |= {f"{c}_missing": F.col(c).isNull().cast("double") for c in OFTEN_MISSING}
     out["phase"] = F.coalesce("phase", F.lit("unknown"))
     return df.withColumns(out)
@@ -47,9 +48,8 @@ def split_by_day(df: DataFrame, day: str, test_day, group: str = "seg_id", min_s
 
 def _prepare() -> list:
     phase = StringIndexerModel.from_labels(PHASES, inputCol="phase", outputCol="phase_idx", handleInvalid="keep")
-    fill = Imputer(inputCols=NUMERIC_FEATURES, outputCols=[f"{c}_f" for c in NUMERIC_FEATURES], strategy="median")
     columns = [f"{c}_f" for c in NUMERIC_FEATURES] + ["phase_idx"] + [f"{c}_missing" for c in OFTEN_MISSING]
-    return [phase, fill, VectorAssembler(inputCols=columns, outputCol="features")]
+    return [phase, VectorAssembler(inputCols=columns, outputCol="features")]
 
 
 def _regressor(params: dict, trees: int) -> GBTRegressor:
