@@ -120,12 +120,13 @@ def _holds(min_n: int, min_spread: float, max_box_nm: float, max_dist_nm: float)
 
 
 def holding(summary: DataFrame, min_n: int = 8, min_spread: float = 0.5, max_box_nm: float = 15,
-            max_dist_nm: float = 80) -> DataFrame:
-    """Circling segments: headings spread over the compass inside a small box."""
+            max_dist_nm: float = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Circling segments: headings spread over the compass inside a small box. `keep` names
+    further segment columns to carry, here and in the other rules."""
     measures = _circling_measures()
     rows = summary.where(F.col("_c_n") > 0).withColumns(measures)
     return rows.where(_holds(min_n, min_spread, max_box_nm, max_dist_nm)).select(
-        "seg_id", "icao", "callsign", "ac_type", "apt_icao", *measures)
+        "seg_id", "icao", "callsign", "ac_type", "apt_icao", *measures, *keep)
 
 
 def orbits(silver: DataFrame, min_n: int = 25, min_speed_kt: float = 120, min_spread: float = 0.5,
@@ -158,7 +159,7 @@ def _with_landing(summary: DataFrame, elev_ft: int) -> DataFrame:
     return summary.withColumns({"min_dist_nm": near, "touchdown_ts": F.when(landed, at)})
 
 
-def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
+def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Landings: the first ground report near the field, else the last airborne report on final."""
     confirmed = (F.col("min_dist_nm") < 3) & (F.col("_f_alt") <= elev_ft + 500)
     return (
@@ -166,7 +167,7 @@ def touchdowns(summary: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
         .select(
             "seg_id", "icao", "callsign", "ac_type", "apt_icao", "touchdown_ts", "min_dist_nm", F.col("_f_alt").alias("min_alt_ft"),
             F.col("_f_descents").alias("descent_reports"), F.col("_f_n").alias("n_short_final"),
-            F.when(confirmed, "confirmed").otherwise("inferred").alias("touchdown_confidence"))
+            F.when(confirmed, "confirmed").otherwise("inferred").alias("touchdown_confidence"), *keep)
     )
 
 
@@ -182,7 +183,7 @@ def go_around_climbs(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD
 
 
 def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_ELEV_FT,
-                   min_after_climb_s: int = 240, slice_s: int = SLICE_S) -> DataFrame:
+                   min_after_climb_s: int = 240, slice_s: int = SLICE_S, keep: tuple[str, ...] = ()) -> DataFrame:
     """Emergency, holding and go-around segments in one table, with whether the segment landed.
 
     All rules read one segment row and give up to three flags from it, so the segments are
@@ -210,7 +211,7 @@ def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_E
     return (
         rows.withColumn("_f", F.explode(flags))
         .select("seg_id", "icao", "callsign", "ac_type", "apt_icao", "_f.kind", "_f.event_ts", "_f.dist_nm", "_f.alt_ft",
-                F.when(landed, 1).otherwise(0).alias("landed"), "_f.detail", "_f.confidence")
+                F.when(landed, 1).otherwise(0).alias("landed"), "_f.detail", "_f.confidence", *keep)
     )
 
 

@@ -95,7 +95,7 @@ def distance_band(dist="dist_to_apt_nm") -> Column:
     return out
 
 
-def error_stats(df: DataFrame, keys: list[str], error: str = "error", few_groups: bool = True) -> DataFrame:
+def error_stats(df: DataFrame, keys: list[str], error: str = "error", few_groups: bool = False) -> DataFrame:
     """Count, MAE, 90th percentile (interpolated) and bias of an error column."""
     rows = df.withColumn("_abs", F.abs(F.col(error)))
     high = exact_quantiles(rows, keys, "_abs", [0.9], few_groups=few_groups).select(*keys, F.col("q")[0].alias("_p90"))
@@ -109,7 +109,7 @@ def band_report(df: DataFrame, pred: str, label: str = ETA_LABEL, dist: str = "d
     """Error by distance band, and over all rows under ALL."""
     rows = df.select((F.col(pred) - F.col(label)).alias("error"),
                      F.explode(F.array(distance_band(dist), F.lit("ALL"))).alias("band")).where(F.col("band").isNotNull())
-    return error_stats(rows, ["band"])
+    return error_stats(rows, ["band"], few_groups=True)
 
 
 def overall_accuracy(df: DataFrame, pred: str, baseline: str, label: str = ETA_LABEL) -> DataFrame:

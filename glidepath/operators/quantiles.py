@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000,
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 100_000,
                     few_groups: bool = False, at_index: bool = False) -> DataFrame:
     """`keys, n, q` where `q` is the array of linearly interpolated quantiles of `value` at `probs`.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glidepath.functions.geo import angular_diff_deg, haversine_nm, initial_bearing_deg
 from glidepath.operators.slices import SLICE_S, with_halo
+from glidepath.sources.catalog import stored
 
 
 def grounded(alt="alt_ft", gs="gs_kt") -> Column:
@@ -170,19 +171,29 @@ def enrich_tracks(silver: DataFrame, vrate_gap_s: int = 600, max_closure_kt: flo
     )
 
 
-def incremental_tracks(silver: DataFrame, cutoff, lookback_s: int, **kw) -> DataFrame:
+def incremental_tracks(silver: DataFrame, cutoff: str, lookback_s: int, **kw) -> DataFrame:
     """Tracks with `snapshot_ts >= cutoff`, read from `lookback_s` further back.
 
     A segment that is already open where the scan begins would get a shorter history than in a
-    full build. Those keys alone are read from their whole history, so the result equals the
-    full build for any lookback.
+    full build. Only the aircraft of such segments are read again, four times further back each
+    time, until every segment begins inside its scan; so the result equals the full build for any
+    lookback, and the scan stays near the window.
     """
     ts = F.col("snapshot_ts")
-    cutoff = F.lit(cutoff).cast("timestamp")
-    begin = F.timestamp_seconds(F.unix_seconds(cutoff) - F.lit(lookback_s))
-    near = enrich_tracks(silver.where(ts >= begin), **kw)
-    reach = F.timestamp_seconds(F.unix_seconds(begin) + F.lit(kw.get("max_gap_s", 180) + kw.get("vrate_gap_s", 600)))
-    open_keys = near.where((F.col("seg_start_ts") < reach) & (ts >= cutoff)).select("icao").distinct()
-    closed = near.where(ts >= cutoff).join(open_keys, "icao", "left_anti")
-    reopened = enrich_tracks(silver.join(open_keys, "icao", "left_semi"), **kw).where(ts >= cutoff)
-    return closed.unionByName(reopened)
+    start = F.lit(cutoff).cast("timestamp")
+    settle_s = kw.get("max_gap_s", 180) + kw.get("vrate_gap_s", 600)
+    span = silver.agg((F.unix_seconds(start) - F.unix_seconds(F.min("snapshot_ts"))).alias("s")).first()["s"] or 0
+    rows, done, back = silver, None, max(lookback_s, settle_s)
+    while True:
+        begin = F.timestamp_seconds(F.unix_seconds(start) - F.lit(back))
+        near = enrich_tracks(rows.where(ts >= begin) if back <= span else rows, **kw).where(ts >= start)
+        if back > span:
+            return near if done is None else done.unionByName(near)
+        reach = F.timestamp_seconds(F.unix_seconds(begin) + F.lit(settle_s))
+        # a written table: these few keys steer the next scan and must not repeat this one
+        open_keys = stored(near.where(F.col("seg_start_ts") < reach).select("icao").distinct(), "open_keys")
+        closed = near.join(open_keys, "icao", "left_anti")
+        done = closed if done is None else done.unionByName(closed)
+        if open_keys.isEmpty():
+            return done
+        rows, back = silver.join(open_keys, "icao", "left_semi"), back * 4

@@ -6,6 +6,8 @@ only the running step.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,21 @@ from glidepath.constants import ACCEPTANCE_PER_HOUR, FIELD_ELEV_FT
 from glidepath.operators import demand, events, features, learn, runs, traffic
 from glidepath.operators.tracks import enrich_tracks, incremental_tracks
 from glidepath.plans import situation
-from glidepath.sources.catalog import Catalog
+from glidepath.sources.catalog import Catalog, stored
 
 LIVE = ["predictions", "demand_forecast", "irregularity_flags"]
 HISTORY = ["silver", "tracks", "touchdowns"]
-_TIME = {"tracks": "snapshot_ts", "congestion": "minute_ts", "holding": "last_ts", "touchdowns": "touchdown_ts", "irregularities": "event_ts"}
+_KEEP = ("seg_end_ts",)
+
+
+def _rule_tables(tracks: DataFrame, segments: DataFrame, elev_ft: int) -> dict[str, DataFrame]:
+    """The tables with one row per segment, each with the segment's end."""
+    return {"holding": events.holding(segments, keep=_KEEP), "touchdowns": events.touchdowns(segments, elev_ft, keep=_KEEP),
+            "irregularities": events.irregularities(tracks, segments, elev_ft, keep=_KEEP)}
+
+
+def _kpis(cat: Catalog, silver: DataFrame) -> None:
+    cat.replace("kpis", traffic.kpis(silver, cat.read("tracks"), cat.read("holding"), cat.read("touchdowns")))
 
 
 def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> None:
@@ -26,36 +38,42 @@ def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT) ->
     cat.replace("tracks", enrich_tracks(silver).withColumn("dt", F.to_date("snapshot_ts")), ["dt"], ["icao", "snapshot_ts"])
     tracks = cat.read("tracks").drop("dt")
     cat.replace("segments", events.segment_summary(tracks, elev_ft))
-    segments = cat.read("segments")
     cat.replace("congestion", traffic.congestion(tracks))
-    cat.replace("holding", events.holding(segments))
-    cat.replace("touchdowns", events.touchdowns(segments, elev_ft))
-    cat.replace("irregularities", events.irregularities(tracks, segments, elev_ft))
-    cat.replace("kpis", traffic.kpis(silver, tracks, cat.read("holding"), cat.read("touchdowns")))
+    for name, df in _rule_tables(tracks, cat.read("segments"), elev_ft).items():
+        cat.replace(name, df)
+    _kpis(cat, silver)
 
 
-def update_gold(cat: Catalog, silver: DataFrame, cutoff, lookback_s: int = 7200, elev_ft: int = FIELD_ELEV_FT) -> None:
-    """Serving mode: only rows from `cutoff` on are rebuilt; the training tables are left alone.
+def update_gold(cat: Catalog, silver: DataFrame, cutoff: str, lookback_s: int = 7200, elev_ft: int = FIELD_ELEV_FT,
+                max_gap_s: int = 180) -> None:
+    """Serving mode: only rows from `cutoff` (UTC text) on are rebuilt; training tables are left alone.
 
-    Segment tables are rebuilt for every segment that reaches into the window, from all of its
-    reports, and replaced by segment id, so a segment that grew leaves no earlier row behind.
+    Segment tables are replaced by the segment's end, from `max_gap_s` before the cutoff: a segment
+    that grows into the window ended no earlier than that, so no earlier row of it stays behind.
+    The tracks of those segments are read from the oldest start among them, not from the beginning.
     """
-    fresh = incremental_tracks(silver, cutoff, lookback_s)
+    fresh = incremental_tracks(silver, cutoff, lookback_s, max_gap_s=max_gap_s)
     cat.replace_window("tracks", fresh.withColumn("dt", F.to_date("snapshot_ts")), "snapshot_ts", cutoff, ["dt"], ["icao", "snapshot_ts"])
-    tracks = cat.read("tracks").drop("dt")
-    bound = F.lit(cutoff).cast("timestamp")
-    touched = tracks.where(F.col("snapshot_ts") >= bound).select("seg_id").distinct()
-    whole = tracks.join(touched, "seg_id", "left_semi")
-    cat.replace("segments", cat.read("segments").join(touched, "seg_id", "left_anti").unionByName(events.segment_summary(whole, elev_ft)))
-    segments = cat.read("segments")
-    minute = F.date_trunc("minute", bound)
-    newer = traffic.congestion(tracks.where(F.col("snapshot_ts") >= minute))
-    older = cat.read("congestion").where(F.col("minute_ts") < minute)
-    cat.replace("congestion", older.unionByName(newer))
-    cat.replace("holding", events.holding(segments))
-    cat.replace("touchdowns", events.touchdowns(segments, elev_ft))
-    cat.replace("irregularities", events.irregularities(tracks, segments, elev_ft))
-    cat.replace("kpis", traffic.kpis(silver, tracks, cat.read("holding"), cat.read("touchdowns")))
+    at = datetime.fromisoformat(cutoff)
+    grown = (at - timedelta(seconds=max_gap_s)).isoformat(" ")
+    tracks = cat.read("tracks")
+    since = F.lit(grown).cast("timestamp")
+    near = tracks.where((F.col("dt") >= F.to_date(since)) & (F.col("snapshot_ts") >= since))
+    oldest = near.agg(F.min("seg_start_ts").alias("s")).first()["s"]  # one value, as a literal for the scan
+    if oldest is None:
+        return
+    touched = near.select("seg_id").distinct()
+    whole = (tracks.where((F.col("dt") >= F.lit(oldest.date())) & (F.col("snapshot_ts") >= F.lit(oldest)))
+             .join(touched, "seg_id", "left_semi").drop("dt"))
+    segments = stored(events.segment_summary(whole, elev_ft), "segments")
+    cat.replace_window("segments", segments, "seg_end_ts", grown)
+    for name, df in _rule_tables(whole, segments, elev_ft).items():
+        cat.replace_window(name, df, "seg_end_ts", grown)
+    minute = at.replace(second=0, microsecond=0)
+    m = F.lit(minute.isoformat(" ")).cast("timestamp")
+    cat.replace_window("congestion", traffic.congestion(tracks.where((F.col("dt") >= F.to_date(m)) & (F.col("snapshot_ts") >= m))),
+                       "minute_ts", minute.isoformat(" "))
+    _kpis(cat, silver)
 
 
 def score(cat: Catalog, model: PipelineModel, version: int, now, profile: DataFrame, apt: str) -> None:

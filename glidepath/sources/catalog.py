@@ -3,12 +3,16 @@
 A table is a folder of immutable version folders, and a manifest per version that is written
 last. Readers see a version only once its manifest exists, so a job that loses executors or dies
 half way leaves the previous version in place. One writer per table at a time.
+
+A version lists its parts. Replacing a time window adds a part and bounds the older ones by the
+cutoff, so the cost is that of the window, not of the table.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +73,21 @@ class Catalog:
             return self.spark.createDataFrame([], schema)
         out = None
         for part in m["parts"]:
-            df = self.spark.read.schema(_schema(part["schema"])).option("basePath", part["path"]).parquet(part["path"])
+            df = self._part(part)
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         missing = [f for f in schema.fields if f.name not in out.columns]
         return out.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(schema.fieldNames())
 
+    def _part(self, part: dict) -> DataFrame:
+        """A part's rows before its bound; the bound also prunes day folders."""
+        df = self.spark.read.schema(_schema(part["schema"])).option("basePath", part["path"]).parquet(part["path"])
+        if part.get("before"):
+            bound = F.lit(part["before"]).cast("timestamp")
+            df = df.where(F.col(part["time_col"]).isNull() | (F.col(part["time_col"]) < bound))
+            if "dt" in part["partition_by"]:
+                df = df.where(F.col("dt").isNull() | (F.col("dt") <= F.to_date(bound)))
+        return df
+
     def _commit(self, name: str, parts: list[dict], schema: str, why: str) -> int:
         known = self._manifests(self.write_root, name)
         version = known[-1] + 1 if known else 1
@@ -90,16 +104,18 @@ class Catalog:
             raise RuntimeError(f"version {version} of {name} was written by another job")
         return version
 
-    def _write_part(self, df: DataFrame, name: str, partition_by: list[str], cluster_by: list[str]) -> dict:
+    def _write_part(self, df: DataFrame, name: str, partition_by: list[str], cluster_by: list[str], files: int = 32) -> dict:
+        """Writes one part. Each partition value goes to `files` tasks, chosen by the first cluster
+        column (else by the whole row), so a hot day is spread and a key's rows stay together."""
         path = f"{self.write_root}/{name}/data-{uuid.uuid4().hex}"
         if partition_by:
-            # one shuffle on partition and cluster columns: a hot day is spread over its keys
-            df = df.repartition(*partition_by, *cluster_by) if cluster_by else df.repartition(*partition_by, F.rand(7))
+            spread = F.pmod(F.xxhash64(*(cluster_by[:1] or df.columns)), F.lit(files))
+            df = df.repartition(*partition_by, spread)
         if partition_by or cluster_by:
             df = df.sortWithinPartitions(*partition_by, *cluster_by)
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(path)
-        return {"path": path, "schema": df.schema.json()}
+        return {"path": path, "schema": df.schema.json(), "partition_by": partition_by}
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> int:
         """Full rebuild as a new version."""
@@ -112,23 +128,31 @@ class Catalog:
             return self.replace(name, df, partition_by)
         m = self.manifest(name)
         part = self._write_part(df, name, partition_by or [], [])
-        empty = self.spark.createDataFrame([], _schema(m["schema"])).unionByName(
-            self.spark.createDataFrame([], df.schema), allowMissingColumns=True)
-        return self._commit(name, [*m["parts"], part], empty.schema.json(), "append")
+        return self._commit(name, [*m["parts"], part], self._widened(m["schema"], df), "append")
 
-    def replace_window(self, name: str, df: DataFrame, time_col: str, cutoff, partition_by: list[str] | None = None,
+    def replace_window(self, name: str, df: DataFrame, time_col: str, cutoff: str, partition_by: list[str] | None = None,
                        cluster_by: list[str] | None = None) -> int:
-        """Rows at or after `cutoff` are replaced by those of `df`; earlier rows stay.
+        """Rows at or after `cutoff` (UTC text) are replaced by those of `df`; earlier rows stay.
 
-        Kept rows are read with the time predicate pushed into the scan and written next to the
-        new ones as one new version.
+        Only the new rows are written. Older parts are bounded by the cutoff, and dropped when
+        they begin at or after it. A full `replace` folds the parts into one again.
         """
-        bound = F.lit(cutoff).cast("timestamp")
-        fresh = df.where(F.col(time_col) >= bound)
         if not self.exists(name):
             raise FileNotFoundError(f"table {name} is missing: build it in full first")
-        kept = self.read(name).where(F.col(time_col) < bound)
-        return self.replace(name, kept.unionByName(fresh, allowMissingColumns=True), partition_by, cluster_by)
+        at = datetime.fromisoformat(cutoff).isoformat(" ")
+        m, kept = self.manifest(name), []
+        for part in m["parts"]:
+            if part.get("time_col", time_col) != time_col:
+                raise ValueError(f"table {name} is replaced by {part['time_col']}, not by {time_col}")
+            if not part.get("from") or part["from"] < at:
+                kept.append(part | {"time_col": time_col, "before": min(part.get("before") or at, at)})
+        fresh = df.where(F.col(time_col) >= F.lit(at).cast("timestamp"))
+        part = self._write_part(fresh, name, partition_by or [], cluster_by or []) | {"time_col": time_col, "from": at}
+        return self._commit(name, [*kept, part], self._widened(m["schema"], df), "replace window")
+
+    def _widened(self, schema: str, df: DataFrame) -> str:
+        old = self.spark.createDataFrame([], _schema(schema))
+        return old.unionByName(self.spark.createDataFrame([], df.schema), allowMissingColumns=True).schema.json()
 
     def reset(self, live: list[str], history: list[str]) -> dict[str, int]:
         """Empties the live tables by new versions, but only if every history table exists."""

@@ -87,6 +87,6 @@ def conform_history(envelopes: DataFrame, lat: float, lon: float, apt: str, radi
 
 
 def land(df: DataFrame, root: str, ts: str = "snapshot_ts") -> None:
-    """Writes rows under `dt=/hh=` folders. An hour is spread over aircraft, so no hour is one task."""
+    """Writes rows under `dt=/hh=` folders. The rows of an hour go to 16 tasks by their content."""
     parts = df.withColumns({"dt": F.to_date(ts), "hh": F.date_format(ts, "HH")})
-    (parts.repartition("dt", "hh", F.pmod(F.xxhash64(ts), F.lit(16))).write.mode("append").partitionBy("dt", "hh").json(root))
+    (parts.repartition("dt", "hh", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy("dt", "hh").json(root))

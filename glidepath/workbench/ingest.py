@@ -266,7 +266,7 @@ def positions_stream(spark, sf):
     path = fresh_path(spark, "positions")
     rows = td.positions(spark, sf)
     # files in time order, so that a file never lies behind the watermark of the one before
-    rows.repartitionByRange(1 if rows.isStreaming else 8, "snapshot_ts").sortWithinPartitions("snapshot_ts").write.parquet(path)
+    rows.repartitionByRange("snapshot_ts").sortWithinPartitions("snapshot_ts").write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
