@@ -22,11 +22,12 @@ QUOTE = "\"([^\"\\n]{12,})\"|`([^`\\n]{12,})`"
 COLOR_CODE = r"\x1b\[[0-9;]*m|\[[0-9;]*m"
 
 # Words that mark a declined answer.
-REFUSAL = ["can't help", "cannot help", "can't share", "cannot share", "unable to", "not able to"]
+REFUSAL = ["can't", "cannot", "can not", "unable", "not able", "only help", "can only", "i can answer", "outside", "not something i",
+           "i'm sorry", "i am sorry", "i can help with", "don't have the ability", "can't share", "cannot share", "not able to share"]
 
 # A sentence about landings today must say that it counts what was seen.
 TODAY_TRIGGER = r"(?i)\b(landed|landings|arrivals?|arrived)\b[^.]*\btoday\b|\btoday\b[^.]*\b(landed|landings|arrived)\b"
-TODAY_QUALIFIER = r"(?i)\b(SkyWatch|seen|observed|saw)\b"
+TODAY_QUALIFIER = r"(?i)\b(seen|observed|saw)\b"
 
 NUMBER_TOLERANCE = 0.051
 
@@ -188,7 +189,7 @@ def fingerprint(df: DataFrame, name: str, text: str) -> DataFrame:
                                     F.lit(1), F.lit(16)).alias("fingerprint"))
 
 
-def score_golden(items: DataFrame, calls: DataFrame, answers: DataFrame) -> DataFrame:
+def score_golden(items: DataFrame, calls: DataFrame, answers: DataFrame, refusal_words=tuple(REFUSAL)) -> DataFrame:
     """Scores answers against expectations.
 
     `items`: `id, expect_tools, forbid_tools` (arrays; `a|b` means either, `*` means any tool),
@@ -205,7 +206,7 @@ def score_golden(items: DataFrame, calls: DataFrame, answers: DataFrame) -> Data
     wanted = F.forall("expect_tools", lambda w: F.arrays_overlap(F.split(w, r"\|"), F.col("_called")))
     allowed = F.when(strict, F.size("_called") == 0).otherwise(~F.arrays_overlap("_called", "forbid_tools"))
     said = F.lower("answer")
-    refused = F.exists(F.array(*[F.lit(r) for r in REFUSAL]), lambda r: F.contains(said, r))
+    refused = F.exists(F.array(*[F.lit(r) for r in refusal_words]), lambda r: F.contains(said, r))
     contains = F.exists("must_contain_any", lambda m: F.contains(said, F.lower(m)))
     scored = rows.withColumn("_called", called).select(
         "id", (wanted & allowed).alias("tools_ok"), F.when(~F.col("app_only"), F.col("source") == "llm").alias("grounded"),

@@ -19,13 +19,13 @@ BRONZE_COLUMNS = ["snapshot_ts", "apt_icao", "apt_lat", "apt_lon", "radius_nm",
 
 
 def read_envelopes(spark: SparkSession, root: str, streaming: bool = False, one_per_file: bool = True,
-                   max_files: int | None = None) -> DataFrame:
+                   max_files: int | None = None, pattern: str = "*.json") -> DataFrame:
     """Envelopes under `root` at any depth, with the file each came from.
 
     Text is read as it is and parsed against a declared schema, so a new field never breaks the
     reader: the raw report text keeps it. `one_per_file=False` reads one envelope per line.
     """
-    reader = (spark.readStream if streaming else spark.read).format("text").option("pathGlobFilter", "*.json").option(
+    reader = (spark.readStream if streaming else spark.read).format("text").option("pathGlobFilter", pattern).option(
         "recursiveFileLookup", True).option("wholetext", one_per_file)
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

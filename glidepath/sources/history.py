@@ -86,7 +86,7 @@ def conform_history(envelopes: DataFrame, lat: float, lon: float, apt: str, radi
         "source": F.lit("backfill"), "target_tag": _tag(minute), "src_date": F.to_date("snapshot_ts").cast("string")})
 
 
-def land(df: DataFrame, root: str, ts: str = "snapshot_ts") -> None:
-    """Writes rows under `dt=/hh=` folders. The rows of an hour go to 16 tasks by their content."""
+def land(df: DataFrame, root: str, ts: str = "snapshot_ts", files: int = 16) -> None:
+    """Writes rows under `dt=/hh=` folders. The rows of an hour go to `files` tasks by their content."""
     parts = df.withColumns({"dt": F.to_date(ts), "hh": F.date_format(ts, "HH")})
-    (parts.repartition("dt", "hh", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy("dt", "hh").json(root))
+    (parts.repartition("dt", "hh", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("append").partitionBy("dt", "hh").json(root))

@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from glidepath.constants import AIRPORT, AIRPORT_LAT, AIRPORT_LON, FIELD_ELEV_FT
 from glidepath.operators import demand, events, features, traffic
 from glidepath.operators.tracks import enrich_tracks, point_features
+from glidepath.sources.catalog import stored
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, start of the events table
 
 
 def _once(view):
     """Builds a view's plan once per session and folder. Only the plan is kept, never its rows."""
-    plans: dict[tuple[str, str], DataFrame] = {}
+    plans: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        at = (spark.sparkContext.applicationId, sf_dir)
+        at = (id(spark), spark.sparkContext.applicationId, sf_dir)
         if at not in plans:
-            plans[at] = view(spark, sf_dir)
-        return plans[at]
+            plans[at] = (spark, view(spark, sf_dir))  # the session is held, so its id is not reused
+        return plans[at][1]
     return build
 
 
@@ -102,11 +103,6 @@ def touchdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.touchdowns(summary(spark, sf_dir))
 
 
-@_once
-def irregularities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.irregularities(tracks(spark, sf_dir), summary(spark, sf_dir))
-
-
 @_once
 def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.common_ring_inbound(traffic.congestion(tracks(spark, sf_dir)))
@@ -117,11 +113,16 @@ def _run(ts: str):
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 600) * 600)
 
 
-@_once
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tracks and segment summary as written tables, for work that reads them several times."""
+    rows = stored(tracks(spark, sf_dir), "tracks")
+    return rows, stored(events.segment_summary(rows, FIELD_ELEV_FT), "segments")
+
+
+def predictions_of(rows: DataFrame) -> DataFrame:
     """Scoring runs every ten minutes: the newest inbound report of each aircraft, with the
     naive estimate as the prediction."""
-    moving = tracks(spark, sf_dir).where(F.col("inbound_flag") & (F.col("gs_kt") > 40))
+    moving = rows.where(F.col("inbound_flag") & (F.col("gs_kt") > 40))
     cols = ["callsign", "ac_type", "apt_icao", "snapshot_ts", "lat", "lon", "dist_to_apt_nm", "alt_ft", "gs_kt", "vrate_fpm", "phase"]
     newest = (moving.groupBy("icao", _run("snapshot_ts").alias("scored_at"))
               .agg(F.max_by(F.struct(*cols), "snapshot_ts").alias("r")).select("icao", "scored_at", "r.*"))
@@ -131,14 +132,22 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_once
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_of(tracks(spark, sf_dir))
+
+
+def flags_of(irregular: DataFrame) -> DataFrame:
     """Flag runs: each irregular segment in the run of its event."""
-    return irregularities(spark, sf_dir).select(
+    return irregular.select(
         _run("event_ts").alias("scored_at"), "apt_icao", "icao", "callsign", "ac_type", "kind",
         F.when(F.col("kind") == "holding", 2).otherwise(3).alias("severity"), F.col("dist_nm").alias("dist_to_apt_nm"), "alt_ft",
         "detail", F.col("event_ts").alias("snapshot_ts"))
 
 
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags_of(events.irregularities(*gold(spark, sf_dir)))
+
+
 @_once
 def demand_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day frame of the real event times, taken as landings."""
@@ -146,16 +155,24 @@ def demand_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.day_frame(demand.demand_series(landings))
 
 
-def forecasts_of(spark: SparkSession, sf_dir: str, preds: DataFrame) -> DataFrame:
+def forecasts_of(spark: SparkSession, sf_dir: str, preds: DataFrame, landings: DataFrame) -> DataFrame:
     """A forecast at every scoring run, from the detected landings and the event profile."""
     moments = preds.select(F.col("apt_icao").alias("series"), "scored_at").distinct()
-    asked = demand.score_requests(touchdowns(spark, sf_dir), moments)
+    asked = demand.score_requests(landings, moments)
     return demand.forecast(asked, demand.profile(demand_frame(spark, sf_dir)))
 
 
 @_once
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecasts_of(spark, sf_dir, predictions(spark, sf_dir))
+    return forecasts_of(spark, sf_dir, predictions(spark, sf_dir), touchdowns(spark, sf_dir))
+
+
+def serving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, forecasts and flags as written tables, made from written tracks, as the jobs do."""
+    rows, segments = gold(spark, sf_dir)
+    preds = stored(predictions_of(rows), "predictions")
+    fc = stored(forecasts_of(spark, sf_dir, preds, events.touchdowns(segments)), "forecasts")
+    return preds, fc, stored(flags_of(events.irregularities(rows, segments)), "flags")
 
 
 @_once

@@ -50,18 +50,13 @@ def landed(spark, sf, copies: int = 1, unit: int = 1000) -> str:
     rows = envelope_json(spark, sf, unit)
     path = fresh_path(spark, "landing")
     for _ in range(copies):
-        (rows.withColumn("name", F.lit(1)).select("value").write.mode("append").option("compression", "none").format("text").save(path))
+        rows.write.mode("append").text(path)
     return path
 
 
 def read_landed(spark, path, **kw):
     # the text sink names its files *.txt
-    reader = spark.readStream if kw.get("streaming") else spark.read
-    text = reader.format("text").option("recursiveFileLookup", True)
-    if kw.get("max_files"):
-        text = text.option("maxFilesPerTrigger", kw["max_files"])
-    raw = text.load(path).select("value", F.col("_metadata.file_path").alias("_ingest_file"), F.current_timestamp().alias("_ingest_ts"))
-    return raw.withColumn("e", F.from_json("value", envelopes.ENVELOPE_SCHEMA)).select("e.*", "_ingest_file", "_ingest_ts")
+    return envelopes.read_envelopes(spark, path, one_per_file=False, pattern="*.txt", **kw)
 
 
 part("rp_one", """
@@ -170,7 +165,7 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, strftime(ts,'%H') AS hh, count(*
 def layout(spark, sf):
     path = fresh_path(spark, "layout")
     rows = td.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("snapshot_ts"))
-    history.land(rows, path)
+    history.land(rows, path, files=2)
     back = spark.read.option("basePath", path).schema("event_id bigint, dt string, hh string").json(path)
     return flat(back.groupBy("dt", "hh").agg(F.count(F.lit(1)).alias("n")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glidepath import testdata as td
 from glidepath.constants import ETA_FEATURES, HEAVY_TYPES
-from glidepath.operators import features, gate, health, traffic
+from glidepath.operators import events, features, gate, health, traffic
 from glidepath.sources.catalog import stored
 from glidepath.workbench.registry import flat, query
 from glidepath.workbench.sqlparts import part, with_parts
@@ -199,8 +199,9 @@ def confirmed(spark, sf):
 @query("j08_hold_labels", with_parts("""
 SELECT t.seg_id, max(CASE WHEN h.seg_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS is_held, count(*) AS n FROM trk t LEFT JOIN irr h ON h.seg_id=t.seg_id AND h.kind='holding' GROUP BY 1"""))
 def hold_labels(spark, sf):
-    held = td.irregularities(spark, sf).where(F.col("kind") == "holding").select("seg_id", F.lit(1).alias("is_held"))
-    rows = td.tracks(spark, sf).groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"))
+    reports, segments = td.gold(spark, sf)
+    held = events.irregularities(reports, segments).where(F.col("kind") == "holding").select("seg_id", F.lit(1).alias("is_held"))
+    rows = reports.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"))
     return flat(rows.join(held, "seg_id", "left").select("seg_id", F.coalesce("is_held", F.lit(0)).alias("is_held"), "n"))
 
 

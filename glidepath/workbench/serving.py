@@ -8,7 +8,6 @@ from glidepath import testdata as td
 from glidepath.constants import AIRPORT
 from glidepath.operators import demand, events, features
 from glidepath.plans import situation, views
-from glidepath.sources.catalog import stored
 from glidepath.workbench.registry import flat, query
 from glidepath.workbench.sqlparts import part, with_parts
 
@@ -21,12 +20,6 @@ def hm(x: str) -> str:
     return f"printf('%02d:%02d', ({x}//3600)%24, ({x}//60)%60)"
 
 
-def serving(spark, sf):
-    """The three serving tables, written first as the scoring jobs do: readers use them repeatedly."""
-    preds = stored(td.predictions(spark, sf), "predictions")
-    return preds, stored(td.forecasts_of(spark, sf, preds), "forecasts"), stored(td.flags(spark, sf), "flags")
-
-
 @query("s15_latest_run", with_parts("SELECT icao, scored_at, ts AS snapshot_ts, round(eta,6) AS predicted_eta_min, land_ts AS predicted_touchdown_ts FROM prd_now"))
 def latest(spark, sf):
     return flat(views.latest_run(td.predictions(spark, sf)).select("icao", "scored_at", "snapshot_ts", "predicted_eta_min", "predicted_touchdown_ts"))
@@ -53,9 +46,9 @@ def next_arrivals(spark, sf):
 
 @query("v03_aircraft", with_parts(f"""
 SELECT callsign, ac_type, round(eta,1) AS eta_min, {hm('land_ts')} AS touchdown_utc, round(dist_to_apt_nm) AS dist_nm, CAST(round(alt_ft) AS DOUBLE) AS alt_ft,
- round(gs_kt) AS gs_kt, round(vrate_fpm) AS vrate_fpm, phase, scored_at FROM prd_now WHERE upper(callsign)='ABC9' OR lower(icao)='abc9'"""))
+ round(gs_kt) AS gs_kt, round(vrate_fpm) AS vrate_fpm, phase, scored_at FROM prd_now WHERE upper(callsign)='ABC11' OR lower(icao)='abc11'"""))
 def aircraft(spark, sf):
-    return flat(views.aircraft(td.predictions(spark, sf), " abc9 "))
+    return flat(views.aircraft(td.predictions(spark, sf), " abc11 "))
 
 
 @query("f13_forecast_runs", with_parts("""
@@ -84,7 +77,8 @@ def outlook_runs(spark, sf):
 SELECT kind, count(*) OVER (PARTITION BY kind) AS kind_count, CAST(severity AS BIGINT) AS severity, callsign, ac_type, round(dist_nm) AS dist_nm,
  round(alt_ft) AS alt_ft, detail, scored_at FROM flg_now"""))
 def current(spark, sf):
-    return flat(views.irregularities(td.flags(spark, sf), td.predictions(spark, sf), AIRPORT))
+    preds, _, flags = td.serving(spark, sf)
+    return flat(views.irregularities(flags, preds, AIRPORT))
 
 
 def briefings(spark, sf):
@@ -148,7 +142,7 @@ SELECT (SELECT count(*) FROM prd_now) AS inbound_now, round(sum(q50)) AS next_3h
  (SELECT count(*) FROM flg_now WHERE kind='emergency') AS emergency, (SELECT count(*) FROM flg_now WHERE kind='go_around') AS go_around,
  (SELECT count(*) FROM flg_now WHERE kind='holding') AS holding FROM fct_now"""))
 def headline(spark, sf):
-    preds, fc, flags = serving(spark, sf)
+    preds, fc, flags = td.serving(spark, sf)
     return flat(views.headline(fc, flags, preds, AIRPORT))
 
 
@@ -156,8 +150,9 @@ def headline(spark, sf):
 SELECT min(m) AS data_as_of, arg_min(s, (m, s)) AS oldest_source FROM (SELECT 'predictions' AS s, max(scored_at) AS m FROM prd UNION ALL SELECT 'flags', max(scored_at) FROM flg
  UNION ALL SELECT 'tracks', max(ts) FROM trk) q"""))
 def age(spark, sf):
+    preds, _, flags = td.serving(spark, sf)
     return flat(views.oldest_stamp({
-        "predictions": (td.predictions(spark, sf), "scored_at"), "flags": (td.flags(spark, sf), "scored_at"),
+        "predictions": (preds, "scored_at"), "flags": (flags, "scored_at"),
         "tracks": (td.tracks(spark, sf), "snapshot_ts")}))
 
 
@@ -215,7 +210,7 @@ LEFT JOIN sit_f f ON f.scored_at=(SELECT max(scored_at) FROM flg WHERE flg.score
 
 
 def _facts(spark, sf):
-    preds, fc, flags = serving(spark, sf)
+    preds, fc, flags = td.serving(spark, sf)
     moments = preds.select(F.col("scored_at").alias("now")).distinct()
     return situation.situation_facts(preds, fc, flags, AIRPORT, moments, per_hour=20)
 
@@ -264,7 +259,8 @@ def kinds(spark, sf):
 
 @query("p19_fresh_flags", with_parts("SELECT icao, kind, scored_at FROM flg_now"))
 def fresh(spark, sf):
-    return flat(views.current_flags(td.flags(spark, sf), td.predictions(spark, sf), AIRPORT).select("icao", "kind", "scored_at"))
+    preds, _, flags = td.serving(spark, sf)
+    return flat(views.current_flags(flags, preds, AIRPORT).select("icao", "kind", "scored_at"))
 
 
 @query("s19_decoded", """
