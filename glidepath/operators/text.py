@@ -26,8 +26,8 @@ REFUSAL = ["can't", "cannot", "can not", "unable", "not able", "only help", "can
            "i'm sorry", "i am sorry", "i can help with", "don't have the ability", "can't share", "cannot share", "not able to share"]
 
 # A sentence about landings today must say that it counts what was seen.
-TODAY_TRIGGER = r"(?i)\b(landed|landings|arrivals?|arrived)\b[^.]*\btoday\b|\btoday\b[^.]*\b(landed|landings|arrived)\b"
-TODAY_QUALIFIER = r"(?i)\b(seen|observed|saw)\b"
+TODAY_TRIGGER = r"(?iU)\b(landed|landings|arrivals?|arrived)\b[^.]*\btoday\b|\btoday\b[^.]*\b(landed|landings|arrived)\b"
+TODAY_QUALIFIER = r"(?iU)\b(seen|observed|saw)\b"
 
 NUMBER_TOLERANCE = 0.051
 

@@ -27,7 +27,10 @@ part("task", """
 SELECT DISTINCT l_orderkey AS run_id, 'task'||l_linenumber AS task, 946684800000+l_partkey*60000+l_suppkey*7 AS s0, l_returnflag AS f,
  CAST(l_quantity*1700 AS BIGINT) AS setup, CAST(l_quantity*1234 AS BIGINT) AS work FROM lineitem
 """)
-part("step_rank", "SELECT *, row_number() OVER (PARTITION BY run_id, task ORDER BY s0 DESC, setup DESC) AS rn FROM task")
+part("step_rank", """
+SELECT *, row_number() OVER (PARTITION BY run_id, task ORDER BY s0 DESC, setup DESC, work DESC, CASE WHEN f<>'N' THEN s0+90000+setup+work END DESC NULLS LAST,
+ CASE f WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END DESC) AS rn FROM task
+""")
 part("step", """
 SELECT run_id, task, CASE f WHEN 'A' THEN 'SUCCESS' WHEN 'R' THEN 'FAILED' ELSE 'RUNNING' END AS state, s0+90000 AS s, setup, work,
  CASE WHEN f<>'N' THEN s0+90000+setup+work END AS e FROM step_rank WHERE rn=1
@@ -165,11 +168,16 @@ def quotes(spark, sf):
     return flat(docs.select("doc_id", text.quote_is_grounded(answer, F.col("text")).alias("grounded")))
 
 
-@query("t10_meaning", r"""
-SELECT conv_id, turn, CAST(regexp_matches(text,'\b(the|die|le)\b[^.]*\b(and|und|et)\b') AND NOT regexp_matches(text,'\b(with|mit|dans)\b') AS INT) AS misses FROM conversations""")
+# The twin spells out the word borders, which its engine knows for ASCII only.
+_EDGE, _EDGE_DOT = r"[^\p{L}\p{N}_]", r"[^\p{L}\p{N}_.]"
+
+
+@query("t10_meaning", f"""
+SELECT conv_id, turn, CAST(regexp_matches(text,'(?:^|{_EDGE})(?:the|die|le){_EDGE_DOT}(?:[^.]*{_EDGE_DOT})?(?:and|und|et)(?:{_EDGE}|$)')
+ AND NOT regexp_matches(text,'(?:^|{_EDGE})(?:with|mit|dans)(?:{_EDGE}|$)') AS INT) AS misses FROM conversations""")
 def meaning(spark, sf):
     return flat(td.table(spark, sf, "conversations").select("conv_id", "turn", text.misses_meaning(
-        F.col("text"), r"\b(the|die|le)\b[^.]*\b(and|und|et)\b", r"\b(with|mit|dans)\b").alias("misses")))
+        F.col("text"), r"(?U)\b(the|die|le)\b[^.]*\b(and|und|et)\b", r"(?U)\b(with|mit|dans)\b").alias("misses")))
 
 
 _HASH = "sha256(CAST(doc_id AS VARCHAR)||chr(0)||text||chr(0))"
