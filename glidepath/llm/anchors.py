@@ -22,7 +22,8 @@ _words: dict[bytes, int] = {}
 #: Runs of one document in a row of entries: its key (id and text hash) and how many of the entries are its own.
 ROWS = "bin int, ids binary, keys binary, counts binary, hashes binary, places binary, sure boolean"
 _SCHEMA = pa.schema([("bin", pa.int32()), *[(c, pa.binary()) for c in ("ids", "keys", "counts", "hashes", "places")], ("sure", pa.bool_())])
-SPOTS = "doc_id long, text_key long, places binary"
+DEALT = "bin int, ids binary, keys binary, counts binary, places binary"
+SPOTS = "doc_id long, text_key long, spots binary"
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -85,18 +86,38 @@ class _Group:
         return h[inside], doc[inside], place[inside]
 
     def row(self, to: int, doc: np.ndarray, place: np.ndarray, hashes: bytes, sure: bool) -> tuple:
-        """One row of entries, which must be sorted by document."""
+        """One row of entries, which must be sorted by document and place."""
         docs, counts = np.unique(doc, return_counts=True)
-        return (to, self.ids[docs].tobytes(), self.keys[docs].tobytes(), counts.astype("<u4").tobytes(), hashes,
-                place.astype("<u4").tobytes() if len(place) and place.max() > 0xFFFF else b"\0" + place.astype("<u2").tobytes(), sure)
+        steps = np.diff(place, prepend=0)
+        steps[np.cumsum(counts) - counts] = place[np.cumsum(counts) - counts]
+        return to, self.ids[docs].tobytes(), self.keys[docs].tobytes(), counts.astype("<u4").tobytes(), hashes, packed(steps), sure
 
 
 _NULL = np.iinfo(np.int64).min
 
 
-def _places(raw: bytes) -> np.ndarray:
-    """Places are 16 bits wide (an odd number of bytes) unless one needs more."""
-    return np.frombuffer(raw, "<u2", offset=1).astype(np.int64) if len(raw) % 2 else np.frombuffer(raw, "<u4").astype(np.int64)
+def packed(steps: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes: each as often 255 as that goes into it, then the rest."""
+    full, rest = np.divmod(steps, 255)
+    out = np.full(int(full.sum()) + len(steps), 255, np.uint8)
+    out[np.cumsum(full + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """Sums of the numbers up to each one."""
+    values = np.frombuffer(raw, np.uint8)
+    return np.cumsum(values.astype(np.int64))[values != 255]
+
+
+def _places(rows, counts: np.ndarray) -> np.ndarray:
+    """Places of all entries from the steps between them, which begin anew with each run."""
+    sums = np.concatenate([unpacked(x) for x in rows])
+    whole = np.cumsum(np.array([0, *(0 if not x else int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in rows)]))
+    sums = sums + np.repeat(whole[:-1], [np.count_nonzero(np.frombuffer(x, np.uint8) != 255) for x in rows])
+    first = np.cumsum(counts) - counts
+    base = np.where(first > 0, sums[first - 1], 0)
+    return sums - np.repeat(base, counts)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -151,41 +172,62 @@ def _unpack(frame: pd.DataFrame, width: int):
     ids, keys = (np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("ids", "keys"))
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in frame["counts"]])
     run = np.repeat(np.arange(len(counts)), counts)
-    place = np.concatenate([_places(x) for x in frame["places"]])
-    raw = np.frombuffer(b"".join(frame["hashes"]), np.uint8)
+    place = _places(frame["places"], counts)
     if width:
+        raw = np.frombuffer(b"".join(frame["hashes"]), np.uint8)
         wide = np.zeros((len(run), 8), np.uint8)
         wide[:, :width] = raw.reshape(-1, width)
         return wide.view("<u8").ravel(), run, place, ids, keys
     return None, run, place, ids, keys
 
 
-def _spots(run: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-    """One row per run with its places, sorted by run."""
-    order = np.argsort(run, kind="stable")
-    runs, begin = np.unique(run[order], return_index=True)
-    parts = np.split(place[order].astype("<u4"), begin[1:])
-    doc = pd.array(ids[runs], dtype="Int64")
-    doc[ids[runs] == _NULL] = pd.NA
-    return pd.DataFrame({"doc_id": doc, "text_key": keys[runs], "places": [p.tobytes() for p in parts] if len(runs) else []})
-
-
-def _match(width: int):
+def _dealt(run: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, bins: int) -> pd.DataFrame:
+    """Entries dealt by document: one row per bin of the text key, so a bin of hashes replies in as many rows as there are bins at most."""
+    to = (keys % bins)[run]
+    order = np.lexsort((place, run, to))
+    rows = []
+    for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+        docs, first, counts = np.unique(run[at], return_index=True, return_counts=True)
+        steps = np.diff(place[at], prepend=0)
+        steps[first] = place[at][first]
+        rows.append((int(to[at[0]]), ids[docs].tobytes(), keys[docs].tobytes(), counts.astype("<u4").tobytes(), packed(steps)))
+    return pd.DataFrame(rows, columns=["bin", "ids", "keys", "counts", "places"])
+
+
+def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per document with all its places."""
+    _, run, place, ids, keys = _unpack(frame, 0)
+    pairs, doc = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True)
+    doc = doc.ravel()[run]
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    doc, place = doc[new], place[new]
+    edges = np.append(np.searchsorted(doc, np.arange(len(pairs))), len(doc))
+    steps = np.diff(place, prepend=0)
+    steps[edges[:-1]] = place[edges[:-1]]
+    known = pd.array(pairs[:, 0], dtype="Int64")
+    known[pairs[:, 0] == _NULL] = pd.NA
+    return pd.DataFrame({"doc_id": known, "text_key": pairs[:, 1], "spots": [packed(steps[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]})
+
+
+def _match(width: int, bins: int):
     """Probes that meet an indexed block of another place."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         sure, open_ = frame[frame["sure"]], frame[~frame["sure"]]
         if len(sure):
             _, runs, place, ids, keys = _unpack(sure, 0)
-            out.append(_spots(runs, place, ids, keys))
+            out.append(_dealt(runs, place, ids, keys, bins))
         if len(open_):
             h, runs, place, ids, keys = _unpack(open_, width)
             _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
             indexed = np.zeros(len(counts), bool)
             indexed[inverse[place % BLOCK == 0]] = True
             hit = (counts > 1)[inverse] & indexed[inverse]
-            out.append(_spots(runs[hit], place[hit], ids, keys))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "text_key": [], "places": []})
+            out.append(_dealt(runs[hit], place[hit], ids, keys, bins))
+        return pd.concat(out)
 
     return run
 
@@ -201,7 +243,7 @@ def _extend(bins: int):
             hits = np.zeros(len(group.hashes) + 1, np.int64)
             spots = part.column("spots").to_pylist()
             for d, row in enumerate(group.rows.tolist()):
-                at = np.frombuffer(b"".join(spots[row]), "<u4").astype(np.int64)
+                at = unpacked(spots[row])
                 hits[group.begin[d] + at + 1] = 1
             seen = np.cumsum(hits)
             at = group.begin[doc] + place
@@ -225,26 +267,28 @@ def _extend(bins: int):
     return run
 
 
-def _repeats(frame: pd.DataFrame) -> pd.DataFrame:
+def _repeats(bins: int):
     """Windows that also start earlier: all but the smallest (document, start) of equal windows."""
-    out = []
-    sure, open_ = frame[frame["sure"]], frame[~frame["sure"]]
-    if len(sure):
-        _, runs, place, ids, keys = _unpack(sure, 0)
-        out.append(_spots(runs, place, ids, keys))
-    if len(open_):
-        h, runs, place, ids, keys = _unpack(open_, 8)
-        pairs = np.stack([ids, keys], axis=1)
-        _, rank = np.unique(pairs, axis=0, return_inverse=True)
-        rank = rank.ravel()[runs]
-        order = np.lexsort((place, rank, h))
-        h, r, p = h[order], rank[order], place[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        late = order[(r != r[lead]) | (p != p[lead])]
-        out.append(_spots(runs[late], place[late], ids, keys))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "text_key": [], "places": []})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sure, open_ = frame[frame["sure"]], frame[~frame["sure"]]
+        if len(sure):
+            _, runs, place, ids, keys = _unpack(sure, 0)
+            out.append(_dealt(runs, place, ids, keys, bins))
+        if len(open_):
+            h, runs, place, ids, keys = _unpack(open_, 8)
+            _, rank = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True)
+            rank = rank.ravel()[runs]
+            order = np.lexsort((place, rank, h))
+            h, r, p = h[order], rank[order], place[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            late = order[(r != r[lead]) | (p != p[lead])]
+            out.append(_dealt(runs[late], place[late], ids, keys, bins))
+        return pd.concat(out)
+
+    return run
 
 
 def kept_words(text: str | None, starts: np.ndarray) -> tuple[list[bytes], int]:
@@ -267,13 +311,12 @@ def removed_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     bins = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
-    probes = rows.mapInArrow(_probe(bins, 3), ROWS)
-    hits = probes.groupBy("bin").applyInPandas(_match(3), SPOTS)
-    spots = hits.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("spots"))
-    found = _with(rows, spots, "inner")
-    windows = found.mapInArrow(_extend(bins), ROWS)
-    late = windows.groupBy("bin").applyInPandas(_repeats, SPOTS)
-    return rows, late.groupBy("doc_id", "text_key").agg(F.collect_list("places").alias("spots"))
+    probes = rows.mapInArrow(_probe(bins, 4), ROWS)
+    hits = probes.groupBy("bin").applyInPandas(_match(4, bins), DEALT)
+    spots = hits.groupBy("bin").applyInPandas(_gathered, SPOTS)
+    windows = _with(rows, spots, "inner").mapInArrow(_extend(bins), ROWS)
+    late = windows.groupBy("bin").applyInPandas(_repeats(bins), DEALT)
+    return rows, late.groupBy("bin").applyInPandas(_gathered, SPOTS)
 
 
 def _with(rows: DataFrame, spots: DataFrame, how: str) -> DataFrame:
@@ -292,7 +335,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     equals: rolling blocks meet the index in bins of their hash, and what they hit says which windows can repeat at all. Only those are
     extended: windows at every offset around a hit are compared in full, so the windows removed make up the maximal exact repeats. Each
     slice of texts hands on one entry per different block or window, so a passage that a third of the documents share costs one entry per
-    slice. Blocks are matched by 24 bits beyond the bin, which only lets some windows through in vain; windows by 64 bits and the bin.
+    slice. Blocks are matched by 32 bits beyond the bin, which only lets some windows through in vain; windows by 64 bits and the bin.
 
     Null texts have no words; null doc_ids count as smallest; rows that repeat an id and a text are one document and come out alike;
     rows that repeat an id only are ordered by a hash of the text. Texts under 20 words lose nothing. An empty table gives no rows.
@@ -305,7 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for part, texts in text_groups(batches):
             out = []
             for doc, text, spots in zip(part.column("doc_id").to_pylist(), texts, part.column("spots").to_pylist()):
-                starts = np.unique(np.frombuffer(b"".join(spots or []), "<u4").astype(np.int64))
+                starts = unpacked(spots) if spots else np.zeros(0, np.int64)
                 words, n = kept_words(text, starts)
                 edge = np.flatnonzero(np.diff(starts) > WINDOW) + 1 if len(starts) else []
                 runs = [{"start": int(s[0]), "end": int(s[-1]) + WINDOW} for s in np.split(starts, edge)] if len(starts) else []

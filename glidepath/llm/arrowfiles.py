@@ -55,7 +55,9 @@ class SequenceWriter:
             self._write(self.held // (BATCH * self.length) * BATCH)
 
     def _write(self, rows: int) -> None:
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, self.id_type.to_pandas_dtype())
+        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
+        if len(flat) and flat.max() >> self.id_type.bit_width:
+            raise ValueError("an id needs more bits: set wide")
         n = rows * self.length
         here, rest = flat[:n], flat[n:]
         ids = np.zeros(n, self.id_type.to_pandas_dtype())
@@ -123,6 +125,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1,
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
+    tail = np.array([end_id], dtype="<u4").tobytes()
+
     def run(batches):
         part, writer, sink = TaskContext.get().partitionId(), None, None
         fs, folder = filesystem(path)
@@ -134,10 +138,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1,
                 sink = fs.open_output_stream(draft)
                 writer = SequenceWriter(sink, length, id_type)
             for doc, ids in zip(group.column("doc_id").to_pylist(), word_tokens(tokenizer).encode(texts)):
-                whole = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                if not wide and len(whole) and whole.max() > 0xFFFF:
-                    raise ValueError("an id needs more than 16 bits: set wide")
-                writer.add(doc, whole.astype(id_type.to_pandas_dtype()))
+                writer.add(doc, np.frombuffer(ids + tail, "<u4"))
         if writer is not None:
             writer.close()
             sink.close()
