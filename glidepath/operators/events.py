@@ -196,7 +196,7 @@ def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_E
     dist, alt = F.round("min_dist", 1), F.col("max_alt").cast("double")
     emergency_text = F.concat_ws(" ", F.concat(F.lit("squawk="), F.col("squawk_code").cast("string")),
                                  F.concat(F.lit("emergency="), F.col("emergency_word")))
-    hold_text = F.format_string("racetrack, %d reports, heading spread %s", "n_reports", F.col("heading_spread").cast("string"))
+    hold_text = F.format_string("circling: %d reports, spread of headings %s", "n_reports", F.col("heading_spread").cast("string"))
     plausible = (_holds(10, 0.5, 15, 60) & (F.col("mean_alt_ft") >= 6000) & (F.col("mean_dist_nm") >= 5))
 
     def flag(kind: str, at, d, a, text, sure) -> Column:
@@ -207,7 +207,7 @@ def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_E
         F.when(plausible, flag("holding", "first_ts", F.col("mean_dist_nm"), F.col("mean_alt_ft"), hold_text,
                                F.least(F.lit(1.0), F.col("heading_spread") + 0.2))),
         F.when(F.col("climb_ts").isNotNull() & (~landed | after),
-               flag("go_around", "climb_ts", dist, alt, F.lit("approached < 5 nm then climbed out"), F.lit(0.6)))))
+               flag("go_around", "climb_ts", dist, alt, F.lit("low on approach, later climbing outside 7 nm"), F.lit(0.6)))))
     return (
         rows.withColumn("_f", F.explode(flags))
         .select("seg_id", "icao", "callsign", "ac_type", "apt_icao", "_f.kind", "_f.event_ts", "_f.dist_nm", "_f.alt_ft",
@@ -215,30 +215,40 @@ def irregularities(tracks: DataFrame, summary: DataFrame, elev_ft: int = FIELD_E
     )
 
 
+def newest_minus(df: DataFrame, ts: str, minutes: float) -> Column:
+    """A literal time `minutes` before the newest of `df`, so that a filter by it reaches the scan; null without rows.
+
+    Runs one aggregate of one column now; Parquet answers it from footers where the table is a plain scan.
+    """
+    newest = df.agg(F.unix_micros(F.max(ts)).alias("m")).first()["m"]
+    return F.lit(None).cast("timestamp") if newest is None else F.timestamp_micros(F.lit(newest - int(minutes * 60_000_000)))
+
+
 def within_latest(df: DataFrame, ts: str, minutes: float, latest_of: DataFrame | None = None) -> DataFrame:
     """Rows no older than `minutes` before the newest data time (not the wall clock)."""
-    newest = (latest_of if latest_of is not None else df).agg(F.max(ts).alias("_newest"))
-    age = F.unix_micros(F.col("_newest")) - F.unix_micros(F.col(ts))
-    return df.crossJoin(F.broadcast(newest)).where(age <= F.lit(int(minutes * 60_000_000)))
+    since = newest_minus(latest_of if latest_of is not None else df, ts, minutes)
+    return df.where(F.col(ts) >= since)
 
 
 def live_flags(tracks: DataFrame, apt: str, fresh_min: int = 20, lookback_min: int = 30,
                elev_ft: int = FIELD_ELEV_FT) -> DataFrame:
     """The same three kinds judged on the last minutes, for aircraft still being reported."""
-    window = within_latest(tracks.where(F.col("apt_icao") == apt), "snapshot_ts", lookback_min)
+    here = tracks.where(F.col("apt_icao") == apt)
+    since = newest_minus(here, "snapshot_ts", lookback_min)
+    window = here.where(F.col("snapshot_ts") >= since)
     shape = _airborne() & F.col("track_deg").isNotNull()
     mins, maxs = _track_extents(shape)
     mins |= {"_appr": F.when(shape & (F.col("dist_to_apt_nm") < 5) & (F.col("alt_ft") < elev_ft + 2500)
                              & (F.col("vrate_fpm") < -200), F.col("snapshot_ts"))}
-    maxs |= {"last_ts": F.col("snapshot_ts"), "_newest": F.col("_newest")}
+    maxs |= {"last_ts": F.col("snapshot_ts")}
     per_icao = two_level(window, ["icao"], [], _track_sums(shape), mins, maxs)
     ns, ew = _box(60, 1)
-    fresh = F.unix_micros("_newest") - F.unix_micros("last_ts") <= fresh_min * 60_000_000
+    fresh = F.unix_micros("last_ts") - F.unix_micros(since) >= (lookback_min - fresh_min) * 60_000_000
     geometry = per_icao.where(fresh).select(
         "icao", "last_ts", F.col("_c_n").alias("n"), _spread().alias("heading_spread"), ns.alias("ns_nm"), ew.alias("ew_nm"),
         _mean("_c_alt", "_c_alt_n").alias("mean_alt"), _mean("_c_dist", "_c_dist_n").alias("mean_dist"),
         F.col("_appr").alias("appr_ts"))
-    now = (window.drop("_newest").join(geometry, "icao").where(F.col("snapshot_ts") == F.col("last_ts")))
+    now = (window.join(geometry, "icao").where(F.col("snapshot_ts") == F.col("last_ts")))
     # the current squawk is printed whenever the aircraft is in an emergency, special or not
     emergency_text = F.concat_ws(" ", F.concat(F.lit("squawk="), F.col("squawk")),
                                  F.when(F.col("emergency") != "none", F.concat(F.lit("emergency="), F.col("emergency"))))
@@ -247,11 +257,11 @@ def live_flags(tracks: DataFrame, apt: str, fresh_min: int = 20, lookback_min: i
                                         emergency_text.alias("detail"))),
         F.when((F.col("snapshot_ts") > F.col("appr_ts")) & (F.col("alt_ft") > elev_ft + 2000) & (F.col("vrate_fpm") > 400),
                F.struct(F.lit("go_around").alias("kind"), F.lit(3).alias("severity"),
-                        F.lit("was low on final in the last window, now climbing away").alias("detail"))),
+                        F.lit("low on approach lately, climbing now").alias("detail"))),
         F.when((F.col("n") >= 6) & (F.col("heading_spread") >= 0.5) & (F.col("ns_nm") <= 15) & (F.col("ew_nm") <= 15)
                & F.col("mean_alt").between(2000, 20000) & F.col("mean_dist").between(5, 60),
                F.struct(F.lit("holding").alias("kind"), F.lit(2).alias("severity"),
-                        F.concat(F.lit("racetrack geometry, heading spread "),
+                        F.concat(F.lit("circling lately, spread of headings "),
                                  F.col("heading_spread").cast("string")).alias("detail"))))
     return (
         now.withColumn("_flag", F.explode(F.filter(rules, lambda r: r.isNotNull())))

@@ -77,7 +77,7 @@ def training_rows(arrivals: DataFrame, td: DataFrame) -> DataFrame:
 
 def scoring_rows(tracks: DataFrame, inbound: DataFrame, max_dist_nm: float = 120, fresh_min: float = 20) -> DataFrame:
     """Newest report of each aircraft seen lately, if it is inbound, airborne and moving."""
-    fresh = within_latest(tracks, "snapshot_ts", fresh_min).drop("_newest")
+    fresh = within_latest(tracks, "snapshot_ts", fresh_min)
     newest = fresh.groupBy("icao").agg(F.max_by(F.struct(*fresh.columns), "snapshot_ts").alias("_r")).select("_r.*")
     live = newest.where(F.col("inbound_flag") & ~F.col("is_grounded") & (F.col("dist_to_apt_nm") <= max_dist_nm)
                         & (F.col("gs_kt") > 40))

@@ -110,6 +110,11 @@ def importances(model: PipelineModel, like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def assembled(stages: list) -> list[str]:
+    """The columns that a pipeline's stages hand to its model, in their order."""
+    return next(list(s.getInputCols()) for s in stages if isinstance(s, VectorAssembler))
+
+
 def check_inputs(model_features: list[str], given: list[str]) -> None:
     """Fails when the given columns lack a model input or hold them in another order."""
     drift = schema_drift(model_features, given)
@@ -120,6 +125,7 @@ def check_inputs(model_features: list[str], given: list[str]) -> None:
 def score_batch(model: PipelineModel, rows: DataFrame, version: int, scored_at: Column) -> DataFrame:
     """Prediction rows of one run, on the cluster from end to end."""
     check_inputs(ETA_FEATURES, [c for c in ETA_FEATURES if c in rows.columns])
+    check_inputs(assembled(model.stages), assembled(_prepare()))
     scored = predict(model, rows)
     arrive = F.timestamp_micros(F.unix_micros("snapshot_ts") + F.round(F.col("predicted_eta_min") * 60_000_000).cast("bigint"))
     return scored.select(

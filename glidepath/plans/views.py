@@ -13,8 +13,8 @@ from glidepath.operators import demand
 def latest_run(df: DataFrame, stamp: str = "scored_at", where: Column | None = None) -> DataFrame:
     """All rows of the newest run; `where` limits both the rows and the search for that run."""
     rows = df if where is None else df.where(where)
-    newest = rows.agg(F.max(stamp).alias("_newest"))  # one row
-    return rows.join(F.broadcast(newest), F.col(stamp) == F.col("_newest")).drop("_newest")
+    newest = rows.agg(F.unix_micros(F.max(stamp)).alias("m")).first()["m"]  # a literal, so the filter reaches the scan
+    return rows.where(F.lit(False) if newest is None else F.col(stamp) == F.timestamp_micros(F.lit(newest)))
 
 
 def latest_rows(df: DataFrame, stamp: str, n: int = 1) -> DataFrame:

@@ -288,7 +288,7 @@ def windowed_batch(spark, sf):
 
 @query("r07_session_segments", with_parts("""
 SELECT icao, min(ts) AS seg_start_ts, max(ts) AS seg_end_ts, count(*) AS n_reports, round(min(dist_to_apt_nm),6) AS min_dist_nm FROM (
- SELECT *, sum(CASE WHEN gap<=180 THEN 0 ELSE 1 END) OVER (PARTITION BY icao ORDER BY ts) AS grp FROM trk_lag) q GROUP BY icao, grp HAVING max(ts)+180<=(SELECT m FROM mark)"""))
+ SELECT *, sum(CASE WHEN gap<=180 THEN 0 ELSE 1 END) OVER (PARTITION BY icao ORDER BY ts) AS grp FROM paired) q GROUP BY icao, grp HAVING max(ts)+180<=(SELECT m FROM mark)"""))
 def sessions(spark, sf):
     return flat(drained(spark, medallion.session_segments(positions_stream(spark, sf)), "sessions"))
 

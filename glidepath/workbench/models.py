@@ -100,9 +100,9 @@ part("aligned", """
 SELECT coalesce(n.band,o.band) AS band, n.MAE_min AS challenger, o.MAE_min AS champion, n.MAE_min-o.MAE_min AS delta FROM bands_new n FULL JOIN bands_old o ON o.band=n.band
 """)
 part("gated", """
-SELECT gain>=-1 AND bad IS NULL AS passed, gain, concat_ws(' | ', printf('overall MAE %.3f vs champion %.3f (%+.1f%%)', new, old, gain),
- CASE WHEN gain<-1 THEN 'FAILS: worse than champion by more than the 1.0% noise band and short of the 2.0% improvement bar' END,
- CASE WHEN bad IS NOT NULL THEN 'FAILS: band regression > 0.05 min in {'||bad||'}' END) AS reasons FROM (
+SELECT gain>=-1 AND bad IS NULL AS passed, gain, concat_ws(' | ', printf('error %.3f, champion %.3f, gain %+.1f%%', new, old, gain),
+ CASE WHEN gain<-1 THEN 'gain below 2.0% and beyond the tolerance of 1.0%' END,
+ CASE WHEN bad IS NOT NULL THEN 'bands worse by more than 0.05 min: {'||bad||'}' END) AS reasons FROM (
  SELECT 100*(max(champion) FILTER (band='ALL')-max(challenger) FILTER (band='ALL'))/max(champion) FILTER (band='ALL') AS gain, max(challenger) FILTER (band='ALL') AS new,
  max(champion) FILTER (band='ALL') AS old, string_agg(''''||band||''': '||round(delta,3), ', ' ORDER BY band) FILTER (band<>'ALL' AND delta>0.05) AS bad FROM aligned) q
 """)

@@ -198,8 +198,7 @@ SELECT scored_at, CAST(round(max(seen)) AS BIGINT) AS seen, CAST(round(sum(q50)
 """)
 part("sit_f", """
 SELECT scored_at, count(*) FILTER (kind='emergency') AS em, count(*) FILTER (kind='go_around') AS ga, count(*) FILTER (kind='holding') AS ho,
- string_agg(callsign, ', ' ORDER BY rk) FILTER (rk<=5 AND kind='emergency') AS em_names,
- string_agg(callsign||' ('||replace(kind,'_','-')||', '||CAST(round(dist_nm) AS BIGINT)||' nm)', ', ' ORDER BY rk) FILTER (rk<=5 AND kind<>'emergency') AS others
+ string_agg(callsign||' '||replace(kind,'_',' ')||' at '||CAST(round(dist_nm) AS BIGINT)||' nm', ', ' ORDER BY rk) FILTER (rk<=5) AS listed
 FROM (SELECT *, row_number() OVER (PARTITION BY scored_at ORDER BY severity DESC, dist_nm, icao, kind) AS rk FROM flg) q GROUP BY 1
 """)
 part("sit", """
@@ -229,13 +228,11 @@ def facts(spark, sf):
 
 
 @query("t08_facts_text", with_parts("""
-SELECT now, concat_ws(' ', CASE WHEN has_f AND em>0 THEN 'Emergency: '||coalesce(em_names, em||' aircraft')||' squawking emergency.' END,
- CASE WHEN d_at IS NULL THEN 'The demand forecast is unavailable.' ELSE CASE WHEN over>0 THEN 'Surge: '||over||CASE WHEN over=1 THEN ' bin' ELSE ' bins' END||' of 15 minutes '||
-   CASE WHEN over=1 THEN 'is' ELSE 'are' END||' predicted over the AAR. ' ELSE '' END||hour1||' arrivals are predicted in the next hour against an AAR of 20 per hour. The busiest 15 minutes starts at '||peak_utc||
-   ' UTC with '||peak||' predicted (upper '||peak_up||') against 5.0.' END,
- CASE WHEN over=0 AND up_over>0 THEN 'No bin is predicted over the AAR, but '||up_over||' could be at the upper estimate.' END,
- inbound||CASE WHEN inbound=1 THEN ' aircraft is' ELSE ' aircraft are' END||' inbound to KATL: '||w10||' predicted to land within 10 minutes and '||w30||' within 30. First is '||first_cs||' in '||first_eta||' minutes.',
- CASE WHEN has_f AND (ho>0 OR ga>0) THEN 'Flagged: '||coalesce(others,'')||'.' WHEN NOT has_f OR em=0 THEN 'No aircraft are flagged for holding, go-around or emergency.' END) AS text FROM sit"""))
+SELECT now, concat_ws(' ', 'Inbound to KATL: '||inbound||'; landing within 10 min: '||w10||', within 30 min: '||w30||'; next '||first_cs||' ('||first_eta||' min).',
+ CASE WHEN d_at IS NULL THEN 'Demand: no data.' ELSE 'Next hour: '||hour1||' of 20 possible landings. Peak quarter '||peak_utc||' UTC: '||peak||' (up to '||peak_up||
+   ') of 5.0. Quarters over capacity: '||over||' expected, '||up_over||' at most.' END,
+ 'Flags: emergency '||CASE WHEN has_f THEN em ELSE 0 END||', go-around '||CASE WHEN has_f THEN ga ELSE 0 END||', holding '||CASE WHEN has_f THEN ho ELSE 0 END||'.',
+ CASE WHEN has_f THEN 'Listed: '||listed||'.' END) AS text FROM sit"""))
 def facts_text(spark, sf):
     return flat(situation.facts_text(_facts(spark, sf)).select("now", "text"))
 

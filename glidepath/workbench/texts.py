@@ -89,11 +89,11 @@ def failed(spark, sf):
 
 
 part("ready", """
-SELECT o.o_orderkey AS run_id, concat_ws(' | ', CASE WHEN t.bad IS NOT NULL THEN 'failed steps: '||t.bad END,
- CASE WHEN o_orderkey%17=0 THEN 'ingested data (gold_tracks): no rows' WHEN o_orderkey%20>15 THEN 'ingested data (gold_tracks): '||(o_orderkey%20)||' min old (> 15)' END,
+SELECT o.o_orderkey AS run_id, concat_ws(' | ', CASE WHEN t.bad IS NOT NULL THEN 'not finished: '||t.bad END,
+ CASE WHEN o_orderkey%17=0 THEN 'tracks: no rows' WHEN o_orderkey%20>15 THEN 'tracks: '||(o_orderkey%20)||' min old (> 15)' END,
  CASE WHEN o_custkey%18>15 THEN 'demand forecast: '||(o_custkey%18)||' min old (> 15)' END) AS reasons, (o_orderkey%320)/16e0+0.01e0 AS el,
- concat_ws(' | ', CASE WHEN o_orderpriority='5-LOW' THEN 'briefing used the template fallback (LLM call failed or was rejected)' END,
- CASE WHEN o_custkey%9=0 THEN 'no inbound aircraft in the fresh burst — quiet sky, chat answers will be thin' END, CASE WHEN t.slow IS NOT NULL THEN 'slow task start: '||t.slow END) AS rest
+ concat_ws(' | ', CASE WHEN o_orderpriority='5-LOW' THEN 'text comes from the template' END,
+ CASE WHEN o_custkey%9=0 THEN 'newest snapshot has no inbound aircraft' END, CASE WHEN t.slow IS NOT NULL THEN 'started late: '||t.slow END) AS rest
 FROM orders o LEFT JOIN (SELECT run_id, string_agg(DISTINCT task, ', ' ORDER BY task) FILTER (state<>'SUCCESS' AND task<>'task1') AS bad,
  string_agg(DISTINCT task||' setup '||CAST(round_even(setup/1000,0) AS BIGINT)||' s', ', ' ORDER BY task||' setup '||CAST(round_even(setup/1000,0) AS BIGINT)||' s') FILTER (round_even(setup/1000,0)>60) AS slow
  FROM step GROUP BY 1) t ON t.run_id=o.o_orderkey
@@ -102,7 +102,7 @@ FROM orders o LEFT JOIN (SELECT run_id, string_agg(DISTINCT task, ', ' ORDER BY
 
 @query("h10_readiness", with_parts("""
 SELECT run_id, CASE WHEN reasons<>'' THEN 'NOT_READY' WHEN el>10 THEN 'READY_SLOW' ELSE 'READY' END AS status, reasons,
- concat_ws(' | ', CASE WHEN reasons='' AND el>10 THEN printf('took %.1f min (budget 10)', el) END, nullif(rest,'')) AS warnings FROM ready"""))
+ concat_ws(' | ', CASE WHEN reasons='' AND el>10 THEN printf('%.1f min, over the budget of 10', el) END, nullif(rest,'')) AS warnings FROM ready"""))
 def ready(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     status = td.table(spark, sf, "orders").select(

@@ -181,8 +181,8 @@ def test_readiness(spark, age, elapsed, source, status):
     state = spark.createDataFrame([(1, age, 1.0, 1.0, source, 3, elapsed)], "run_id bigint, gold_age_min double, forecast_age_min double,"
                                   " briefing_age_min double, briefing_source string, n_inbound bigint, elapsed_min double")
     row = runs.readiness(steps, state).first()
-    assert row["status"] == status and "slow task start: poll setup 61 s" in row["warnings"]
-    assert ("took 10.5 min (budget 10)" in row["warnings"]) is (status == "READY_SLOW")
+    assert row["status"] == status and "started late: poll setup 61 s" in row["warnings"]
+    assert ("10.5 min, over the budget of 10" in row["warnings"]) is (status == "READY_SLOW")
 
 
 @pytest.mark.parametrize("body,kind", [("HTTP 403 in a Traceback", "auth"), ("Error: 503 retry", "transient"), ("KeyError: x", "code"),
