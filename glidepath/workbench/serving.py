@@ -228,10 +228,10 @@ def facts(spark, sf):
 
 
 @query("t08_facts_text", with_parts("""
-SELECT now, concat_ws(' ', 'Inbound to KATL: '||inbound||'; landing within 10 min: '||w10||', within 30 min: '||w30||'; next '||first_cs||' ('||first_eta||' min).',
+SELECT now, concat_ws(' ', 'Inbound aircraft at KATL: '||inbound||'; landing within 10 min: '||w10||', within 30 min: '||w30||'; next '||first_cs||' ('||first_eta||' min).',
  CASE WHEN d_at IS NULL THEN 'Demand: no data.' ELSE 'Next hour: '||hour1||' of 20 possible landings. Peak quarter '||peak_utc||' UTC: '||peak||' (up to '||peak_up||
    ') of 5.0. Quarters over capacity: '||over||' expected, '||up_over||' at most.' END,
- 'Flags: emergency '||CASE WHEN has_f THEN em ELSE 0 END||', go-around '||CASE WHEN has_f THEN ga ELSE 0 END||', holding '||CASE WHEN has_f THEN ho ELSE 0 END||'.',
+ CASE WHEN has_f THEN 'Flags: emergency '||em||', go-around '||ga||', holding '||ho||'.' ELSE 'Flags: none.' END,
  CASE WHEN has_f THEN 'Listed: '||listed||'.' END) AS text FROM sit"""))
 def facts_text(spark, sf):
     return flat(situation.facts_text(_facts(spark, sf)).select("now", "text"))

@@ -184,7 +184,7 @@ def test_refresh_and_retrain(spark, sf_dir):
     assert cat.read("predictions").count() > 0 and cat.read("demand_forecast").count() == 12
     assert cat.read("predictions").where("predicted_eta_min < 0").count() == 0
     refresh.brief(cat, now, "KATL")
-    assert "Inbound to KATL" in cat.read("ops_briefings").first()["briefing"]
+    assert "Inbound aircraft at KATL" in cat.read("ops_briefings").first()["briefing"]
     docs = spark.createDataFrame([('{"run_id": 1, "tasks": []}',)], "doc string")
     verdict = refresh.check(cat, docs, 1, now, "KATL", 8.0).first()
     assert verdict["status"] == "READY", verdict

@@ -98,7 +98,7 @@ def test_old_flags_count_as_none(spark):
 def test_missing_sources_are_unavailable(spark):
     now = spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("now"))
     body = situation.facts_text(situation.situation_facts(None, None, None, "KATL", now)).first()["text"]
-    assert body == ("The demand forecast is unavailable. Arrival predictions are unavailable. Irregularity flags are unavailable.")
+    assert body == ("Inbound: no data. Demand: no data. Flags: no data.")
 
 
 def test_citations(spark):
