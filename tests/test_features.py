@@ -87,7 +87,7 @@ def bands(spark, **mae):
 def test_gate(spark, new, old, passed):
     row = gate.evaluate_gate(bands(spark, **new), bands(spark, **old), 0.15).first()
     assert row["passed"] is passed
-    assert row["reasons"].startswith(f"overall MAE {new['ALL']:.3f} vs champion 1.000")
+    assert row["reasons"].startswith(f"error {new['ALL']:.3f}, champion 1.000")
 
 
 def test_gate_bootstrap_and_audit(spark):
