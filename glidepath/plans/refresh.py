@@ -1,6 +1,6 @@
 """The live refresh: Silver to tracks, rule tables, scores, flags, facts and the readiness verdict.
 
-Steps hand over through catalog tables, so each one reads stored rows and a lost executor costs
+Steps hand over through written tables, so each one reads stored rows and a lost executor costs
 only the running step.
 """
 
@@ -35,12 +35,12 @@ def _kpis(cat: Catalog, silver: DataFrame) -> None:
 
 def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> None:
     """Full rebuild of tracks and everything derived from them."""
-    cat.replace("tracks", enrich_tracks(silver).withColumn("dt", F.to_date("snapshot_ts")), ["dt"], ["icao", "snapshot_ts"])
-    tracks = cat.read("tracks").drop("dt")
-    cat.replace("segments", events.segment_summary(tracks, elev_ft))
-    cat.replace("congestion", traffic.congestion(tracks))
+    cat.replace("tracks", enrich_tracks(silver), "snapshot_ts", ["icao", "snapshot_ts"])
+    tracks = cat.read("tracks")
+    cat.replace("segments", events.segment_summary(tracks, elev_ft), "seg_end_ts")
+    cat.replace("congestion", traffic.congestion(tracks), "minute_ts")
     for name, df in _rule_tables(tracks, cat.read("segments"), elev_ft).items():
-        cat.replace(name, df)
+        cat.replace(name, df, "seg_end_ts")
     _kpis(cat, silver)
 
 
@@ -53,45 +53,39 @@ def update_gold(cat: Catalog, silver: DataFrame, cutoff: str, lookback_s: int =
     The tracks of those segments are read from the oldest start among them, not from the beginning.
     """
     fresh = incremental_tracks(silver, cutoff, lookback_s, max_gap_s=max_gap_s)
-    cat.replace_window("tracks", fresh.withColumn("dt", F.to_date("snapshot_ts")), "snapshot_ts", cutoff, ["dt"], ["icao", "snapshot_ts"])
+    cat.replace_window("tracks", fresh, "snapshot_ts", cutoff, ["icao", "snapshot_ts"])
     at = datetime.fromisoformat(cutoff)
-    grown = (at - timedelta(seconds=max_gap_s)).isoformat(" ")
-    tracks = cat.read("tracks")
-    since = F.lit(grown).cast("timestamp")
-    near = tracks.where((F.col("dt") >= F.to_date(since)) & (F.col("snapshot_ts") >= since))
+    grown = at - timedelta(seconds=max_gap_s)
+    near = cat.since("tracks", "snapshot_ts", grown)
     oldest = near.agg(F.min("seg_start_ts").alias("s")).first()["s"]  # one value, as a literal for the scan
     if oldest is None:
         return
-    touched = near.select("seg_id").distinct()
-    whole = (tracks.where((F.col("dt") >= F.lit(oldest.date())) & (F.col("snapshot_ts") >= F.lit(oldest)))
-             .join(touched, "seg_id", "left_semi").drop("dt"))
+    whole = cat.since("tracks", "snapshot_ts", oldest).join(near.select("seg_id").distinct(), "seg_id", "left_semi")
     segments = stored(events.segment_summary(whole, elev_ft), "segments")
-    cat.replace_window("segments", segments, "seg_end_ts", grown)
+    cat.replace_window("segments", segments, "seg_end_ts", grown.isoformat(" "))
     for name, df in _rule_tables(whole, segments, elev_ft).items():
-        cat.replace_window(name, df, "seg_end_ts", grown)
+        cat.replace_window(name, df, "seg_end_ts", grown.isoformat(" "))
     minute = at.replace(second=0, microsecond=0)
-    m = F.lit(minute.isoformat(" ")).cast("timestamp")
-    cat.replace_window("congestion", traffic.congestion(tracks.where((F.col("dt") >= F.to_date(m)) & (F.col("snapshot_ts") >= m))),
-                       "minute_ts", minute.isoformat(" "))
+    cat.replace_window("congestion", traffic.congestion(cat.since("tracks", "snapshot_ts", minute)), "minute_ts", minute.isoformat(" "))
     _kpis(cat, silver)
 
 
 def score(cat: Catalog, model: PipelineModel, version: int, now, profile: DataFrame, apt: str) -> None:
     """Appends one run of predictions, forecast and flags, all stamped `now`."""
     at = F.lit(now).cast("timestamp")
-    tracks = cat.read("tracks").drop("dt")
+    tracks = cat.read("tracks")
     inbound = traffic.common_ring_inbound(cat.read("congestion"))
-    cat.append("predictions", learn.score_batch(model, features.scoring_rows(tracks, inbound), version, at))
+    cat.append("predictions", learn.score_batch(model, features.scoring_rows(tracks, inbound), version, at), "scored_at")
     moment = cat.spark.range(1).select(F.lit(apt).alias("series"), at.alias("scored_at"))
     asked = demand.score_requests(cat.read("touchdowns").where(F.col("apt_icao") == apt), moment)
-    cat.append("demand_forecast", demand.forecast(asked, profile))
-    cat.append("irregularity_flags", events.live_flags(tracks, apt).withColumn("scored_at", at))
+    cat.append("demand_forecast", demand.forecast(asked, profile), "scored_at")
+    cat.append("irregularity_flags", events.live_flags(tracks, apt).withColumn("scored_at", at), "scored_at")
 
 
 def brief(cat: Catalog, now, apt: str, per_hour: float = ACCEPTANCE_PER_HOUR) -> None:
     """Appends the situation text of the moment, with the age of its data."""
     moment = cat.spark.range(1).select(F.lit(now).cast("timestamp").alias("now"))
-    tables = [cat.read(t) if cat.exists(t) else None for t in LIVE]
+    tables = [cat.newest_day(t) if cat.exists(t) else None for t in LIVE]
     facts = situation.facts_text(situation.situation_facts(*tables, apt, moment, per_hour))
     rows = facts.select(
         F.col("now").alias("generated_at"), F.lit(apt).alias("apt_icao"), F.col("text").alias("briefing"), F.lit("template").alias("source"),
@@ -110,7 +104,7 @@ def check(cat: Catalog, run_docs: DataFrame, run_id: int, now, apt: str, elapsed
         return newest.select(((F.unix_micros(at) - F.unix_micros("_s")) / 6e7).alias(label))
     source = (cat.read("ops_briefings").agg(F.max_by("source", "generated_at").alias("briefing_source")) if cat.exists("ops_briefings")
               else cat.spark.range(1).select(F.lit(None).cast("string").alias("briefing_source")))
-    inbound = (cat.read("predictions").where(F.col("scored_at") == at) if cat.exists("predictions") else cat.spark.range(0)).agg(
+    inbound = (cat.newest_day("predictions").where(F.col("scored_at") == at) if cat.exists("predictions") else cat.spark.range(0)).agg(
         F.count(F.lit(1)).alias("n_inbound"))
     status = (age("tracks", "snapshot_ts", "gold_age_min").crossJoin(age("demand_forecast", "scored_at", "forecast_age_min"))
               .crossJoin(age("ops_briefings", "generated_at", "briefing_age_min")).crossJoin(source).crossJoin(inbound)

@@ -15,7 +15,7 @@ ETA_MODEL = "ml.eta_touchdown"
 
 def build_training(cat: Catalog, day: str = "obs_day") -> None:
     """The arrival training set and the demand series, from the stored gold tables."""
-    tracks = cat.read("tracks").drop("dt")
+    tracks = cat.read("tracks")
     inbound = traffic.common_ring_inbound(cat.read("congestion"))
     cat.replace("arrival_tracks", features.arrival_training_set(tracks, cat.read("touchdowns"), inbound))
     rows = features.training_rows(cat.read("arrival_tracks"), cat.read("touchdowns"))
@@ -25,9 +25,9 @@ def build_training(cat: Catalog, day: str = "obs_day") -> None:
 
 def register(cat: Catalog, model: PipelineModel, name: str, info: dict) -> int:
     """Saves a model as the next version and points `challenger` at it."""
-    versions = [r["version"] for r in cat.read("models").where(F.col("model") == name).select("version").collect()] if cat.exists("models") else []
-    version = max(versions, default=0) + 1  # one row per registered model version
-    path = f"{cat.write_root}/_models/{name}/{version}"
+    last = cat.read("models").where(F.col("model") == name).agg(F.max("version").alias("v")).first()["v"] if cat.exists("models") else None
+    version = (last or 0) + 1
+    path = f"{cat.root}/_models/{name}/{version}"
     model.write().save(path)
     row = cat.spark.range(1).select(
         F.lit(name).alias("model"), F.lit(version).cast("bigint").alias("version"), F.lit(path).alias("path"),

@@ -1,21 +1,19 @@
-"""Versioned tables on a shared folder: rebuild, window replace, append, pinned reads, reset.
+"""Tables as plain Parquet folders under one root: rebuild, window replace, widening append, numbered loads, reset.
 
-A table is a folder of immutable version folders, and a manifest per version that is written
-last. Readers see a version only once its manifest exists, so a job that loses executors or dies
-half way leaves the previous version in place. One writer per table at a time.
-
-A version lists its parts. Replacing a time window adds a part and bounds the older ones by the
-cutoff, so the cost is that of the window, not of the table.
+A table with a time column is partitioned by its day, `dt`, so windows are read and replaced by
+day folders. Spark stages every write and swaps folders at commit. Silver is the source of truth:
+after a run that died while swapping, the same call with a cutoff at the start of the day builds
+its window again. One writer per table at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glidepath.session import fresh_path
 
@@ -28,142 +26,109 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class Catalog:
-    """Tables under `write_root`, read from `read_root` where a table is not yet written."""
-
-    def __init__(self, spark: SparkSession, write_root: str, read_root: str | None = None):
-        self.spark, self.write_root, self.read_root = spark, write_root.rstrip("/"), (read_root or write_root).rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _manifests(self, root: str, name: str) -> list[int]:
-        fs, p = self._fs(f"{root}/{name}/_versions")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+    """Tables under `root`. A day of a table is written as at most `files_per_day` files."""
 
-    def _root_of(self, name: str) -> str:
-        return self.write_root if self._manifests(self.write_root, name) else self.read_root
+    def __init__(self, spark: SparkSession, root: str, files_per_day: int = 32):
+        self.spark, self.root, self.files_per_day = spark, root.rstrip("/"), files_per_day
 
-    def versions(self, name: str) -> list[int]:
-        return self._manifests(self._root_of(name), name)
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        return bool(self.versions(name))
-
-    def manifest(self, name: str, version: int | None = None) -> dict:
-        root = self._root_of(name)
-        known = self._manifests(root, name)
-        if not known:
-            raise FileNotFoundError(f"table {name} has no version")
-        v = known[-1] if version is None else version
-        if v not in known:
-            raise FileNotFoundError(f"table {name} has no version {v}")
-        text = self.spark.read.text(f"{root}/{name}/_versions/{v:010d}.json", wholetext=True).first()[0]
-        return json.loads(text) | {"version": v}
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """The newest or a pinned version; columns added later read as null in older parts."""
-        m = self.manifest(name, version)
-        schema = _schema(m["schema"])
-        if not m["parts"]:
-            return self.spark.createDataFrame([], schema)
-        out = None
-        for part in m["parts"]:
-            df = self._part(part)
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-        missing = [f for f in schema.fields if f.name not in out.columns]
-        return out.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(schema.fieldNames())
-
-    def _part(self, part: dict) -> DataFrame:
-        """A part's rows before its bound; the bound also prunes day folders."""
-        df = self.spark.read.schema(_schema(part["schema"])).option("basePath", part["path"]).parquet(part["path"])
-        if part.get("before"):
-            bound = F.lit(part["before"]).cast("timestamp")
-            df = df.where(F.col(part["time_col"]).isNull() | (F.col(part["time_col"]) < bound))
-            if "dt" in part["partition_by"]:
-                df = df.where(F.col("dt").isNull() | (F.col("dt") <= F.to_date(bound)))
-        return df
-
-    def _commit(self, name: str, parts: list[dict], schema: str, why: str) -> int:
-        known = self._manifests(self.write_root, name)
-        version = known[-1] + 1 if known else 1
-        fs, _ = self._fs(f"{self.write_root}/{name}")
-        jvm = self.spark._jvm
-        folder = f"{self.write_root}/{name}/_versions"
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-        draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}")
-        out = fs.create(draft)
-        out.write(bytearray(json.dumps({"parts": parts, "schema": schema, "why": why}).encode()))
-        out.close()
-        # a rename within one folder is atomic on the file systems Spark writes to
-        if not fs.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{folder}/{version:010d}.json")):
-            raise RuntimeError(f"version {version} of {name} was written by another job")
-        return version
-
-    def _write_part(self, df: DataFrame, name: str, partition_by: list[str], cluster_by: list[str], files: int = 32) -> dict:
-        """Writes one part. Each partition value goes to `files` tasks, chosen by the first cluster
-        column (else by the whole row), so a hot day is spread and a key's rows stay together."""
-        path = f"{self.write_root}/{name}/data-{uuid.uuid4().hex}"
-        if partition_by:
-            spread = F.pmod(F.xxhash64(*(cluster_by[:1] or df.columns)), F.lit(files))
-            df = df.repartition(*partition_by, spread)
-        if partition_by or cluster_by:
-            df = df.sortWithinPartitions(*partition_by, *cluster_by)
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
-        return {"path": path, "schema": df.schema.json(), "partition_by": partition_by}
-
-    def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> int:
-        """Full rebuild as a new version."""
-        part = self._write_part(df, name, partition_by or [], cluster_by or [])
-        return self._commit(name, [part], df.schema.json(), "replace")
-
-    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
+        try:
+            self.spark.read.parquet(self.path(name))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+        return True
+
+    def _days(self, name: str, widened: bool = False) -> DataFrame:
+        return self.spark.read.option("mergeSchema", widened).parquet(self.path(name))
+
+    def read(self, name: str, widened: bool = False) -> DataFrame:
+        """The table. `widened` merges the schemas of all files: columns appended later are null in older rows."""
+        return self._days(name, widened).drop("dt")
+
+    def since(self, name: str, time_col: str, moment: datetime) -> DataFrame:
+        """Rows at or after a moment (UTC); only the folders of its day and later ones are read."""
+        at = F.lit(moment.isoformat(" ")).cast("timestamp")
+        return self._days(name).where((F.col("dt") >= F.lit(moment.date())) & (F.col(time_col) >= at)).drop("dt")
+
+    def newest_day(self, name: str) -> DataFrame:
+        """Rows of the last day that has any."""
+        rows = self._days(name)
+        return rows.where(F.col("dt") == F.lit(rows.agg(F.max("dt").alias("d")).first()["d"])).drop("dt")
+
+    def _write(self, df: DataFrame, name: str, mode: str, time_col: str | None, cluster_by: list[str], days: str = "static") -> None:
+        """Each day goes to `files_per_day` tasks, chosen by the first cluster column (else by the
+        whole row), so a hot day is spread and a key's rows stay together."""
+        if time_col is None:
+            (df.sortWithinPartitions(*cluster_by) if cluster_by else df).write.mode(mode).parquet(self.path(name))
+            return
+        spread = F.pmod(F.xxhash64(*(cluster_by[:1] or df.columns)), F.lit(self.files_per_day))
+        dealt = df.withColumn("dt", F.to_date(time_col)).repartition("dt", spread).sortWithinPartitions("dt", *cluster_by)
+        dealt.write.mode(mode).option("partitionOverwriteMode", days).partitionBy("dt").parquet(self.path(name))
+
+    def _no_rows(self, schema: StructType, name: str, day: str, mode: str) -> None:
+        """Writes a day folder without rows; its file holds the schema."""
+        self.spark.createDataFrame([], schema).write.mode(mode).parquet(f"{self.path(name)}/dt={day}")
+
+    def replace(self, name: str, df: DataFrame, time_col: str | None = None, cluster_by: list[str] | None = None) -> None:
+        """Full rebuild. `df` must not read the table itself: Spark refuses that; write it with `stored` first."""
+        self._write(df, name, "overwrite", time_col, cluster_by or [])
+        if time_col:
+            self._no_rows(df.schema, name, "__HIVE_DEFAULT_PARTITION__", "append")  # a table without rows keeps its columns
+
+    def append(self, name: str, df: DataFrame, time_col: str | None = None) -> None:
         """Adds rows; new columns widen the table."""
-        if not self.exists(name):
-            return self.replace(name, df, partition_by)
-        m = self.manifest(name)
-        part = self._write_part(df, name, partition_by or [], [])
-        return self._commit(name, [*m["parts"], part], self._widened(m["schema"], df), "append")
+        if self.exists(name):
+            self._write(df, name, "append", time_col, [])
+        else:
+            self.replace(name, df, time_col)
 
-    def replace_window(self, name: str, df: DataFrame, time_col: str, cutoff: str, partition_by: list[str] | None = None,
-                       cluster_by: list[str] | None = None) -> int:
-        """Rows at or after `cutoff` (UTC text) are replaced by those of `df`; earlier rows stay.
+    def replace_window(self, name: str, df: DataFrame, time_col: str, cutoff: str, cluster_by: list[str] | None = None) -> None:
+        """Rows at or after `cutoff` (UTC text) are replaced by those of `df`; earlier rows stay, as do rows without a time.
 
-        Only the new rows are written. Older parts are bounded by the cutoff, and dropped when
-        they begin at or after it. A full `replace` folds the parts into one again.
+        Only days from that of the cutoff on are written: its earlier rows are carried over, and days that are left without rows are emptied.
         """
         if not self.exists(name):
             raise FileNotFoundError(f"table {name} is missing: build it in full first")
-        at = datetime.fromisoformat(cutoff).isoformat(" ")
-        m, kept = self.manifest(name), []
-        for part in m["parts"]:
-            if part.get("time_col", time_col) != time_col:
-                raise ValueError(f"table {name} is replaced by {part['time_col']}, not by {time_col}")
-            if not part.get("from") or part["from"] < at:
-                kept.append(part | {"time_col": time_col, "before": min(part.get("before") or at, at)})
-        fresh = df.where(F.col(time_col) >= F.lit(at).cast("timestamp"))
-        part = self._write_part(fresh, name, partition_by or [], cluster_by or []) | {"time_col": time_col, "from": at}
-        return self._commit(name, [*kept, part], self._widened(m["schema"], df), "replace window")
-
-    def _widened(self, schema: str, df: DataFrame) -> str:
-        old = self.spark.createDataFrame([], _schema(schema))
-        return old.unionByName(self.spark.createDataFrame([], df.schema), allowMissingColumns=True).schema.json()
-
-    def reset(self, live: list[str], history: list[str]) -> dict[str, int]:
-        """Empties the live tables by new versions, but only if every history table exists."""
+        moment = datetime.fromisoformat(cutoff)
+        at, day = F.lit(moment.isoformat(" ")).cast("timestamp"), F.lit(moment.date())
+        now = self._days(name)
+        kept = now.where((F.col("dt") == day) & (F.col(time_col) < at)).drop("dt")
+        # written first: a run that dies while folders are swapped leaves the whole window there
+        window = stored(kept.unionByName(df.where(F.col(time_col) >= at), allowMissingColumns=True), f"{name}-window")
+        # one row per calendar day since the cutoff
+        was = {r["dt"] for r in now.where(F.col("dt") >= day).select("dt").distinct().collect()}
+        held = {r["dt"] for r in window.select(F.to_date(time_col).alias("dt")).distinct().collect()}
+        self._write(window, name, "overwrite", time_col, cluster_by or [], "dynamic")
+        for empty in sorted(was - held):
+            self._no_rows(window.schema, name, str(empty), "overwrite")
+
+    def append_load(self, name: str, df: DataFrame, load: int) -> None:
+        """Adds a full load under its number; the same number again replaces it."""
+        df.withColumn("load", F.lit(load)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(self.path(name))
+
+    def read_load(self, name: str, load: int) -> DataFrame:
+        """One load, whatever was loaded since; only its folder is read."""
+        return self.read(name).where(F.col("load") == load).drop("load")
+
+    def reset(self, live: list[str], history: list[str]) -> None:
+        """Empties the live tables, but only if every history table exists."""
         missing = [t for t in history if not self.exists(t)]
         if missing:
             raise RuntimeError("preflight failed, nothing was reset: missing " + ", ".join(missing))
-        done = {}
         for name in live:
             if self.exists(name):
-                done[name] = self._commit(name, [], self.manifest(name)["schema"], "reset")
-        return done
+                rows = self._days(name, widened=True)
+                empty = self.spark.createDataFrame([], rows.drop("dt").schema)
+                if "dt" in rows.columns:
+                    empty.withColumn("dt", F.lit(None).cast("date")).write.mode("overwrite").partitionBy("dt").parquet(self.path(name))
+                    self._no_rows(empty.schema, name, "__HIVE_DEFAULT_PARTITION__", "append")
+                else:
+                    empty.write.mode("overwrite").parquet(self.path(name))
 
     def point(self, alias: str, model: str, version: int) -> None:
         """Moves a model alias; the pointer table keeps every move."""
@@ -180,11 +145,6 @@ class Catalog:
         return hit["v"]
 
 
-def _schema(text: str):
-    from pyspark.sql.types import StructType
-    return StructType.fromJson(json.loads(text))
-
-
 def merge_updates(inserts: DataFrame, updates: DataFrame, key: str, stamp: str) -> DataFrame:
     """Inserted rows with later column updates applied: per key and column the newest non-null value."""
     columns = [c for c in inserts.columns if c not in (key, stamp)]

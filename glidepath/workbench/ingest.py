@@ -174,10 +174,10 @@ def layout(spark, sf):
 SELECT seg_id, icao, ts AS snapshot_ts, CASE WHEN ts>=1704067200+7200 THEN 'new' ELSE 'old' END AS build FROM trk"""))
 def window_replaced(spark, sf):
     cat = catalog.Catalog(spark, fresh_path(spark, "catalog"))
-    rows = td.tracks(spark, sf).select("seg_id", "icao", "snapshot_ts").withColumn("dt", F.to_date("snapshot_ts"))
-    cat.replace("tracks", rows.withColumn("build", F.lit("old")), ["dt"], ["icao", "snapshot_ts"])
-    cat.replace_window("tracks", rows.withColumn("build", F.lit("new")), "snapshot_ts", "2024-01-01 02:00:00", ["dt"], ["icao", "snapshot_ts"])
-    return flat(cat.read("tracks").drop("dt"))
+    rows = td.tracks(spark, sf).select("seg_id", "icao", "snapshot_ts")
+    cat.replace("tracks", rows.withColumn("build", F.lit("old")), "snapshot_ts", ["icao", "snapshot_ts"])
+    cat.replace_window("tracks", rows.withColumn("build", F.lit("new")), "snapshot_ts", "2024-01-01 02:00:00", ["icao", "snapshot_ts"])
+    return flat(cat.read("tracks"))
 
 
 @query("s12_widened_append", """
@@ -187,30 +187,27 @@ def widened(spark, sf):
     ev = td.table(spark, sf, "events")
     cat.append("runs", ev.where(F.col("event_type") == "view").select("event_id"))
     cat.append("runs", ev.where(F.col("event_type") != "view").select("event_id", "value"))
-    return flat(cat.read("runs"))
+    return flat(cat.read("runs", widened=True))
 
 
 @query("s13_pinned_version", "SELECT event_type, count(*) AS n FROM events WHERE event_type<>'view' GROUP BY 1")
 def pinned(spark, sf):
     cat = catalog.Catalog(spark, fresh_path(spark, "catalog"))
     ev = td.table(spark, sf, "events").select("event_id", "event_type")
-    first = cat.replace("log", ev.where(F.col("event_type") != "view"))
-    cat.replace("log", ev)
-    return flat(cat.read("log", first).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+    cat.append_load("log", ev.where(F.col("event_type") != "view"), 1)
+    cat.append_load("log", ev, 2)
+    return flat(cat.read_load("log", 1).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("s14_reset", "SELECT 'history' AS \"table\", count(*) AS n, CAST(1 AS BIGINT) AS version FROM events UNION ALL SELECT 'live', 0, 2")
+@query("s14_reset", "SELECT 'history' AS \"table\", count(*) AS n FROM events UNION ALL SELECT 'live', 0")
 def reset(spark, sf):
     cat = catalog.Catalog(spark, fresh_path(spark, "catalog"))
     ev = td.table(spark, sf, "events").select("event_id", "event_type")
     cat.replace("history", ev)
     cat.replace("live", ev)
     cat.reset(["live"], ["history"])
-    out = None
-    for name in ("history", "live"):
-        one = cat.read(name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), F.lit(cat.versions(name)[-1]).alias("version"))
-        out = one if out is None else out.unionByName(one)
-    return flat(out)
+    counts = [cat.read(name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n")) for name in ("history", "live")]
+    return flat(counts[0].unionByName(counts[1]))
 
 
 @query("s17_feedback", """

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from helpers import collected, silver
@@ -115,28 +116,34 @@ def test_history_is_conformed(spark, tmp_path):
     assert envelopes.to_silver(out).count() == 2
 
 
-def test_catalog_versions(spark, tmp_path):
+def test_tables_of_plain_files(spark, tmp_path):
     cat = Catalog(spark, str(tmp_path / "c"))
-    rows = spark.range(10).select("id", F.timestamp_seconds("id").alias("ts"))
+    rows = spark.range(10).select("id", F.timestamp_seconds(F.col("id") * (86400 // 4)).alias("ts"))  # ids 0-3, 4-7 and 8-9 by day
     assert not cat.exists("t")
     with pytest.raises(FileNotFoundError):
-        cat.replace_window("t", rows, "ts", "1970-01-01 00:00:05")
-    v1 = cat.replace("t", rows)
-    cat.replace_window("t", rows.select((F.col("id") + 100).alias("id"), "ts"), "ts", "1970-01-01 00:00:05")
-    assert [r.id for r in cat.read("t").orderBy("ts").collect()] == [0, 1, 2, 3, 4, 105, 106, 107, 108, 109]
-    assert cat.read("t", v1).agg(F.max("id")).first()[0] == 9
-    cat.append("t", rows.withColumn("extra", F.lit("x")))
-    assert cat.read("t").where("extra IS NULL").count() == 10 and cat.versions("t") == [1, 2, 3]
+        cat.replace_window("t", rows, "ts", "1970-01-01 12:00:00")
+    cat.replace("t", rows.unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS timestamp) AS ts")), "ts")
+    fresh = rows.where("id BETWEEN 2 AND 3 OR id >= 8").select((F.col("id") + 100).alias("id"), "ts")
+    cat.replace_window("t", fresh, "ts", "1970-01-01 12:00:00")
+    # the cutoff's day keeps its earlier rows, the second day is left without rows, a row without a time stays
+    assert collected(cat.read("t"), "id") == [(-1,), (0,), (1,), (102,), (103,), (108,), (109,)]
+    assert collected(cat.since("t", "ts", datetime(1970, 1, 1, 18)), "id") == [(103,), (108,), (109,)]
+    assert collected(cat.newest_day("t"), "id") == [(108,), (109,)]
+    cat.append("t", rows.withColumn("extra", F.lit("x")), "ts")
+    assert cat.read("t", widened=True).where("extra IS NULL").count() == 7
     with pytest.raises(RuntimeError):
         cat.reset(["t"], ["absent"])
-    assert cat.read("t").count() == 20
-    cat.replace("h", rows)
+    assert cat.read("t").count() == 17
+    cat.replace("h", rows.where("id < 0"), "ts")  # no rows, but columns
+    assert cat.read("h").columns == ["id", "ts"] and cat.read("h").count() == 0
     cat.reset(["t", "none"], ["h"])
-    assert cat.read("t").count() == 0 and cat.read("t", v1).count() == 10
-    other = Catalog(spark, str(tmp_path / "d"), str(tmp_path / "c"))
-    assert other.read("h").count() == 10
-    other.replace("h", rows.where("id < 2"))
-    assert other.read("h").count() == 2 and cat.read("h").count() == 10
+    assert cat.read("t").columns == ["id", "ts", "extra"] and cat.read("t").count() == 0
+    cat.append("t", rows.withColumn("extra", F.lit("x")), "ts")
+    assert cat.read("t").count() == 10
+    cat.append_load("l", rows, 1)
+    cat.append_load("l", rows.where("id < 4"), 2)
+    cat.append_load("l", rows.where("id < 3"), 2)
+    assert [cat.read_load("l", n).count() for n in (1, 2)] == [10, 3]
     assert cat.pointed("champion", "m") is None
     cat.point("champion", "m", 1)
     cat.point("champion", "m", 2)
@@ -175,7 +182,7 @@ def test_refresh_and_retrain(spark, sf_dir):
         assert collected(cat.read(name), *columns) == collected(full.read(name), *columns), name
     retrain.build_training(cat)
     rows = cat.read("training").withColumn("obs_day", F.hour("snapshot_ts"))
-    cat.replace("training", rows)
+    cat.replace("training", catalog.stored(rows, "training"))
     first = retrain.retrain(cat, "obs_day", 2, True, "2024-01-01 03:00:00", n_params=1, max_trees=5).first()
     assert (first["gate_verdict"], first["applied"]) == ("PASS", True) and cat.pointed("champion", retrain.ETA_MODEL) == 1
     model = retrain.load(cat, retrain.ETA_MODEL, 1)
