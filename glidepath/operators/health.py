@@ -85,7 +85,8 @@ def volume_row(df: DataFrame, now: Column, days: int = 7, min_days: int = 3, low
     """Today's reports against the median of the days before; no row with too few days."""
     today = F.to_date(now)
     ago = F.datediff(today, F.col("_d"))
-    per_day = df.groupBy(F.to_date("snapshot_ts").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    recent = df.where((F.col("snapshot_ts") >= F.date_sub(today, days).cast("timestamp")) & (F.col("snapshot_ts") < F.date_add(today, 1).cast("timestamp")))
+    per_day = recent.groupBy(F.to_date("snapshot_ts").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     one = per_day.agg(
         F.coalesce(F.sum(F.when(ago == 0, F.col("_n"))), F.lit(0)).alias("_today"),
         F.count_if(ago.between(1, days)).alias("_days"), F.median(F.when(ago.between(1, days), F.col("_n"))).alias("_median"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glidepath.operators.tracks import point_features
@@ -98,9 +98,13 @@ def observed(df: DataFrame, name: str | Observation = "silver") -> DataFrame:
 
 
 def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the smallest by its other columns, so reruns agree. Copies combine early."""
+    """One row per key: the smallest by its other columns (nulls first), so reruns agree.
+
+    A rank limit drops all but one row of a key before the shuffle.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
+    return df.withColumn("_turn", turn).where(F.col("_turn") == 1).select(*keys, *rest)
 
 
 def to_silver(bronze: DataFrame, watermark: str = "15 minutes", observe: str | Observation | None = None) -> DataFrame:
