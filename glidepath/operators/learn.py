@@ -10,7 +10,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def train_eta(rows: DataFrame, n_params: int = 5, max_trees: int = 60) -> tuple[
     `rows` carries `part` from `split_by_day`. Boosting stops early on validation error.
     """
     known = model_inputs(rows.where(F.col("part").isin("train", "val"))).withColumn("is_val", F.col("part") == "val")
-    prepared = Pipeline(stages=_prepare()).fit(known.where(~F.col("is_val"))).transform(known)
+    prepared = Pipeline(stages=_prepare()).fit(known.where(~F.col("is_val"))).transform(known).persist()
     best = None
     for params in sampled_params(n_params):
         est = _regressor(params, max_trees).setValidationIndicatorCol("is_val")
@@ -83,6 +82,7 @@ def train_eta(rows: DataFrame, n_params: int = 5, max_trees: int = 60) -> tuple[
         mae = mean_abs_error(fitted.transform(prepared.where("is_val")))
         if best is None or mae < best["val_mae"]:
             best = {"params": params, "val_mae": mae, "trees": fitted.getNumTrees}
+    prepared.unpersist()
     trees = max(5, round(best["trees"] * 1.15))
     model = Pipeline(stages=[*_prepare(), _regressor(best["params"], trees)]).fit(known)
     return model, best | {"final_trees": trees}
@@ -181,13 +181,15 @@ def train_hold_risk(rows: DataFrame, min_positive_groups: int = 40, folds: int =
     data = VectorAssembler(inputCols=HOLD_FEATURES, outputCol="features").transform(rows.withColumns({
         "label": F.col("is_held").cast("double"), "weight": weight, "fold": F.pmod(F.xxhash64("seg_id"), F.lit(folds)).cast("int")}))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.1, seed=42)
-    scores = {}
-    for metric, name in (("areaUnderPR", "cv_ap"), ("areaUnderROC", "cv_roc")):
-        cv = CrossValidator(estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(), foldCol="fold", numFolds=folds,
-                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName=metric))
-        fitted = cv.fit(data)
-        scores[name] = fitted.avgMetrics[0]
-    model = fitted.bestModel
+    data = data.persist()
+    scores = {"cv_ap": 0.0, "cv_roc": 0.0}
+    for fold in range(folds):
+        out = gbt.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)).select("label", "rawPrediction").persist()
+        for name, metric in (("cv_ap", "areaUnderPR"), ("cv_roc", "areaUnderROC")):
+            scores[name] += BinaryClassificationEvaluator(labelCol="label", metricName=metric).evaluate(out) / folds
+        out.unpersist()
+    model = gbt.fit(data)
+    data.unpersist()
     return model, scores | {"base_rate": base, "lift": scores["cv_ap"] / base if base else None}
 
 

@@ -27,16 +27,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         held = rows.crossJoin(F.broadcast(brackets))  # a single row
     else:
         held = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
-    edge = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(
-        i.alias("_i"), F.get("_marks", i).alias("_lo"), F.get("_marks", i + m).alias("_hi")))
-    # one row per value and quantile, reduced before it is shuffled
-    each = held.select(*keys, "_v", "n", F.inline(edge))
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    around = each.groupBy(*keys, "_i").agg(
-        F.max("n").alias("n"), F.count_if(v < lo).alias("_below"), F.max(F.when(v < lo, v)).alias("_prev"),
-        F.min(F.when(v > hi, v)).alias("_next"))
+    v = F.col("_v")
+    sums = []
+    for i in range(m):
+        lo, hi = F.get("_marks", F.lit(i)), F.get("_marks", F.lit(i + m))
+        sums += [F.count_if(v < lo).alias(f"_below{i}"), F.max(F.when(v < lo, v)).alias(f"_prev{i}"), F.min(F.when(v > hi, v)).alias(f"_next{i}")]
+    # one hash aggregate over the values as they are; without keys an empty input still gives a row, which goes
+    wide = held.groupBy(*keys).agg(F.max("n").alias("n"), *sums).where(F.col("n").isNotNull())
+    around = wide.select(*keys, "n", F.inline(F.array(*[F.struct(
+        F.lit(i).alias("_i"), *[F.col(f"{c}{i}").alias(c) for c in ("_below", "_prev", "_next")]) for i in range(m)])))
+    inside = F.filter(F.array(*[F.lit(i) for i in range(m)]), lambda i: (v >= F.get("_marks", i)) & (v <= F.get("_marks", i + m)))
     ranked = (
-        each.where((v >= lo) & (v <= hi)).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        held.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)))
     )

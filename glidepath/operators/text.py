@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glidepath.operators.quantiles import exact_quantiles
 
@@ -89,6 +90,26 @@ def harvest(evidence: DataFrame, key: str, cell: str) -> DataFrame:
     return plain.select(key, "kind", F.explode(both).alias("number"), F.when(F.col("kind") != "number", F.col("token")).alias("token")).distinct()
 
 
+def cells(value: Column, kind: T.DataType) -> Column:
+    """All scalars inside a value as an array of texts, however structs, arrays and maps nest; nulls give none."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        found = F.concat(none, *[cells(value.getField(f.name), f.dataType) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        found = F.flatten(F.transform(value, lambda x: cells(x, kind.elementType)))
+    elif isinstance(kind, T.MapType):
+        found = F.flatten(F.transform(F.map_values(value), lambda x: cells(x, kind.valueType)))
+    else:
+        found = F.array_compact(F.array(value.cast("string")))
+    return F.coalesce(found, none)
+
+
+def harvest_nested(evidence: DataFrame, key: str) -> DataFrame:
+    """Allowed values, as `harvest`, from all columns but `key`, of any nesting."""
+    every = F.concat(*[cells(F.col(f"`{f.name}`"), f.dataType) for f in evidence.schema.fields if f.name != key])
+    return harvest(evidence.select(key, F.explode(every).alias("_nested")), key, "_nested")
+
+
 def stated_values(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Values a text states: `key, stage, pos, kind, shown, token, number`, in the order of the check."""
     rows = _staged(texts.select(key, F.col(text).alias("_text")), "_text", stamps=True).where("_digit")

@@ -40,13 +40,16 @@ def explode_reports(envelopes: DataFrame) -> DataFrame:
     return each.where(F.col("report_json").isNotNull())
 
 
-def to_bronze(envelopes: DataFrame, now_in_seconds: bool = False) -> DataFrame:
-    """Bronze rows: one per aircraft and snapshot, the report parsed and as raw text."""
+def to_bronze(envelopes: DataFrame, now_in_seconds: bool = False, report_schema: str = REPORT_SCHEMA) -> DataFrame:
+    """Bronze rows: one per aircraft and snapshot, the report parsed and as raw text.
+
+    A schema from `widened` parses fields that came up after the declared one.
+    """
     millis = F.col("now") * (1000 if now_in_seconds else 1)
     return explode_reports(envelopes).select(
         F.timestamp_millis(millis.cast("bigint")).alias("snapshot_ts"), "capture.apt_icao", "capture.apt_lat", "capture.apt_lon",
         F.col("capture.radius_nm").try_cast("int").alias("radius_nm"), "capture.source", "capture.src_date", "_ingest_file", "_ingest_ts",
-        F.from_json("report_json", REPORT_SCHEMA).alias("report"), "report_json")
+        F.from_json("report_json", report_schema).alias("report"), "report_json")
 
 
 def new_fields(bronze: DataFrame, known: str = REPORT_SCHEMA) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from glidepath.operators.tracks import enrich_tracks
 from glidepath.operators.traffic import ring
@@ -41,11 +41,16 @@ def bronze_stream(spark: SparkSession, root: str, schema, max_files: int | None
     return reader.parquet(f"{root}/bronze")
 
 
+def refine(spark: SparkSession, root: str, schema, max_files: int | None = None, watermark: str = "15 minutes") -> tuple[DataFrame, StreamingQuery]:
+    """Refines new Bronze rows into Silver; the Silver table and the finished query, which holds the observed counts."""
+    silver = with_day(to_silver(bronze_stream(spark, root, schema, max_files).drop("dt"), watermark, observe="silver"))
+    query = write_available(silver, f"{root}/silver", f"{root}/_checkpoints/silver", ["dt"])
+    return spark.read.schema(silver.schema).parquet(f"{root}/silver"), query
+
+
 def run_silver(spark: SparkSession, root: str, schema, max_files: int | None = None, watermark: str = "15 minutes") -> DataFrame:
     """Refines new Bronze rows into Silver and returns the Silver table."""
-    silver = with_day(to_silver(bronze_stream(spark, root, schema, max_files).drop("dt"), watermark, observe="silver"))
-    write_available(silver, f"{root}/silver", f"{root}/_checkpoints/silver", ["dt"])
-    return spark.read.schema(silver.schema).parquet(f"{root}/silver")
+    return refine(spark, root, schema, max_files, watermark)[0]
 
 
 def run_medallion(spark: SparkSession, landing: str, root: str, max_files: int | None = None,
@@ -69,25 +74,36 @@ def merge_backfill(silver: DataFrame, old_bronze: DataFrame) -> DataFrame:
     return silver.unionByName(new, allowMissingColumns=True)
 
 
-class QualityListener(StreamingQueryListener):
-    """Keeps the observed row and violation counts of each batch of the Silver stream."""
+def run_backfill(spark: SparkSession, root: str, silver: DataFrame, old_bronze: DataFrame) -> DataFrame:
+    """Adds old rows beside a live stream, whose watermark would drop them, and returns Silver with them.
 
-    def __init__(self):
-        self.batches: list[dict] = []
-
-    def onQueryStarted(self, event):  # noqa: N802
-        pass
+    They go to a folder of their own by day, since the stream's folder belongs to its log. Only days of the old rows are compared; a
+    report that is already in Silver or was backfilled before is not added, so a rerun adds nothing. `silver` is the stream's table.
+    """
+    path = f"{root}/silver_backfill"
+    fresh = with_day(to_silver(old_bronze)).select(*silver.columns)
+    spark.createDataFrame([], silver.schema).write.mode("append").partitionBy("dt").parquet(path)
+    both = silver.unionByName(spark.read.schema(silver.schema).parquet(path))
+    days = old_bronze.agg(F.to_date(F.min("snapshot_ts")).alias("first"), F.to_date(F.max("snapshot_ts")).alias("last")).first()
+    held = both.where(F.col("dt").between(F.lit(days["first"]), F.lit(days["last"]))).select("icao", "snapshot_ts")
+    fresh.join(held, ["icao", "snapshot_ts"], "left_anti").select(*silver.columns).write.mode("append").partitionBy("dt").parquet(path)
+    return silver.unionByName(spark.read.schema(silver.schema).parquet(path))
 
-    def onQueryProgress(self, event):  # noqa: N802
-        seen = event.progress.observedMetrics.get("silver")
-        if seen is not None:
-            self.batches.append(seen.asDict())
 
-    def onQueryIdle(self, event):  # noqa: N802
-        pass
+def observed_counts(query: StreamingQuery, name: str = "silver") -> dict[str, int]:
+    """Rows and rule violations that a finished triggered query observed, summed over its batches.
 
-    def onQueryTerminated(self, event):  # noqa: N802
-        pass
+    Spark keeps `spark.sql.streaming.numRecentProgressUpdates` reports; a run with more batches fails here rather than count too few.
+    """
+    reports = query.recentProgress
+    if len(reports) >= int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates")):
+        raise ValueError("more batches than kept progress reports; raise spark.sql.streaming.numRecentProgressUpdates")
+    total: dict[str, int] = {}
+    for report in reports:
+        seen = report.observedMetrics.get(name)
+        for rule, n in (seen.asDict() if seen is not None else {}).items():
+            total[rule] = total.get(rule, 0) + n
+    return total
 
 
 def windowed_congestion(silver: DataFrame, watermark: str = "15 minutes") -> DataFrame:

@@ -100,6 +100,15 @@ def new_fields(spark, sf):
     return flat(envelopes.new_fields(envelopes.to_bronze(read_landed(spark, landed(spark, sf)))))
 
 
+@query("s02_widened_reports", with_parts("SELECT icao, ms AS snapshot_ms, CAST(10 AS DOUBLE) AS mag_heading FROM rp WHERE event_id%6=0"))
+def widened_reports(spark, sf):
+    landing = read_landed(spark, landed(spark, sf))
+    fields = [r["field"] for r in envelopes.new_fields(envelopes.to_bronze(landing)).select("field").collect()]  # names of fields
+    schema = envelopes.widened(envelopes.REPORT_SCHEMA, dict.fromkeys(fields, "double"))
+    rows = envelopes.to_bronze(landing, report_schema=schema).where(F.col("report.mag_heading").isNotNull())
+    return flat(rows.select(F.col("report.hex").alias("icao"), F.unix_millis("snapshot_ts").alias("snapshot_ms"), "report.mag_heading"))
+
+
 @query("p01_silver", with_parts(_SILVER))
 def silver(spark, sf):
     return silver_view(envelopes.to_silver(envelopes.to_bronze(read_landed(spark, landed(spark, sf)))))
@@ -121,8 +130,11 @@ def altitudes(spark, sf):
     return flat(rows.groupBy("kind").agg(F.count("a").alias("any_case"), F.count("b").alias("exact_case"), F.sum("a").alias("total_ft")))
 
 
-@query("p04_expectations", with_parts("""
-SELECT count(*) AS "rows", count(*) FILTER (icao IS NULL) AS has_icao, CAST(0 AS BIGINT) AS plausible_altitude, count(*) FILTER (NOT (gs_kt BETWEEN 0 AND 700)) AS plausible_groundspeed FROM rp"""))
+_BROKEN_RULES = """
+SELECT count(*) AS "rows", count(*) FILTER (icao IS NULL) AS has_icao, CAST(0 AS BIGINT) AS plausible_altitude, count(*) FILTER (NOT (gs_kt BETWEEN 0 AND 700)) AS plausible_groundspeed FROM rp"""
+
+
+@query("p04_expectations", with_parts(_BROKEN_RULES))
 def expectations(spark, sf):
     rows = envelopes.typed(envelopes.to_bronze(read_landed(spark, landed(spark, sf))))
     return flat(rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("icao").isNull()).alias("has_icao"), *envelopes.violation_counts()))
@@ -245,6 +257,26 @@ def two_hop(spark, sf):
     return silver_view(medallion.run_silver(spark, root, schema))
 
 
+@query("r04_stream_quality", with_parts(_BROKEN_RULES))
+def stream_quality(spark, sf):
+    root, schema = streamed(spark, sf)
+    counts = medallion.observed_counts(medallion.refine(spark, root, schema)[1])
+    return flat(spark.createDataFrame([counts]))
+
+
+# Reports older than the last hour come by the batch path, twice; the stream takes the others.
+@query("r03_backfill", with_parts(_SILVER))
+def backfill(spark, sf):
+    bronze, root = envelopes.to_bronze(read_landed(spark, landed(spark, sf))), fresh_path(spark, "medallion")
+    newest = bronze.agg(F.unix_seconds(F.max("snapshot_ts")).alias("s")).first()["s"]
+    live, old = medallion.split_by_age(bronze, newest, 3600)
+    day = medallion.with_day(live)
+    day.write.partitionBy("dt").parquet(f"{root}/bronze")
+    silver = medallion.run_silver(spark, root, day.schema)
+    medallion.run_backfill(spark, root, silver, old)
+    return silver_view(medallion.run_backfill(spark, root, silver, old))
+
+
 @query("s03_lineage", with_parts("SELECT CAST(1 AS BIGINT) AS has_file, CAST(1 AS BIGINT) AS has_time, count(*) AS n FROM rp"))
 def lineage(spark, sf):
     root, schema = streamed(spark, sf)

@@ -132,6 +132,20 @@ def harvested(spark, sf):
     return flat(found.groupBy("doc_id").agg(kinds("number").alias("numbers"), kinds("time").alias("times"), kinds("callsign").alias("callsigns")))
 
 
+@query("t04_nested_evidence", """
+SELECT DISTINCT o_orderkey, kind, round(number,6) AS number, token FROM (
+ SELECT o_orderkey, 'number' AS kind, unnest([CAST(o_totalprice AS DOUBLE), round_even(CAST(o_totalprice AS DOUBLE),0), CAST(o_custkey AS DOUBLE)]) AS number, NULL::VARCHAR AS token FROM orders
+ UNION ALL SELECT o_orderkey, 'time', NULL, lpad(CAST(o_orderkey%24 AS VARCHAR),2,'0')||':'||lpad(CAST(o_custkey%60 AS VARCHAR),2,'0') FROM orders
+ UNION ALL SELECT o_orderkey, 'callsign', NULL, 'DAL'||(o_orderkey%1000) FROM orders) q""")
+def nested_evidence(spark, sf):
+    clock = F.concat_ws(":", F.col("o_orderkey") % 24, F.lpad((F.col("o_custkey") % 60).cast("string"), 2, "0"))
+    facts = F.struct(F.col("o_totalprice").alias("price"), F.array(F.struct(F.col("o_custkey").alias("who"), F.lit(None).cast("string").alias("gone"))).alias("of"))
+    rows = td.table(spark, sf, "orders").select(
+        "o_orderkey", facts.alias("facts"), F.create_map(F.lit("at"), F.array(clock)).alias("times"),
+        F.concat(F.lit("DAL"), (F.col("o_orderkey") % 1000).cast("string")).alias("flight"))
+    return flat(text.harvest_nested(rows, "o_orderkey"))
+
+
 # Each document is checked against its own row: identifier, size and language.
 @query("t05_grounding", r"""
 SELECT d.doc_id, CASE WHEN words=0 THEN 1 ELSE CAST(words>200 AS INT)+len(list_distinct(regexp_extract_all(text,'\b[a-z]+(?:_[a-z0-9]+)+\b')))+coalesce(bad,0) END AS reasons FROM (
