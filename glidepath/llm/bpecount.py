@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glidepath.llm.common import text_groups
+from glidepath.llm.common import text_groups, worker_store
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_loaded: dict[str, "MergeCounter"] = {}
 
 
 class MergeCounter:
@@ -101,9 +100,7 @@ class MergeCounter:
 
 
 def merge_counter(path: str) -> MergeCounter:
-    if path not in _loaded:
-        _loaded[path] = MergeCounter(path)
-    return _loaded[path]
+    return worker_store(f"merges {path}", lambda: MergeCounter(path))
 
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"

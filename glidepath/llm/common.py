@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,21 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = stop
 
 
+_store: dict[str, Any] = {}
+
+
+def worker_store(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps under `name`, made if it is not there.
+
+    Spark reuses workers from stage to stage, so a worker keeps one store only: asking for another lets the last one go first, and a
+    worker's memory is that of its largest store, not their sum.
+    """
+    if name not in _store:
+        _store.clear()
+        _store[name] = make()
+    return _store[name]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))

@@ -11,13 +11,14 @@ import re
 
 import numpy as np
 
+from glidepath.llm.common import worker_store
+
 #: White space as Unicode defines it, which is what the tokenizer drops.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{SPACE}]+")
 #: str.split() takes these for white space as well; the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARK = "\x01"
-_loaded: dict[str, "WordTokens"] = {}
 
 
 class WordTokens:
@@ -75,6 +76,4 @@ class WordTokens:
 
 def word_tokens(path: str) -> WordTokens:
     """The worker's store for the tokenizer at `path`."""
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    return worker_store(f"words {path}", lambda: WordTokens(path))
