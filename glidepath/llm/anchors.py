@@ -96,6 +96,21 @@ class _Group:
 _NULL = np.iinfo(np.int64).min
 
 
+def _bins_of(ids: np.ndarray, keys: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each document, by id and text hash, so that copies of one text spread over all bins."""
+    return (mixed(ids.view(np.uint64) ^ mixed(keys.view(np.uint64))) % np.uint64(bins)).astype(np.int64)
+
+
+def _sure(group: _Group, doc: np.ndarray, place: np.ndarray, bins: int) -> list[tuple]:
+    """Entries that need no match, sorted by document and place, dealt by document to where they are gathered."""
+    to = _bins_of(group.ids, group.keys, bins)[doc]
+    order = np.argsort(to, kind="stable")
+    rows = []
+    for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+        rows.append(group.row(int(to[at[0]]), doc[at], place[at], b"", True))
+    return rows
+
+
 def packed(steps: np.ndarray) -> bytes:
     """Numbers from 0 as bytes: each as often 255 as that goes into it, then the rest."""
     full, rest = np.divmod(steps, 255)
@@ -159,10 +174,7 @@ def _probe(bins: int, width: int):
             _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
             aligned, again = place % BLOCK == 0, counts[inverse] > 1
             keep = np.sort(_first(h, ~aligned)[0])  # the aligned one, if there is one, stands for the others
-            rows, sure = _by_bin(group, h[keep], doc[keep], place[keep], bins, width), np.flatnonzero(again)
-            if len(sure):
-                rows.append(group.row(int(group.keys[0] % bins), doc[sure], place[sure], b"", True))
-            yield _batch(rows)
+            yield _batch(_by_bin(group, h[keep], doc[keep], place[keep], bins, width) + _sure(group, doc[again], place[again], bins))
 
     return run
 
@@ -182,8 +194,8 @@ def _unpack(frame: pd.DataFrame, width: int):
 
 
 def _dealt(run: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, bins: int) -> pd.DataFrame:
-    """Entries dealt by document: one row per bin of the text key, so a bin of hashes replies in as many rows as there are bins at most."""
-    to = (keys % bins)[run]
+    """Entries dealt by document: one row per bin of documents, so a bin of hashes replies in as many rows as there are bins at most."""
+    to = _bins_of(ids, keys, bins)[run]
     order = np.lexsort((place, run, to))
     rows = []
     for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
@@ -215,11 +227,8 @@ def _gathered(frame: pd.DataFrame) -> pd.DataFrame:
 def _match(width: int, bins: int):
     """Probes that meet an indexed block of another place."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sure, open_ = frame[frame["sure"]], frame[~frame["sure"]]
-        if len(sure):
-            _, runs, place, ids, keys = _unpack(sure, 0)
-            out.append(_dealt(runs, place, ids, keys, bins))
+        open_ = frame[~frame["sure"]]
+        out = [frame.loc[frame["sure"], ["bin", "ids", "keys", "counts", "places"]]]  # dealt by document already
         if len(open_):
             h, runs, place, ids, keys = _unpack(open_, width)
             _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
@@ -260,9 +269,8 @@ def _extend(bins: int):
             order = np.argsort(h[keep])
             keeper = keep[order][np.searchsorted(h[keep][order], h)]
             sure = np.flatnonzero(~first & ~((rank[doc] == rank[doc[keeper]]) & (place == place[keeper])))
-            rows = [group.row(int(group.keys[0] % bins), doc[sure], place[sure], b"", True)] if len(sure) else []
             keep = np.sort(keep)
-            yield _batch(rows + _by_bin(group, h[keep], doc[keep], place[keep], bins, 8))
+            yield _batch(_sure(group, doc[sure], place[sure], bins) + _by_bin(group, h[keep], doc[keep], place[keep], bins, 8))
 
     return run
 
@@ -270,11 +278,8 @@ def _extend(bins: int):
 def _repeats(bins: int):
     """Windows that also start earlier: all but the smallest (document, start) of equal windows."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sure, open_ = frame[frame["sure"]], frame[~frame["sure"]]
-        if len(sure):
-            _, runs, place, ids, keys = _unpack(sure, 0)
-            out.append(_dealt(runs, place, ids, keys, bins))
+        open_ = frame[~frame["sure"]]
+        out = [frame.loc[frame["sure"], ["bin", "ids", "keys", "counts", "places"]]]  # dealt by document already
         if len(open_):
             h, runs, place, ids, keys = _unpack(open_, 8)
             _, rank = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True)

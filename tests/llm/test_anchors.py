@@ -68,3 +68,17 @@ def test_rolling_matches_windows():
         at = min(5, len(r) - 1)
         assert anchors.rolling(h[at:at + n], n)[0] == r[at]
     assert not len(anchors.rolling(h, 60))
+
+
+def test_copies_spread_over_all_bins():
+    import numpy as np
+    import pyarrow as pa
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text_key": [77] * 400, "text": [text] * 400, "spots": [anchors.packed(np.array([0, 10, 10]))] * 400})
+    for run in (anchors._probe(16, 4), anchors._extend(16)):
+        rows = [r for b in run(iter([batch])) for r in b.to_pylist() if r["sure"]]
+        docs = {r["bin"]: len(r["ids"]) // 8 for r in rows}
+        assert len(docs) == 16 and 399 <= sum(docs.values()) <= 400 and max(docs.values()) < 60
+    run = np.repeat(np.arange(400), 2)
+    dealt = anchors._dealt(run, np.tile([0, 5], 400), np.arange(400), np.full(400, 77), 16)
+    assert len(dealt) == 16 and set(dealt["bin"]) == set(range(16))
