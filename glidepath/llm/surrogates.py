@@ -43,6 +43,8 @@ TRIGGER = rf"@|\d|{_TITLE}\x20\p{{Lu}}"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 ACCENTED = "àáâäçèéêëìíîïñòóôöùúûü"
+#: After so many attempts a stand-in takes a longer or wider form, as its own may have no free one left.
+WIDER = 8
 
 
 def kind_of(entity: Column) -> Column:
@@ -91,6 +93,12 @@ def _digits(key: str, kind: Column, canon: Column, attempt: Column, keep_first:
                                     .otherwise((_number(key, kind, canon, attempt, i) % 10).cast("string"))), "")
 
 
+def _extra(key: str, kind: Column, canon: Column, attempt: Column, values: str) -> Column:
+    """One more character for every WIDER attempts, none before."""
+    more = F.sequence(F.lit(1).cast("long"), F.floor(attempt / WIDER))
+    return F.when(attempt < WIDER, "").otherwise(F.array_join(F.transform(more, lambda i: _pick(values, _number(key, kind, canon, attempt, i + 1000))), ""))
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of the digits, every second from the right doubled, modulo 10."""
     places = F.split(F.reverse(digits), "")
@@ -103,20 +111,24 @@ def _luhn(digits: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """A keyed stand-in for a canonical entity, of its kind and length; another one for every `attempt`.
+    """A keyed stand-in for a canonical entity, of its kind and, for the first WIDER attempts, its length; another one for every `attempt`.
 
     Card numbers pass or fail the Luhn check as before; octets keep their number of digits; phone
     numbers with a plus sign keep their first digit, the country or its zone; names keep title, gender, script and
-    number of parts, and get one more part for every eight attempts, so that names never run out.
+    number of parts, and get one more part for every eight attempts, so that names never run out. For the same reason the local part of
+    addresses, phone and social-security numbers get one more character for every WIDER attempts, and octets take any value after them.
     """
     plus = canon.startswith("+").cast("int")
     card = _digits(key, kind, canon, attempt, F.lit(1))
     body = F.substr(card, F.lit(1), F.length(card) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     last = F.when(_luhn(canon) == 0, check).otherwise((check + 1 + F.substr(card, F.length(card), F.lit(1)).cast("int") % 9) % 10)
-    octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.length(o) == 1, _number(key, kind, canon, attempt, i) % 10)
+    octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(attempt >= WIDER, _number(key, kind, canon, attempt, i) % 256)
+                         .when(F.length(o) == 1, _number(key, kind, canon, attempt, i) % 10)
                          .when(F.length(o) == 2, 10 + _number(key, kind, canon, attempt, i) % 90)
                          .otherwise(100 + _number(key, kind, canon, attempt, i) % 156).cast("string"))
+    letters, longer = _letters(key, kind, canon, attempt), _extra(key, kind, canon, attempt, "0123456789")
+    email = F.concat(F.substring_index(letters, "@", 1), _extra(key, kind, canon, attempt, LOWER), F.lit("@"), F.substring_index(letters, "@", -1))
     title = F.regexp_extract(canon, r"^\S+", 0)
     female = title.isin([t.lower() for t in FEMALE_TITLES])
     cyrillic = F.regexp_replace(canon, r"^\S+ ", "").rlike(r"\p{IsCyrillic}")
@@ -128,19 +140,20 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     parts = F.size(F.split(canon, " "))
     families = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 8).cast("int")), lambda i: family(i + 1)), "-")
     name = F.concat(title, F.lit(" "), F.when(parts > 2, F.concat(first, F.lit(" "), families)).otherwise(families))
-    return (F.when(kind == "email", _letters(key, kind, canon, attempt)).when(kind == "ip", F.array_join(octets, "."))
-            .when(kind == "card", F.concat(body, last.cast("string"))).when(kind == "phone", _digits(key, kind, canon, attempt, plus * 2))
-            .when(kind == "ssn", _digits(key, kind, canon, attempt, F.lit(0))).otherwise(F.lower(name)))
+    return (F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, "."))
+            .when(kind == "card", F.concat(body, last.cast("string")))
+            .when(kind == "phone", F.concat(_digits(key, kind, canon, attempt, plus * 2), longer))
+            .when(kind == "ssn", F.concat(_digits(key, kind, canon, attempt, F.lit(0)), longer)).otherwise(F.lower(name)))
 
 
-def mapping(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
+def mapping(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, stand_in: a surrogate for each entity, no two alike and none that is itself an entity of the table.
 
     Entities that clash try again with their next surrogate, all others keep theirs; of a clash the one with the fewest attempts stays,
-    then the smallest. Only distinct entities are compared, by a window over equal surrogates, which are few by construction.
+    then the smallest. Rounds go on until none clashes: forms widen with the attempts, so free ones never run out. Only distinct entities are compared, by a window over equal surrogates, which are few by construction.
     """
     open_ = stored(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(rounds):
+    while True:
         made = open_.withColumn("stand_in", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         own = open_.select("kind", F.col("canon").alias("stand_in"), F.lit(-1).alias("attempt"), "canon")
         ranked = made.select("kind", "stand_in", "attempt", "canon").unionByName(own)
@@ -149,7 +162,6 @@ def mapping(entities: DataFrame, key: str, rounds: int = 64) -> DataFrame:
         if settled.filter("clash").isEmpty():
             return settled.select("kind", "canon", "stand_in")
         open_ = settled.select("kind", "canon", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    raise RuntimeError("some entities have no free surrogate")
 
 
 def _shaped(kind: Column, entity: Column, stand_in: Column) -> Column:
@@ -158,6 +170,7 @@ def _shaped(kind: Column, entity: Column, stand_in: Column) -> Column:
     before = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i.cast("int")), r"\D", ""))
     digits = F.regexp_replace(stand_in, r"\D", "")
     numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, (before(i) + 1).cast("int"), F.lit(1))).otherwise(c)), "")
+    numbers = F.concat(numbers, F.substr(digits, F.length(F.regexp_replace(entity, r"\D", "")) + 1))
     cased = F.array_join(F.transform(F.split(stand_in, ""), lambda c, i: F.when(F.substr(entity, (i + 1).cast("int"), F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(entity, r"^\S+ ", 0)
     rest = F.initcap(F.regexp_replace(F.regexp_replace(stand_in, r"^\S+ ", ""), "-", " - "))

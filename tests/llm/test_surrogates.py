@@ -91,3 +91,24 @@ def test_empty(empty):
 def test_main_path_is_native(docs):
     plan = pseudonymised(docs, "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_full_classes_find_free_surrogates(spark):
+    phones = spark.range(10_000).select(F.lit("phone").alias("kind"), F.format_string("+1%04d", "id").alias("canon"))
+    digit = lambda k: (F.col("id") / 10**k).cast("long") % 10
+    ips = spark.range(10_000).select(F.lit("ip").alias("kind"), F.format_string("%d.%d.%d.%d", *map(digit, range(4))).alias("canon"))
+    letter = lambda c: F.char(97 + c)
+    mails = spark.range(676).select(F.lit("email").alias("kind"), F.concat(letter(F.col("id") % 26), F.lit("@"), letter((F.col("id") / 26).cast("long")), F.lit(".com")).alias("canon"))
+    rows = mapping(phones.unionByName(ips).unionByName(mails), "k").collect()
+    assert len(rows) == 20_676 == len({(r.kind, r.stand_in) for r in rows})
+    assert not {(r.kind, r.stand_in) for r in rows} & {(r.kind, r.canon) for r in rows}
+    for r in rows:
+        form = {"phone": r"\+1\d{5,}", "ip": r"\d{1,3}(\.\d{1,3}){3}", "email": r"[a-z]{2,}@[a-z]\.com"}[r.kind]
+        assert re.fullmatch(form, r.stand_in), r
+        assert r.kind != "ip" or all(int(o) < 256 for o in r.stand_in.split("."))
+
+
+def test_longer_numbers_are_written_whole(spark):
+    from glidepath.llm.surrogates import _shaped
+    row = spark.sql("SELECT 'phone' AS k, '+1 23-45' AS e, '+1987654' AS s").select(_shaped(F.col("k"), F.col("e"), F.col("s"))).first()
+    assert row[0] == "+1 98-7654"
