@@ -19,18 +19,19 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-#: Character classes: what a candidate is made of, window, least bits per character. The first class that a candidate fits counts.
+#: Character classes: the runs of each class inside a candidate, window, least bits per character.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-CLASSES = (
-    ("digits", frozenset("0123456789"), 20, math.inf),
-    ("hex", frozenset("0123456789abcdefABCDEF"), 20, 3.0),
-    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.8),
-)
-#: Allow list: strings that look random and are not secret, or are known examples.
+CLASSES = ((re.compile("[0-9a-fA-F]{20,}"), 20, 3.0), (CANDIDATE, 20, 3.8))
+_DIGITS = frozenset("0123456789")
+#: Allow list: candidates that look random and are not secret, as a whole, and parts of candidates.
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]+[-_/])+[A-Z]?[a-z]+|(?:[A-Z]+[-_/])+[A-Z]+|(?:[A-Z][a-z]+)+"  # words, word-lists, CamelCase
-    r"|[-_=+/]+|.*(?:EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh|ABCDEFGH).*",
+    r"[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]+[-_/])+[A-Z]?[a-z]+|(?:[A-Z]+[-_/])+[A-Z]+|(?:[A-Z][a-z]+)+"  # words, word-lists, CamelCase
+    r"|[-_=+/]+",
+)
+HARMLESS = re.compile(
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"  # UUID
+    r"|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"  # in many manuals
+    r"|EXAMPLE|example|x{4,}|X{4,}|0123456789|abcdefgh|ABCDEFGH",
 )
 _C_LOG_C = [0.0, 0.0] + [c * math.log2(c) for c in range(2, 65)]
 
@@ -73,15 +74,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_hits(text: str) -> list[tuple[int, int, int]]:
-    """Spans of the sliding window over candidate strings that no allow-list entry matches in whole."""
+    """Spans of the sliding windows of all classes over the runs of each class in candidate strings, joined where they overlap or touch.
+
+    A candidate that the allow list matches in whole is left out; a harmless part only cuts the candidate in two. Windows of decimal
+    digits alone count in no class.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if ALLOWED.fullmatch(value):
+        if ALLOWED.fullmatch(m.group()):
             continue
-        made = set(value)
-        window, least = next((w, t) for _, allowed, w, t in CLASSES if made <= allowed)
-        out += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(value, window, least)]
+        edges = [m.start(), *[e for h in HARMLESS.finditer(text, m.start(), m.end()) for e in h.span()], m.end()]
+        spans = []
+        for start, end in zip(edges[::2], edges[1::2]):
+            for runs, window, least in CLASSES:
+                for r in runs.finditer(text, start, end):
+                    value = r.group()
+                    if not ALLOWED.fullmatch(value) and not _DIGITS.issuperset(value):
+                        spans += [(r.start() + a, r.start() + b) for a, b in entropy_spans(value, window, least)]
+        joined_: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if joined_ and joined_[-1][1] >= a:
+                joined_[-1] = (joined_[-1][0], max(b, joined_[-1][1]))
+            else:
+                joined_.append((a, b))
+        out += [(a, 3, b) for a, b in joined_]
     return out
 
 

@@ -53,3 +53,21 @@ def test_table(edge, empty, crowded, docs):
         assert sorted(r.base_spans for r in got) == sorted(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in brute_base(t or "")) for _, t in rows)
         assert all(set(r.base_spans.split(",")) - {""} <= set(r.spans.split(",")) for r in got)
     assert secret_spans(empty).count() == 0
+
+
+def test_a_secret_glued_to_other_characters_is_found():
+    rnd = random.Random(7)
+    for before, n, alphabet in (("", 24, "0123456789abcdef"), ("x-", 24, "0123456789abcdef"), ("sk_", 28, "0123456789abcdef"), ("id=", 32, "0123456789ABCDEF")):
+        found = 0
+        for _ in range(300):
+            value = "".join(rnd.choice(alphabet) for _ in range(n))
+            found += any(a <= len(before) + 4 and b >= len(before) + n - 4 for a, _, b in entropy_hits(f"{before}{value} now"))
+        assert found >= 280, (before, found)
+
+
+def test_the_allow_list_hides_only_what_it_covers():
+    key = "q8Zr4Tn1Vb7Xw2Lk9Pd5Hs3G"
+    for before, after in (("example/", ""), ("", "/xxxx"), ("id=123e4567-e89b-12d3-a456-426614174000=", "")):
+        spans = entropy_hits(before + key + after)
+        assert any(a <= len(before) and b >= len(before) + len(key) for a, _, b in spans), (before, after, spans)
+    assert entropy_hits("id=123e4567-e89b-12d3-a456-426614174000") == [] and entropy_hits("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
