@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidepath.functions.geo import angular_diff_deg, haversine_nm, initial_bearing_deg
-from glidepath.operators.slices import SLICE_S, with_halo
-from glidepath.sources.catalog import stored
+from glidepath.operators.slices import SLICE_S, slice_of, with_halo
 
 
 def grounded(alt="alt_ft", gs="gs_kt") -> Column:
@@ -55,11 +54,12 @@ def _gaps(sliced: DataFrame, key: str, ts: str, min_gap_s: int, max_gap_s: int)
     return df.withColumn("_local_start", F.max(started).over(running)), in_time
 
 
-def _slice_totals(gapped: DataFrame, key: str, ts: str) -> DataFrame:
+def _slice_totals(gapped: DataFrame, key: str, ts: str, opening: DataFrame | None = None, slice_s: int = SLICE_S) -> DataFrame:
     """One row per (key, slice): what a segment crossing the slice borders needs to know.
 
     A slice has a head (rows before its first break, which belong to a segment of an earlier
     slice), complete segments, and a tail (its last segment, which later slices may continue).
+    A segment of `opening` stands in a slice before all others, as its tail.
     """
     local = Window.partitionBy(key, "_slice", "_local_start")
     head = F.col("_local_start").isNull()
@@ -73,6 +73,10 @@ def _slice_totals(gapped: DataFrame, key: str, ts: str) -> DataFrame:
              F.max_by(F.when(~head, F.col("_n")), F.col(ts)).alias("_tail_n"),
              F.max(ts).alias("_last_ts"))
     )
+    if opening is not None:
+        per_slice = per_slice.unionByName(opening.select(
+            key, (slice_of("last_ts", slice_s) - 1).alias("_slice"), F.col("seg_start_ts").alias("_tail_start"),
+            F.col("seg_n_reports").alias("_tail_n"), F.col("last_ts").alias("_last_ts")), allowMissingColumns=True)
     by_key = Window.partitionBy(key).orderBy("_slice")
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     crossing = Window.partitionBy(key, "_carry")
@@ -92,12 +96,20 @@ def _slice_totals(gapped: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def _segmented(df: DataFrame, key: str, ts: str, min_gap_s: int, max_gap_s: int, slice_s: int, halo_s: int,
-               lags: dict[str, str], step: Column | None) -> DataFrame:
+               lags: dict[str, str], step: Column | None, opening: DataFrame | None = None) -> DataFrame:
     """Rows with their segment, the lagged columns, `_gap_s`, and `_steps`: how many of the last
-    three reports of the segment satisfy `step`."""
-    gapped, in_time = _gaps(with_halo(df, ts, slice_s, halo_s), key, ts, min_gap_s, max_gap_s)
-    thin, _ = _gaps(with_halo(df.select(key, ts), ts, slice_s, halo_s), key, ts, min_gap_s, max_gap_s)
-    totals = _slice_totals(thin, key, ts)
+    three reports of the segment satisfy `step`. Reports of `opening` come before the rows, as a halo."""
+    def sliced(rows: DataFrame) -> DataFrame:
+        out = with_halo(rows, ts, slice_s, halo_s)
+        if opening is None:
+            return out
+        past = opening.select(key, F.explode("recent").alias("_r")).select(key, "_r.*")
+        past = past.select(*[c for c in past.columns if c in rows.columns])
+        return out.unionByName(with_halo(past, ts, slice_s, halo_s).withColumn("_halo", F.lit(True)), allowMissingColumns=True)
+
+    gapped, in_time = _gaps(sliced(df), key, ts, min_gap_s, max_gap_s)
+    thin, _ = _gaps(sliced(df.select(key, ts)), key, ts, min_gap_s, max_gap_s)
+    totals = _slice_totals(thin, key, ts, opening, slice_s)
     same = F.col("seg_break") == 0
     rows = gapped.withColumns({n: F.lag(c).over(in_time) for n, c in lags.items()})
     rows = rows.withColumns({"_step": F.when(same & step, 1).otherwise(0) if step is not None else F.lit(0),
@@ -134,17 +146,18 @@ def segment(df: DataFrame, key: str = "icao", ts: str = "snapshot_ts", min_gap_s
 
 
 def enrich_tracks(silver: DataFrame, vrate_gap_s: int = 600, max_closure_kt: float = 700, inbound_err_deg: float = 70,
-                  min_gap_s: int = 1, max_gap_s: int = 180, slice_s: int = SLICE_S) -> DataFrame:
+                  min_gap_s: int = 1, max_gap_s: int = 180, slice_s: int = SLICE_S, opening: DataFrame | None = None) -> DataFrame:
     """Silver reports to tracks: segments plus closure, turn, vertical rate and the inbound flag.
 
     One shuffle of the full rows, on (icao, slice). A second, two-column pass finds the segments
-    that cross slice borders; its result has one row per (icao, slice).
+    that cross slice borders; its result has one row per (icao, slice). `opening`, a register of
+    open segments (see `open_segments`), continues the tracks of an earlier load.
     """
     lags = {"_prev_alt": "alt_ft", "_prev_dist": "dist_to_apt_nm", "_prev_track": "track_deg"}
     halo_s = max(vrate_gap_s, 3 * max_gap_s)
     closer = F.col("_prev_dist") > F.col("dist_to_apt_nm")
     df = _segmented(silver.where(F.col("has_position")), "icao", "snapshot_ts", min_gap_s, max_gap_s, slice_s, halo_s,
-                    lags, closer)
+                    lags, closer, opening)
     same = F.col("seg_break") == 0
     gap = F.col("_gap_s")
     climb = F.when(gap.between(1, vrate_gap_s), F.try_divide(F.col("alt_ft") - F.col("_prev_alt"), gap) * 60.0)
@@ -171,29 +184,48 @@ def enrich_tracks(silver: DataFrame, vrate_gap_s: int = 600, max_closure_kt: flo
     )
 
 
-def incremental_tracks(silver: DataFrame, cutoff: str, lookback_s: int, **kw) -> DataFrame:
-    """Tracks with `snapshot_ts >= cutoff`, read from `lookback_s` further back.
+#: What the next load needs of a report: its time and what steps, climbs, closures and turns are computed from.
+_CARRIED = ["snapshot_ts", "alt_ft", "dist_to_apt_nm", "track_deg"]
+#: Reports of a segment that a step count reaches back over.
+_REACH = 3
 
-    A segment that is already open where the scan begins would get a shorter history than in a
-    full build. Only the aircraft of such segments are read again, four times further back each
-    time, until every segment begins inside its scan; so the result equals the full build for any
-    lookback, and the scan stays near the window.
+
+def _register(rows: DataFrame, end: Column, idle_s: int) -> DataFrame:
+    """Newest reports per aircraft with the segment of the newest one; `rows` have `_CARRIED`, seg_start_ts and seg_n_reports."""
+    newest = F.slice(F.sort_array(F.collect_list(F.struct(*_CARRIED, "seg_start_ts", "seg_n_reports")), asc=False), 1, _REACH)
+    out = rows.groupBy("icao").agg(newest.alias("_r")).select(
+        "icao", F.col("_r")[0]["snapshot_ts"].alias("last_ts"), F.col("_r")[0]["seg_start_ts"].alias("seg_start_ts"),
+        F.col("_r")[0]["seg_n_reports"].alias("seg_n_reports"),
+        F.transform("_r", lambda r: F.struct(*[r[c].alias(c) for c in _CARRIED])).alias("recent"))
+    return out.where(F.unix_seconds("last_ts") >= F.unix_seconds(end) - F.lit(idle_s))
+
+
+def open_segments(silver: DataFrame, end: str, vrate_gap_s: int = 600, min_gap_s: int = 1, max_gap_s: int = 180, slice_s: int = SLICE_S) -> DataFrame:
+    """The register of a history that has none yet: aircraft whose last report before `end` (UTC text) a later one may continue.
+
+    One row per such aircraft: start and count of its segment so far, and its last three reports. Segments are found over the whole
+    history in a pass of two columns; other columns are read of the last minutes only.
+    """
+    at, idle_s = F.lit(end).cast("timestamp"), max(vrate_gap_s, max_gap_s)
+    past = silver.where(F.col("has_position") & (F.col("snapshot_ts") < at))
+    recent = F.unix_seconds("snapshot_ts") >= F.unix_seconds(at) - F.lit(idle_s + _REACH * max_gap_s)
+    cut = segment(past.select("icao", "snapshot_ts"), min_gap_s=min_gap_s, max_gap_s=max_gap_s, slice_s=slice_s).where(recent)
+    rows = past.where(recent).select("icao", *_CARRIED).join(cut.select("icao", "snapshot_ts", "seg_start_ts", "seg_n_reports"), ["icao", "snapshot_ts"])
+    return _register(rows, at, idle_s)
+
+
+def carried_on(opening: DataFrame, tracks: DataFrame, end: str, vrate_gap_s: int = 600, max_gap_s: int = 180) -> DataFrame:
+    """The register after a load: `opening` and the load's `tracks` up to `end` (UTC text); only the load's last minutes are read."""
+    at, idle_s = F.lit(end).cast("timestamp"), max(vrate_gap_s, max_gap_s)
+    recent = F.unix_seconds("snapshot_ts") >= F.unix_seconds(at) - F.lit(idle_s + _REACH * max_gap_s)
+    held = opening.select("icao", F.explode("recent").alias("_r"), "seg_start_ts", "seg_n_reports").select("icao", "_r.*", "seg_start_ts", "seg_n_reports")
+    return _register(held.unionByName(tracks.where(recent).select(*held.columns)), at, idle_s)
+
+
+def incremental_tracks(silver: DataFrame, cutoff: str, register: DataFrame, **kw) -> DataFrame:
+    """Tracks with `snapshot_ts >= cutoff`, equal to those of a full build; `register` holds the segments open at the cutoff.
+
+    Reads the rows from the cutoff on and the register, which has one row per aircraft of the last minutes; nothing before that, however
+    long an open segment is.
     """
-    ts = F.col("snapshot_ts")
-    start = F.lit(cutoff).cast("timestamp")
-    settle_s = kw.get("max_gap_s", 180) + kw.get("vrate_gap_s", 600)
-    span = silver.agg((F.unix_seconds(start) - F.unix_seconds(F.min("snapshot_ts"))).alias("s")).first()["s"] or 0
-    rows, done, back = silver, None, max(lookback_s, settle_s)
-    while True:
-        begin = F.timestamp_seconds(F.unix_seconds(start) - F.lit(back))
-        near = enrich_tracks(rows.where(ts >= begin) if back <= span else rows, **kw).where(ts >= start)
-        if back > span:
-            return near if done is None else done.unionByName(near)
-        reach = F.timestamp_seconds(F.unix_seconds(begin) + F.lit(settle_s))
-        # a written table: these few keys steer the next scan and must not repeat this one
-        open_keys = stored(near.where(F.col("seg_start_ts") < reach).select("icao").distinct(), "open_keys")
-        closed = near.join(open_keys, "icao", "left_anti")
-        done = closed if done is None else done.unionByName(closed)
-        if open_keys.isEmpty():
-            return done
-        rows, back = silver.join(open_keys, "icao", "left_semi"), back * 4
+    return enrich_tracks(silver.where(F.col("snapshot_ts") >= F.lit(cutoff).cast("timestamp")), opening=register, **kw)

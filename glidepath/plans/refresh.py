@@ -6,7 +6,7 @@ only the running step.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glidepath.constants import ACCEPTANCE_PER_HOUR, FIELD_ELEV_FT
 from glidepath.operators import demand, events, features, learn, runs, traffic
-from glidepath.operators.tracks import enrich_tracks, incremental_tracks
+from glidepath.operators.tracks import carried_on, enrich_tracks, incremental_tracks, open_segments
 from glidepath.plans import situation
 from glidepath.sources.catalog import Catalog, stored
 
@@ -33,8 +33,24 @@ def _kpis(cat: Catalog, silver: DataFrame) -> None:
     cat.replace("kpis", traffic.kpis(silver, cat.read("tracks"), cat.read("holding"), cat.read("touchdowns")))
 
 
-def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT) -> None:
-    """Full rebuild of tracks and everything derived from them."""
+def _load(moment: str) -> int:
+    """A register goes by the second it stands for."""
+    return int(datetime.fromisoformat(moment).replace(tzinfo=timezone.utc).timestamp())
+
+
+def _opening(cat: Catalog, silver: DataFrame, cutoff: str) -> DataFrame:
+    """The register of the load that ended at `cutoff`; without one, it is made from the history."""
+    if cat.exists("open_segments"):
+        held = cat.read_load("open_segments", _load(cutoff))
+        if not held.isEmpty():
+            return held
+    return stored(open_segments(silver, cutoff), "open-segments")
+
+
+def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT, end: str | None = None) -> None:
+    """Full rebuild of tracks and everything derived from them. `end` (UTC text): where the next load begins; its register is kept."""
+    if end:
+        cat.append_load("open_segments", open_segments(silver, end), _load(end))
     cat.replace("tracks", enrich_tracks(silver), "snapshot_ts", ["icao", "snapshot_ts"])
     tracks = cat.read("tracks")
     cat.replace("segments", events.segment_summary(tracks, elev_ft), "seg_end_ts")
@@ -44,16 +60,23 @@ def build_gold(cat: Catalog, silver: DataFrame, elev_ft: int = FIELD_ELEV_FT) ->
     _kpis(cat, silver)
 
 
-def update_gold(cat: Catalog, silver: DataFrame, cutoff: str, lookback_s: int = 7200, elev_ft: int = FIELD_ELEV_FT,
-                max_gap_s: int = 180) -> None:
+def update_gold(cat: Catalog, silver: DataFrame, cutoff: str, end: str | None = None, elev_ft: int = FIELD_ELEV_FT, max_gap_s: int = 180) -> None:
     """Serving mode: only rows from `cutoff` (UTC text) on are rebuilt; training tables are left alone.
 
+    Segments open at the cutoff come from the register of the load before; with `end`, the one for the next load is kept. A load that is
+    run again reads and writes the same registers.
+
     Segment tables are replaced by the segment's end, from `max_gap_s` before the cutoff: a segment
     that grows into the window ended no earlier than that, so no earlier row of it stays behind.
     The tracks of those segments are read from the oldest start among them, not from the beginning.
     """
-    fresh = incremental_tracks(silver, cutoff, lookback_s, max_gap_s=max_gap_s)
+    opening = _opening(cat, silver, cutoff)
+    rows = silver.where(F.col("snapshot_ts") < F.lit(end).cast("timestamp")) if end else silver
+    fresh = incremental_tracks(rows, cutoff, opening, max_gap_s=max_gap_s)
     cat.replace_window("tracks", fresh, "snapshot_ts", cutoff, ["icao", "snapshot_ts"])
+    if end:
+        done = cat.since("tracks", "snapshot_ts", datetime.fromisoformat(cutoff))
+        cat.append_load("open_segments", carried_on(opening, done, end, max_gap_s=max_gap_s), _load(end))
     at = datetime.fromisoformat(cutoff)
     grown = at - timedelta(seconds=max_gap_s)
     near = cat.since("tracks", "snapshot_ts", grown)

@@ -172,8 +172,10 @@ def test_refresh_and_retrain(spark, sf_dir):
     reports = testdata.positions(spark, "/root/testdata/sf0.01")
     reports.write.parquet(f"{root}/silver")
     stored = spark.read.parquet(f"{root}/silver")
-    refresh.build_gold(cat, stored.where("snapshot_ts < '2024-01-01 02:30:00'"))
-    refresh.update_gold(cat, stored, "2024-01-01 02:30:00", 900)
+    refresh.build_gold(cat, stored.where("snapshot_ts < '2024-01-01 02:00:00'"), end="2024-01-01 02:00:00")
+    refresh.update_gold(cat, stored, "2024-01-01 02:00:00", "2024-01-01 02:30:00")
+    refresh.update_gold(cat, stored, "2024-01-01 02:00:00", "2024-01-01 02:30:00")
+    refresh.update_gold(cat, stored, "2024-01-01 02:30:00")
     full = Catalog(spark, fresh_path(spark, "flow"))
     refresh.build_gold(full, stored)
     for name, columns in {"tracks": ["icao", "snapshot_ts", "seg_id", "inbound_flag"], "touchdowns": ["seg_id", "touchdown_ts", "touchdown_confidence"],

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timezone
 
 import pytest
 from helpers import EPOCH, collected, silver
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glidepath import testdata
 from glidepath.operators import slices
-from glidepath.operators.tracks import enrich_tracks, incremental_tracks, segment
+from glidepath.operators.tracks import carried_on, enrich_tracks, incremental_tracks, open_segments, segment
 
 
 @pytest.mark.parametrize("gap,breaks", [(0.5, True), (1, False), (180, False), (180.9, False), (181, True)])
@@ -62,9 +63,39 @@ def test_tracks_do_not_depend_on_the_slice(spark, sf_dir):
 
 def test_incremental_equals_full(spark, sf_dir):
     reports = testdata.positions(spark, sf_dir)
-    full = enrich_tracks(reports).where(F.col("snapshot_ts") >= F.lit("2024-01-01 01:30:00").cast("timestamp"))
-    part = incremental_tracks(reports, "2024-01-01 01:30:00", 300)
+    cutoff = "2024-01-01 01:30:00"
+    full = enrich_tracks(reports).where(F.col("snapshot_ts") >= F.lit(cutoff).cast("timestamp"))
+    register = open_segments(reports, cutoff)
+    part = incremental_tracks(reports, cutoff, register)
     assert collected(part, *full.columns) == collected(full, *full.columns)
+    # one report is all that is left of a long segment, and slices are short
+    assert collected(incremental_tracks(reports, cutoff, register, slice_s=1200), *full.columns) == collected(full, *full.columns)
+
+
+def test_loads_carry_segments_on(spark):
+    rng = random.Random(3)
+    rows, times = [], {}
+    for key in "abcdef":
+        t = 0
+        for _ in range(60):
+            t += rng.choice([10, 40, 100, 179, 180, 181, 400, 700])
+            rows.append({"icao": key, "t": t, "dist_to_apt_nm": float(rng.randrange(5, 40)), "track_deg": float(rng.randrange(360)),
+                         "alt_ft": rng.choice([None, 3000, 3500]), "vertical_rate_fpm": None, "vertical_rate_src": None})
+            times[key] = t
+    reports = silver(spark, rows).cache()
+    columns = ["icao", "snapshot_ts", "seg_id", "dt_s", "closure_kt", "turn_deg", "vrate_fpm", "inbound_flag"]
+    last = max(times.values()) + 1
+    cuts = [0, 50, 300, 301, 900, 2000, 2100, 5000, last]
+    at = [datetime.fromtimestamp(EPOCH + c, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") for c in cuts]
+    register = open_segments(reports, at[0])
+    got = []
+    for cutoff, end in zip(at, at[1:]):
+        tracks = incremental_tracks(reports.where(F.col("snapshot_ts") < F.lit(end).cast("timestamp")), cutoff, register)
+        got += collected(tracks, *columns)
+        assert collected(carried_on(register, tracks, end), "icao", "last_ts", "seg_start_ts", "seg_n_reports") == collected(
+            open_segments(reports, end), "icao", "last_ts", "seg_start_ts", "seg_n_reports")
+        register = spark.createDataFrame(carried_on(register, tracks, end).collect(), register.schema)
+    assert sorted(got, key=repr) == sorted(collected(enrich_tracks(reports), *columns), key=repr)
 
 
 def test_closure_turn_and_derived_rate(spark):
