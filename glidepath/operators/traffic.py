@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glidepath.constants import EMERGENCY_EVENTS, SQUAWK_EVENTS
-from glidepath.functions.geo import hex_cell
+from glidepath.functions.geo import sphere_cell
 from glidepath.functions.numbers import settled
 
 
@@ -17,29 +17,31 @@ def ring(dist="dist_to_apt_nm", rings=(40, 100)) -> Column:
     return (F.when(d < inner, f"{0:02d}-{inner}").when(d < outer, f"{inner}-{outer}").otherwise(f"{outer}+"))
 
 
+def aircraft_sums() -> list[Column]:
+    """What an aircraft adds to a minute and ring: sums and counts, which any later grouping can add up."""
+    inbound = F.col("inbound_flag")
+    eta = F.when(inbound & (F.col("gs_kt") > 60), F.col("dist_to_apt_nm") / F.col("gs_kt") * 60)
+    return [F.max(F.when(inbound, 1).otherwise(0)).alias("_in"), F.sum("alt_ft").alias("_alt"), F.count("alt_ft").alias("_alt_n"),
+            F.sum("gs_kt").alias("_gs"), F.count("gs_kt").alias("_gs_n"), F.sum(eta).alias("_eta"), F.count(eta).alias("_eta_n")]
+
+
+def congestion_measures() -> list[Column]:
+    """The five measures of a minute and ring, from one row per aircraft."""
+    return [F.count("icao").alias("n_aircraft"), F.sum("_in").alias("n_inbound"),
+            settled(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("mean_alt_ft"),
+            settled(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("mean_gs_kt"),
+            settled(F.try_divide(F.sum("_eta"), F.sum("_eta_n")), 1).alias("mean_eta_min")]
+
+
 def congestion(tracks: DataFrame, rings=(40, 100)) -> DataFrame:
     """Airborne traffic per minute, airport and ring.
 
     Grouped by aircraft first: exact distinct counts become plain counts of the second level,
     and both levels combine before their shuffle.
     """
-    inbound = F.col("inbound_flag")
-    eta = F.when(inbound & (F.col("gs_kt") > 60), F.col("dist_to_apt_nm") / F.col("gs_kt") * 60)
     keys = ["minute_ts", "apt_icao", "ring"]
-    per_aircraft = (
-        tracks.where(~F.col("is_grounded"))
-        .withColumns({"minute_ts": F.date_trunc("minute", "snapshot_ts"), "ring": ring(rings=rings)})
-        .groupBy(*keys, "icao")
-        .agg(F.max(F.when(inbound, 1).otherwise(0)).alias("_in"),
-             F.sum("alt_ft").alias("_alt"), F.count("alt_ft").alias("_alt_n"),
-             F.sum("gs_kt").alias("_gs"), F.count("gs_kt").alias("_gs_n"),
-             F.sum(eta).alias("_eta"), F.count(eta).alias("_eta_n"))
-    )
-    return per_aircraft.groupBy(*keys).agg(
-        F.count("icao").alias("n_aircraft"), F.sum("_in").alias("n_inbound"),
-        settled(F.try_divide(F.sum("_alt"), F.sum("_alt_n"))).alias("mean_alt_ft"),
-        settled(F.try_divide(F.sum("_gs"), F.sum("_gs_n"))).alias("mean_gs_kt"),
-        settled(F.try_divide(F.sum("_eta"), F.sum("_eta_n")), 1).alias("mean_eta_min"))
+    airborne = tracks.where(~F.col("is_grounded")).withColumns({"minute_ts": F.date_trunc("minute", "snapshot_ts"), "ring": ring(rings=rings)})
+    return airborne.groupBy(*keys, "icao").agg(*aircraft_sums()).groupBy(*keys).agg(*congestion_measures())
 
 
 def common_ring_inbound(congested: DataFrame, rings=("00-40", "40-100")) -> DataFrame:
@@ -115,10 +117,10 @@ def altitude_bands(silver: DataFrame) -> DataFrame:
     return by_group(silver.where(F.col("alt_ft").isNotNull()), {"altitude_band": label, "band_sort": band})
 
 
-def density(silver: DataFrame, size_deg: float = 1.0) -> DataFrame:
-    """Reports, aircraft and mean altitude per hexagon."""
+def density(silver: DataFrame, level: int = 6) -> DataFrame:
+    """Reports, aircraft and mean altitude per cell of the spherical grid."""
     rows = silver.where(F.col("has_position") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
-    return by_group(rows, {"cell": hex_cell("lat", "lon", size_deg)}, altitude=True)
+    return by_group(rows, {"cell": sphere_cell("lat", "lon", level)}, altitude=True)
 
 
 def special_squawks(silver: DataFrame) -> DataFrame:

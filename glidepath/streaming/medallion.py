@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glidepath.operators.tracks import enrich_tracks
-from glidepath.operators.traffic import ring
+from glidepath.operators.traffic import aircraft_sums, congestion_measures, ring
 from glidepath.sources.envelopes import read_envelopes, to_bronze, to_silver
 
 
@@ -120,6 +120,19 @@ def windowed_congestion(silver: DataFrame, watermark: str = "15 minutes") -> Dat
         F.col("w.start").alias("minute_ts"), "apt_icao", "ring", "n_aircraft")
 
 
+def windowed_measures(tracks: DataFrame, watermark: str = "15 minutes") -> DataFrame:
+    """All measures of `traffic.congestion` per minute and ring, on a stream or a table of tracks.
+
+    Two chained aggregates in one query: sums per aircraft, minute and ring, then the measures over aircraft, so distinct counts and
+    averages are exact. A closed minute leaves the first state as one row per aircraft and the second one with it.
+    """
+    rows = tracks.withWatermark("snapshot_ts", watermark) if tracks.isStreaming else tracks
+    airborne = rows.where(~F.col("is_grounded")).withColumn("ring", ring())
+    each = airborne.groupBy(F.window("snapshot_ts", "1 minute").alias("w"), "apt_icao", "ring", "icao").agg(*aircraft_sums())
+    minutes = each.groupBy(F.window(F.window_time("w"), "1 minute").alias("m"), "apt_icao", "ring").agg(*congestion_measures())
+    return minutes.select(F.col("m.start").alias("minute_ts"), *[c for c in minutes.columns if c != "m"])
+
+
 def session_segments(silver: DataFrame, gap: str = "180 seconds", watermark: str = "15 minutes") -> DataFrame:
     """Segments as session windows per aircraft: start, last report and count.
 
