@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from glidepath.session import fresh_path
 
@@ -66,7 +66,8 @@ class Catalog:
         if time_col is None:
             (df.sortWithinPartitions(*cluster_by) if cluster_by else df).write.mode(mode).parquet(self.path(name))
             return
-        spread = F.pmod(F.xxhash64(*(cluster_by[:1] or df.columns)), F.lit(self.files_per_day))
+        plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]  # Spark hashes no others
+        spread = F.pmod(F.xxhash64(*(cluster_by[:1] or plain)), F.lit(self.files_per_day))
         dealt = df.withColumn("dt", F.to_date(time_col)).repartition("dt", spread).sortWithinPartitions("dt", *cluster_by)
         dealt.write.mode(mode).option("partitionOverwriteMode", days).partitionBy("dt").parquet(self.path(name))
 

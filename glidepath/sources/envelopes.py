@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glidepath.operators.tracks import point_features
 
@@ -64,6 +67,62 @@ def widened(known: str, extra: dict[str, str]) -> str:
     return ", ".join([known, *[f"{n} {t}" for n, t in extra.items()]])
 
 
+def with_variant(bronze: DataFrame) -> DataFrame:
+    """Bronze with the whole report as a VARIANT, `report_v`: a column whose files stay readable together whatever fields and types come."""
+    return bronze.withColumn("report_v", F.try_parse_json("report_json"))
+
+
+def _column_type(found: str) -> str:
+    """The column type for a type found in variants: decimals are doubles, fields that were only ever null are texts."""
+    return re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+
+
+def field_types(bronze: DataFrame, known: str = REPORT_SCHEMA) -> DataFrame:
+    """Report fields that the schema lacks, with the type all their values share and how many reports carry each: field, type, reports.
+
+    Types are merged as Spark merges variants: whole numbers and decimals to decimals, objects field by field, anything else that does not
+    fit together to VARIANT. One hash aggregate by field; its result has a row per new field.
+    """
+    names = [c.split()[0] for c in known.split(", ")]
+    each = with_variant(bronze).select("report_v").lateralJoin(bronze.sparkSession.tvf.variant_explode(F.col("report_v").outer()))
+    return each.where(~F.col("key").isin(names)).groupBy(F.col("key").alias("field")).agg(
+        F.schema_of_variant_agg("value").alias("type"), F.count(F.lit(1)).alias("reports"))
+
+
+def merged_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds values of both; VARIANT if nothing else does."""
+    if a == b:
+        return a
+    numbers = (T.LongType, T.DoubleType)
+    if isinstance(a, numbers) and isinstance(b, numbers):
+        return T.DoubleType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged_type(a.elementType, b.elementType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        both = {f.name: f.dataType for f in a}
+        for f in b:
+            both[f.name] = merged_type(both[f.name], f.dataType) if f.name in both else f.dataType
+        return T.StructType([T.StructField(n, both[n]) for n in sorted(both)])
+    return T.VariantType()
+
+
+def register_fields(register: dict[str, T.DataType], bronze: DataFrame, known: str = REPORT_SCHEMA) -> dict[str, T.DataType]:
+    """The register of new fields after another load of Bronze rows: fields are added, and types widened where the load asks for it."""
+    out = dict(register)
+    for row in field_types(bronze, known).collect():  # a row per new field
+        found = T.StructType.fromDDL(f"c {_column_type(row['type'])}")["c"].dataType
+        out[row["field"]] = merged_type(out[row["field"]], found) if row["field"] in out else found
+    return out
+
+
+def evolved(bronze: DataFrame, register: dict[str, T.DataType]) -> DataFrame:
+    """Bronze rows (with `report_v`) and a typed column for each field of the register; null where a report lacks it.
+
+    Rows of earlier loads are read by the types of now, so a widened field needs no rewrite.
+    """
+    return bronze.withColumns({n: F.try_variant_get("report_v", f'$["{n}"]', t.simpleString()) for n, t in register.items()})
+
+
 def altitude_ft(text: Column, any_case: bool = True) -> Column:
     """Barometric altitude: `ground` is 0, a number is truncated to feet, anything else is null."""
     word = F.lower(text) if any_case else text

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from glidepath import testdata as td
 from glidepath.constants import AIRPORT, AIRPORT_LAT, AIRPORT_LON, FIELD_ELEV_FT
-from glidepath.functions.geo import hex_cell
 from glidepath.operators import events, learn, traffic
 from glidepath.operators.tracks import enrich_tracks
 from glidepath.session import fresh_path
 from glidepath.sources import catalog, envelopes, history
-from glidepath.streaming import medallion, stateful
+from glidepath.streaming import dealing, medallion, stateful
 from glidepath.workbench.registry import flat, query
 from glidepath.workbench.sqlparts import bearing, nm, part, with_parts
 
@@ -26,10 +25,12 @@ _REPORT = """named_struct(
  'seen_pos', 1.5e0, 'mag_heading', CASE WHEN event_id % 6 = 0 THEN 10e0 END)"""
 
 
-def envelope_json(spark, sf, unit: int = 1000):
-    """One envelope text per event: live ones in milliseconds (unit 1000), archive ones in seconds (unit 1)."""
-    ev = td.table(spark, sf, "events").withColumn("ms", F.expr("unix_micros(cast(ts AS timestamp)) div 1000"))
+def envelope_json(spark, sf, unit: int = 1000, extra: dict[str, str] | None = None, where: str = "true"):
+    """One envelope text per event: live ones in milliseconds (unit 1000), archive ones in seconds (unit 1); `extra` fields by expression."""
+    ev = td.table(spark, sf, "events").withColumn("ms", F.expr("unix_micros(cast(ts AS timestamp)) div 1000")).where(where)
     ev = ev.withColumn("rep", F.expr(_REPORT))
+    for name, value in (extra or {}).items():
+        ev = ev.withColumn("rep", F.col("rep").withField(name, F.expr(value)))
     twin = F.col("rep").withField("hex", F.concat(F.lit("x"), F.col("user_id").cast("string"))).withField(
         "lat", F.lit(None).cast("double"))
     reps = F.when(F.col("event_id") % 17 == 0, F.expr("filter(array(rep), r -> false)")).when(
@@ -45,9 +46,9 @@ def envelope_json(spark, sf, unit: int = 1000):
     return live.unionByName(old)
 
 
-def landed(spark, sf, copies: int = 1, unit: int = 1000) -> str:
+def landed(spark, sf, copies: int = 1, unit: int = 1000, **kw) -> str:
     """Writes the envelopes, one per line, to a new folder."""
-    rows = envelope_json(spark, sf, unit)
+    rows = envelope_json(spark, sf, unit, **kw)
     path = fresh_path(spark, "landing")
     for _ in range(copies):
         rows.write.mode("append").text(path)
@@ -109,6 +110,46 @@ def widened_reports(spark, sf):
     return flat(rows.select(F.col("report.hex").alias("icao"), F.unix_millis("snapshot_ts").alias("snapshot_ms"), "report.mag_heading"))
 
 
+# Two loads: the second one brings a text, a nested field and a list, has decimals where the first had whole numbers, and words where it had numbers.
+_FIRST = {"ias": "event_id % 300", "grade": "CASE WHEN event_id % 2 = 0 THEN event_id % 7 END", "wind": "named_struct('dir', event_id % 360)"}
+_SECOND = {"ias": "event_id % 300 + 0.5e0", "grade": "CASE WHEN event_id % 2 = 0 THEN concat('g', event_id % 7) END",
+           "wind": "named_struct('dir', event_id % 360, 'speed', event_id % 50 + 0.25e0)", "note": "CASE WHEN event_id % 3 = 0 THEN concat('n', user_id) END",
+           "modes": "array(event_id % 5, event_id % 9)"}
+part("ev_load", "SELECT *, (ms-1704067200000)//864000000<2 AS early FROM rp")
+
+
+def evolving(spark, sf):
+    """Bronze with variants after both loads, each appended to one table, and the register they leave."""
+    cat, register = catalog.Catalog(spark, fresh_path(spark, "catalog")), {}
+    early = f"(ms - {td.EPOCH}000) div 864000000 < 2"
+    for extra, where in ((_FIRST, early), (_SECOND, f"NOT {early}")):
+        load = envelopes.with_variant(envelopes.to_bronze(read_landed(spark, landed(spark, sf, extra=extra, where=where))))
+        cat.append("bronze", load, "snapshot_ts")
+        register = envelopes.register_fields(register, load)
+    return cat.read("bronze"), register
+
+
+@query("s02_typed_fields", with_parts("""
+SELECT 'mag_heading' AS field, 'double' AS type, count(*) FILTER (event_id%6=0) AS reports FROM ev_load UNION ALL SELECT 'ias', 'double', count(*) FROM ev_load
+UNION ALL SELECT 'grade', 'variant', count(*) FILTER (event_id%2=0) FROM ev_load UNION ALL SELECT 'wind', 'struct<dir:bigint,speed:double>', count(*) FROM ev_load
+UNION ALL SELECT 'note', 'string', count(*) FILTER (event_id%3=0 AND NOT early) FROM ev_load UNION ALL SELECT 'modes', 'array<bigint>', count(*) FILTER (NOT early) FROM ev_load"""))
+def typed_fields(spark, sf):
+    bronze, register = evolving(spark, sf)
+    types = spark.createDataFrame([(n, t.simpleString()) for n, t in register.items()], "field string, type string")
+    return flat(envelopes.field_types(bronze).drop("type").join(F.broadcast(types), "field").select("field", "type", "reports"))  # a row per field
+
+
+@query("s02_typed_reports", with_parts("""
+SELECT icao, ms AS snapshot_ms, CASE WHEN event_id%6=0 THEN 10e0 END AS mag_heading, event_id%300+CASE WHEN early THEN 0e0 ELSE 0.5e0 END AS ias,
+ CASE WHEN event_id%2=0 THEN CASE WHEN early THEN '' ELSE 'g' END||(event_id%7) END AS grade, event_id%360 AS wind_dir, CASE WHEN NOT early THEN event_id%50+0.25e0 END AS wind_speed,
+ CASE WHEN event_id%3=0 AND NOT early THEN 'n'||user_id END AS note, CASE WHEN NOT early THEN event_id%5+event_id%9 END AS modes_sum FROM ev_load"""))
+def typed_reports(spark, sf):
+    rows = envelopes.evolved(*evolving(spark, sf))
+    return flat(rows.select(
+        F.col("report.hex").alias("icao"), F.unix_millis("snapshot_ts").alias("snapshot_ms"), "mag_heading", "ias", F.col("grade").cast("string").alias("grade"),
+        F.col("wind.dir").alias("wind_dir"), F.col("wind.speed").alias("wind_speed"), "note", (F.col("modes")[0] + F.col("modes")[1]).alias("modes_sum")))
+
+
 @query("p01_silver", with_parts(_SILVER))
 def silver(spark, sf):
     return silver_view(envelopes.to_silver(envelopes.to_bronze(read_landed(spark, landed(spark, sf)))))
@@ -277,6 +318,70 @@ def backfill(spark, sf):
     return silver_view(medallion.run_backfill(spark, root, silver, old))
 
 
+# Three loads by time, each one file and one batch. A tenth of the first one's reports come with the last one, long after the watermark;
+# some reports of the second come again with the third.
+_LOADS = """CASE WHEN (ms-1704067200000)//864000000<1 THEN CASE WHEN event_id%10=0 THEN 2 ELSE 0 END WHEN (ms-1704067200000)//864000000<2 THEN 1 ELSE 2 END"""
+
+
+def dealt_loads(spark, sf):
+    """Bronze loads by time with late and repeated reports; the root and the schema."""
+    root = fresh_path(spark, "dealt")
+    bronze = medallion.with_day(envelopes.to_bronze(read_landed(spark, landed(spark, sf))))
+    bronze = catalog.stored(bronze.withColumn("event_id", F.col("report.alt_geom").cast("bigint")), "bronze")
+    ten_days = F.floor((F.unix_seconds("snapshot_ts") - td.EPOCH) / 864000)
+    load = F.when(ten_days < 1, F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)).when(ten_days < 2, 1).otherwise(2)
+    again = bronze.where((load == 1) & (F.col("event_id") % 7 == 0)).withColumn("load", F.lit(2))
+    every = bronze.withColumn("load", load).unionByName(again).drop("event_id")
+    for n in range(3):
+        every.where(F.col("load") == n).drop("load").coalesce(1).write.mode("append").parquet(f"{root}/bronze")
+    return root, every.drop("load").schema
+
+
+def dealt_silver(spark, root, schema):
+    wanted = envelopes.to_silver(spark.createDataFrame([], schema).drop("dt")).schema
+    return dealing.silver_of(spark, root, wanted)
+
+
+@query("r03_late_rows", with_parts(_SILVER))
+def late_rows(spark, sf):
+    root, schema = dealt_loads(spark, sf)
+    dealing.run_dealt(spark, root, schema, max_files=1)
+    return silver_view(dealt_silver(spark, root, schema))
+
+
+def stopped_once(spark, root, schema):
+    """A run that stops between the second batch's write and its commit, and the run that goes on."""
+    def stop(batch):
+        if batch == 1:
+            raise RuntimeError("stopped before the commit")
+
+    try:
+        dealing.run_dealt(spark, root, schema, max_files=1, before_commit=stop)
+    except Exception as e:
+        if "stopped before the commit" not in str(e):
+            raise
+    else:
+        raise AssertionError("the run was not stopped")
+    dealing.run_dealt(spark, root, schema, max_files=1)
+
+
+@query("r05_replayed", with_parts(_SILVER))
+def replayed(spark, sf):
+    root, schema = dealt_loads(spark, sf)
+    stopped_once(spark, root, schema)
+    return silver_view(dealt_silver(spark, root, schema))
+
+
+# alt_geom stands for the event id, which the fixture takes modulo 41000.
+@query("r05_ledger", with_parts(f"""
+SELECT load AS batch, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late_rows FROM (
+ SELECT load, load=2 AND (ms-1704067200000)//864000000<1 AS late FROM (SELECT ms, {_LOADS.replace('event_id', 'alt_geom_ft')} AS load FROM rp WHERE icao IS NOT NULL) q) q GROUP BY 1"""))
+def replay_ledger(spark, sf):
+    root, schema = dealt_loads(spark, sf)
+    stopped_once(spark, root, schema)
+    return flat(dealing.ledger(spark, root).select("batch", "on_time", "late_rows"))
+
+
 @query("s03_lineage", with_parts("SELECT CAST(1 AS BIGINT) AS has_file, CAST(1 AS BIGINT) AS has_time, count(*) AS n FROM rp"))
 def lineage(spark, sf):
     root, schema = streamed(spark, sf)
@@ -304,9 +409,18 @@ def drained(spark, df, name):
 part("mark", "SELECT max(ts)-900 AS m FROM sil")
 
 
-@query("r06_windowed_congestion", with_parts("SELECT minute_ts, apt_icao, ring, n_aircraft FROM cong WHERE minute_ts+60<=(SELECT m FROM mark)"))
+@query("r06_windowed_congestion", with_parts("SELECT * FROM cong WHERE minute_ts+60<=(SELECT m FROM mark)"))
 def windowed(spark, sf):
-    return flat(drained(spark, medallion.windowed_congestion(positions_stream(spark, sf)), "congestion"))
+    """Every measure of a01 from a stream of tracks."""
+    path = fresh_path(spark, "tracks")
+    rows = td.tracks(spark, sf)
+    rows.repartitionByRange("snapshot_ts").sortWithinPartitions("snapshot_ts").write.parquet(path)
+    return flat(drained(spark, medallion.windowed_measures(spark.readStream.schema(rows.schema).parquet(path)), "congestion"))
+
+
+@query("r06_batch_measures", with_parts("SELECT * FROM cong"))
+def batch_measures(spark, sf):
+    return flat(medallion.windowed_measures(td.tracks(spark, sf)))
 
 
 @query("r06_batch_congestion", with_parts("""
