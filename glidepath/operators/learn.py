@@ -10,12 +10,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidepath.constants import ETA_FEATURES, ETA_LABEL, HOLD_FEATURES, PHASES
 from glidepath.operators.features import NUMERIC_FEATURES, band_report, overall_accuracy
-from glidepath.sources.catalog import schema_drift
+from glidepath.sources.catalog import schema_drift, stored
 
 # Columns whose absence itself informs the model.
 OFTEN_MISSING = ["vrate_fpm", "closure_kt", "turn_rate_dps", "sel_altitude_ft"]
@@ -166,11 +166,28 @@ def hold_rows(tracks: DataFrame, held: DataFrame, band=(20.0, 60.0)) -> DataFram
     return labelled.withColumns({c: F.col(c).cast("double") for c in HOLD_FEATURES}).dropna(subset=HOLD_FEATURES)
 
 
+def balanced_folds(rows: DataFrame, folds: int = 5, group: str = "seg_id", label: str = "is_held", bucket: int = 50_000) -> DataFrame:
+    """`group`, `positive` (any of its rows), `n` rows and `fold` for each group: whole groups, with the classes shared out evenly.
+
+    Groups of a class are dealt back and forth by their size, so folds differ by one group per class, and little in rows. Beyond `bucket`
+    groups they are dealt within buckets of about that many, each beginning at another fold, so no task sees a whole class.
+    """
+    groups = rows.groupBy(group).agg(F.max(label).alias("positive"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups, "fold-groups")
+    buckets = max(1, -(-groups.count() // bucket))
+    dealt = groups.withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(buckets)))
+    place = F.row_number().over(Window.partitionBy("positive", "_bucket").orderBy(F.desc("n"), group)) - 1
+    at = place % folds
+    turn = F.when(F.floor(place / folds) % 2 == 0, at).otherwise(folds - 1 - at)
+    # the rarer class begins at the other end, so that the extra groups of both do not meet in one fold
+    turn = F.when(F.col("positive") == 1, folds - 1 - turn).otherwise(turn)
+    return dealt.withColumn("fold", F.pmod(turn + F.col("_bucket"), F.lit(folds)).cast("int")).drop("_bucket")
+
+
 def train_hold_risk(rows: DataFrame, min_positive_groups: int = 40, folds: int = 5, trees: int = 20) -> tuple[object | None, dict]:
-    """Class-weighted boosted classifier with grouped cross-validation.
+    """Class-weighted boosted classifier with grouped, stratified cross-validation (see `balanced_folds`).
 
-    Too few positive segments end the training early with the finding instead of a model. A
-    fold holds whole segments, by hash.
+    Too few positive segments end the training early with the finding instead of a model.
     """
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("is_held").alias("pos"),
                      F.count_distinct(F.when(F.col("is_held") == 1, F.col("seg_id"))).alias("groups")).first()
@@ -178,8 +195,9 @@ def train_hold_risk(rows: DataFrame, min_positive_groups: int = 40, folds: int =
         return None, {"finding": f"{stats['groups']} positive segments, {min_positive_groups} needed"}
     base = stats["pos"] / stats["n"]
     weight = F.when(F.col("is_held") == 1, F.lit((stats["n"] - stats["pos"]) / stats["pos"])).otherwise(1.0)
-    data = VectorAssembler(inputCols=HOLD_FEATURES, outputCol="features").transform(rows.withColumns({
-        "label": F.col("is_held").cast("double"), "weight": weight, "fold": F.pmod(F.xxhash64("seg_id"), F.lit(folds)).cast("int")}))
+    dealt = rows.join(balanced_folds(rows, folds).select("seg_id", "fold"), "seg_id")
+    data = VectorAssembler(inputCols=HOLD_FEATURES, outputCol="features").transform(
+        dealt.withColumns({"label": F.col("is_held").cast("double"), "weight": weight}))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.1, seed=42)
     data = data.persist()
     scores = {"cv_ap": 0.0, "cv_roc": 0.0}

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glidepath.sources.catalog import Catalog, stored
+
 _HEADING = re.compile(r"^(#{1,4})\s+(.+?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _MARKS = re.compile(r"[`*]")
@@ -76,3 +78,56 @@ def chunk_docs(docs: DataFrame, max_words: int = 250, max_chars: int = 1500, min
 def embed_input(source="source", text="text"):
     """What an embedding model reads: the source line gives a short passage its topic."""
     return F.concat_ws("\n", source, text)
+
+
+# --- an index that follows its documents ----------------------------------------------------------------------------------------
+
+def document_hashes(docs: DataFrame) -> DataFrame:
+    """name, doc_hash: what decides whether a document's passages are made again. Null texts count as empty."""
+    return docs.select("name", F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_hash"))
+
+
+def change_set(hashes: DataFrame, held: DataFrame | None) -> DataFrame:
+    """name, doc_hash, load (the one whose passages stay valid, if any) and action: insert, keep, replace or delete.
+
+    `held` has a row per indexed document (name, doc_hash, load). Names are compared, texts do not move.
+    """
+    if held is None:
+        return hashes.withColumns({"load": F.lit(None).cast("int"), "action": F.lit("insert")})
+    old = held.select("name", F.col("doc_hash").alias("_old"), F.col("load").cast("int").alias("load"))
+    action = (F.when(F.col("_old").isNull(), "insert").when(F.col("doc_hash").isNull(), "delete")
+              .when(F.col("doc_hash") == F.col("_old"), "keep").otherwise("replace"))
+    return hashes.join(old, "name", "full").select("name", "doc_hash", "load", action.alias("action"))
+
+
+def update_index(cat: Catalog, docs: DataFrame, load: int, **sizes) -> DataFrame:
+    """Brings the tables `passages` and `passage_docs` up to the documents (name, text; names are unique) and returns the change set.
+
+    Only new and changed documents are cut into passages, as one numbered load; passages of kept ones stay where they are, whichever load
+    they came with. `passage_docs` says for each document which load is its own, so passages of changed and deleted documents are no
+    longer read. Loads are numbered upwards; a load that is run again replaces itself.
+    """
+    earlier = cat.read("passage_docs").where(F.col("at_load") < load) if cat.exists("passage_docs") else None
+    newest = earlier.agg(F.max("at_load").alias("n")).first()["n"] if earlier is not None else None
+    held = None if newest is None else earlier.where(F.col("at_load") == newest)
+    changes = stored(change_set(document_hashes(docs), held), "passage-changes")
+    fresh = changes.where(F.col("action").isin("insert", "replace"))
+    made = chunk_docs(docs.join(fresh.select("name"), "name", "left_semi"), **sizes)
+    cat.append_load("passages", made, load)
+    live = changes.where(F.col("action") != "delete").select(
+        "name", "doc_hash", F.when(F.col("action") == "keep", F.col("load")).otherwise(F.lit(load)).alias("load"), F.lit(load).alias("at_load"))
+    live.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at_load").parquet(cat.path("passage_docs"))
+    return changes
+
+
+def current_passages(cat: Catalog) -> DataFrame:
+    """The passages of the documents as of the newest load, with the load each came with."""
+    docs = cat.read("passage_docs")
+    newest = docs.agg(F.max("at_load").alias("n")).first()["n"]
+    return cat.read("passages").join(docs.where(F.col("at_load") == newest).select("name", "load"), ["name", "load"])
+
+
+def embed_inputs(cat: Catalog, load: int) -> DataFrame:
+    """What an embedding model has still to read: the passages that came with one load, each under the hash of its input."""
+    rows = cat.read_load("passages", load).withColumn("input", embed_input())
+    return rows.select("name", "pos", "input", F.sha2("input", 256).alias("input_hash"))

@@ -3,11 +3,15 @@
 `positions` turns the `events` table into position reports around one airport: 30 days of events
 are compressed into three hours, so that the 180 s gap rule yields real segments. One user in ten
 circles, one in ten approaches and climbs out, the others fly in and land every 45 minutes.
+
+A folder named with `DENSE` behind it is read as the same events in another time: three mornings from half past four
+on, ten days of events in each, and a report every 30 seconds for six minutes after every event. Segments then
+span laps, approaches and the borders of slices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glidepath.constants import AIRPORT, AIRPORT_LAT, AIRPORT_LON, FIELD_ELEV_FT
@@ -16,6 +20,7 @@ from glidepath.operators.tracks import enrich_tracks, point_features
 from glidepath.sources.catalog import stored
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, start of the events table
+DENSE = "#dense"
 
 
 def _once(view):
@@ -31,16 +36,25 @@ def _once(view):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir.removesuffix(DENSE)}/{name}.parquet")
+
+
+def _seconds(sf_dir: str) -> Column:
+    """The compressed second, or seconds, that an event gives a report at."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH * 1_000_000)
+    if not sf_dir.endswith(DENSE):
+        return F.floor(micros / F.lit(240_000_000)).cast("bigint")
+    ten_days = 864_000_000_000
+    first = F.floor(micros / ten_days) * 86400 + 16200 + F.floor((micros % ten_days) / 80_000_000)
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: (first + j * 30).cast("bigint")))
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with `t`, the compressed second, one row per (user, t): the lowest event id wins."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH * 1_000_000)
     alarm = F.when((F.col("event_type") == "error") & (F.col("value") > 150), 1).otherwise(0)
     return (
         table(spark, sf_dir, "events")
-        .select("event_id", "user_id", F.floor(micros / F.lit(240_000_000)).cast("bigint").alias("t"), alarm.alias("alarm"))
+        .select("event_id", "user_id", _seconds(sf_dir).alias("t"), alarm.alias("alarm"))
         .groupBy("user_id", "t").agg(F.min("event_id").alias("event_id"), F.min_by("alarm", "event_id").alias("alarm"))
     )
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from glidepath import testdata as td
 from glidepath.constants import ETA_FEATURES, HEAVY_TYPES
 from glidepath.operators import events, features, gate, health, traffic
+from glidepath.plans import sqlfunctions
 from glidepath.sources.catalog import stored
-from glidepath.workbench.registry import flat, query
+from glidepath.workbench.registry import SQL, flat, query
 from glidepath.workbench.sqlparts import part, with_parts
 
 _CYC = """sin(hour_utc/24e0*2*pi()) AS hour_sin, cos(hour_utc/24e0*2*pi()) AS hour_cos, sin((dow-1)/7e0*2*pi()) AS dow_sin, cos((dow-1)/7e0*2*pi()) AS dow_cos"""
@@ -184,10 +185,21 @@ SELECT 'feature_drift' AS check_type, feature AS metric_name, round(psi,3) AS va
  printf('PSI %.3f (%d ref rows, %d live rows)', psi, ref_rows, comp_rows) AS detail, CAST(1706659140 AS BIGINT) AS checked_at FROM ev_psi"""))
 def model_health(spark, sf):
     from glidepath.plans.views import model_health as newest
+    return flat(newest(health_rows(spark, sf)))
+
+
+def health_rows(spark, sf):
+    """Drift checks of two moments, the newer one at `_NOW`."""
     now = F.lit(_NOW).cast("timestamp")
     drift = health.psi(*_halves(spark, sf), ["value", "k"])
     before = F.timestamp_seconds(F.unix_seconds(now) - 86400)
-    return flat(newest(health.drift_rows(drift, now).unionByName(health.drift_rows(drift, before))))
+    return health.drift_rows(drift, now).unionByName(health.drift_rows(drift, before))
+
+
+@query("v09_sql_function", SQL["v09_model_health"])
+def sql_health(spark, sf):
+    sqlfunctions.register(spark, {"model_health": stored(health_rows(spark, sf), "health")}, "v09")
+    return flat(spark.sql("SELECT * FROM v09_model_health()"))
 
 
 @query("j07_confirmed_rows", with_parts("SELECT seg_id, count(*) AS n FROM arr WHERE seg_id IN (SELECT seg_id FROM td WHERE conf='confirmed') GROUP BY 1"))

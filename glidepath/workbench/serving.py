@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from glidepath import testdata as td
 from glidepath.constants import AIRPORT
 from glidepath.operators import demand, events, features
-from glidepath.plans import situation, views
-from glidepath.workbench.registry import flat, query
+from glidepath.plans import situation, sqlfunctions, views
+from glidepath.workbench.registry import SQL, flat, query
 from glidepath.workbench.sqlparts import part, with_parts
 
 part("prd_now", "SELECT * FROM prd WHERE scored_at=(SELECT max(scored_at) FROM prd)")
@@ -274,3 +274,50 @@ SELECT o_orderkey, (SELECT count(*) FROM orders) AS row_count, CAST((SELECT coun
 def compacted(spark, sf):
     rows = td.table(spark, sf, "orders")
     return flat(views.compacted(rows, [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "row_count", "truncated"))
+
+
+# The same views, called as table functions with arguments from SQL text.
+def called(spark, prefix, text, **tables):
+    sqlfunctions.register(spark, tables, prefix)
+    return flat(spark.sql(text))
+
+
+@query("v01_sql_function", SQL["v01_arrival_picture"])
+def sql_picture(spark, sf):
+    return called(spark, "v01", "SELECT * FROM v01_arrival_picture()", predictions=td.predictions(spark, sf))
+
+
+@query("v02_sql_function", SQL["v02_next_arrivals"])
+def sql_next(spark, sf):
+    return called(spark, "v02", "SELECT * FROM v02_next_arrivals(asked_n => 50)", predictions=td.predictions(spark, sf))
+
+
+@query("v03_sql_function", SQL["v03_aircraft"])
+def sql_aircraft(spark, sf):
+    return called(spark, "v03", "SELECT * FROM v03_aircraft(' abc11 ')", predictions=td.predictions(spark, sf))
+
+
+@query("v04_sql_function", SQL["v04_demand_outlook"])
+def sql_outlook(spark, sf):
+    return called(spark, "v04", "SELECT * FROM v04_demand_outlook()", demand_forecast=td.forecasts(spark, sf))
+
+
+@query("v05_sql_function", SQL["v05_irregularities"])
+def sql_flags(spark, sf):
+    preds, _, flags = td.serving(spark, sf)
+    return called(spark, "v05", f"SELECT * FROM v05_irregularities('{AIRPORT}')", predictions=preds, irregularity_flags=flags)
+
+
+@query("v06_sql_function", SQL["v06_latest_briefing"])
+def sql_briefing(spark, sf):
+    return called(spark, "v06", f"SELECT * FROM v06_latest_briefing('{AIRPORT}')", ops_briefings=briefings(spark, sf))
+
+
+@query("v07_sql_function", SQL["v07_refresh_status"])
+def sql_refreshed(spark, sf):
+    return called(spark, "v07", f"SELECT * FROM v07_refresh_status('{AIRPORT}')", refresh_audit=refresh_audit(spark, sf))
+
+
+@query("v08_sql_function", SQL["v08_model_status"])
+def sql_status(spark, sf):
+    return called(spark, "v08", "SELECT * FROM v08_model_status('Model 1')", gate_audit=gate_audit(spark, sf))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from glidepath import testdata as td
 from glidepath.constants import FAILURE_TEXTS
 from glidepath.operators import passages, runs, text, vectors
+from glidepath.session import fresh_path
+from glidepath.sources.catalog import Catalog
 from glidepath.workbench.registry import flat, query
 from glidepath.workbench.sqlparts import part, with_parts
 
@@ -277,3 +279,46 @@ def topk(spark, sf):
 def chunked(spark, sf):
     return flat(passages.chunk_docs(td.table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text"))
                 .groupBy("name").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("text")).alias("chars")))
+
+
+# Two loads of documents: the second one lacks some, changes some and brings some.
+_IN_FIRST, _IN_SECOND = "doc_id % 17 <> 0", "doc_id % 13 <> 0"
+part("t02_doc", """
+SELECT 'doc'||doc_id AS name, doc_id%17<>0 AS one, doc_id%13<>0 AS two, doc_id%10=0 AS changed FROM documents
+""")
+
+
+def indexed(spark, sf):
+    """The catalog after both loads and the second one's change set."""
+    cat = Catalog(spark, fresh_path(spark, "index"))
+    docs = td.table(spark, sf, "documents").withColumn("name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    passages.update_index(cat, docs.where(_IN_FIRST).select("name", "text"), 1)
+    edited = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\n\nOne more paragraph of twelve words or more, so that it is a passage."))).otherwise(F.col("text"))
+    return cat, passages.update_index(cat, docs.where(_IN_SECOND).select("name", edited.alias("text")), 2), docs.select("name", edited.alias("text"))
+
+
+@query("t02_change_set", with_parts("""
+SELECT name, CASE WHEN NOT one THEN 'insert' WHEN NOT two THEN 'delete' WHEN changed THEN 'replace' ELSE 'keep' END AS action FROM t02_doc WHERE one OR two"""))
+def change_set(spark, sf):
+    return indexed(spark, sf)[1].select("name", "action")
+
+
+@query("t02_live_loads", with_parts("""
+SELECT name, CAST(CASE WHEN NOT one OR changed THEN 2 ELSE 1 END AS BIGINT) AS load FROM t02_doc WHERE two"""))
+def live_loads(spark, sf):
+    cat, _, _ = indexed(spark, sf)
+    docs = cat.read("passage_docs")
+    return flat(docs.where(F.col("at_load") == 2).select("name", "load"))
+
+
+@query("t02_index_equals_rebuild", with_parts("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS rewritten_unchanged"))
+def index_equals_rebuild(spark, sf):
+    """Passages of the index against those cut from all documents of the second load at once, and what load 2 wrote for unchanged documents."""
+    cat, changes, docs = indexed(spark, sf)
+    key = F.xxhash64("name", "source", "pos", "text").alias("k")
+    whole = passages.chunk_docs(docs.where("CAST(substr(name, 4) AS BIGINT) % 13 <> 0")).select(key)
+    live = passages.current_passages(cat).select(key)
+    kept = changes.where("action = 'keep'").select("name")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return flat(n(whole.exceptAll(live), "missing").crossJoin(n(live.exceptAll(whole), "extra")).crossJoin(
+        n(cat.read_load("passages", 2).join(kept, "name", "left_semi"), "rewritten_unchanged")))
