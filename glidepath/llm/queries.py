@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glidepath.llm import anchors, arrowfiles, bpecount, hilbert, merkle, packing, perplexity, recipes, secrets, simhash, sqltwins, surrogates, tiling
+from glidepath.llm import (
+    alignment, anchors, arrowfiles, bpecount, hilbert, merkle, packing, perplexity, recipes, secrets, simhash, sqltwins, surrogates, tiling)
 
 #: The path of a tokenizer's file is a parameter of each operator; the queries take the public ones.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Production takes the key from its secret store.
 SURROGATE_KEY = "surrogate-key"
@@ -67,6 +69,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir), BYTE_TOKENIZER, PIECE_MODEL)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
     rows = merkle.audited(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
@@ -80,6 +86,7 @@ def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_hilbert_shards, op3_substring_dedup, op4_secrets, op5_token_files, op6_near_duplicates,
-                            op7_token_counts, op8_decontamination, op9_quality, op10_surrogates, op12_merkle_manifest, op13_exact_duplicates)}
+                            op7_token_counts, op8_decontamination, op9_quality, op10_surrogates, op11_alignment, op12_merkle_manifest,
+                            op13_exact_duplicates)}
 #: SQL states none of the others: encoders, curves, rolling hashes, fingerprints and tiles. Brute-force versions in tests/llm do.
 SQL: dict[str, str] = {"op12_merkle_manifest": sqltwins.OP12, "op13_exact_duplicates": sqltwins.OP13}
