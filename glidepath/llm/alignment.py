@@ -45,7 +45,7 @@ class Encoders:
     to `limit` bytes, after which the store is emptied; results do not depend on it.
     """
 
-    def __init__(self, a: str, b: str, limit: int = 160 << 20):
+    def __init__(self, a: str, b: str, limit: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -244,7 +244,7 @@ def _block(block: int, parts: list[tuple[dict, pa.Table]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
-def blocks(docs: DataFrame, a: str, b: str, size: int = 24 << 20, step: int = 2 << 20) -> DataFrame:
+def blocks(docs: DataFrame, a: str, b: str, size: int = 6 << 20, step: int = 1 << 20) -> DataFrame:
     """`docs` encoded and aligned, about `size` bytes of text to a row; a task works on `step` bytes at a time (one document at least)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = encoders(a, b)
@@ -263,6 +263,7 @@ def blocks(docs: DataFrame, a: str, b: str, size: int = 24 << 20, step: int = 2
 
 def _settled(key: tuple, held: pa.Table, replies: pa.Table) -> pa.Table:
     """The documents of a block, with the corpus-wide counts of their pairs added up."""
+    worker_store("alignment counts", dict)  # nothing is kept; lets the encoders' store go
     row = {c: held[c].combine_chunks().flatten() for c in held.column_names if c != "block"}
     count, best = np.zeros(len(row["pair"]), np.int64), np.zeros(len(row["pair"]), np.int64)
     code = np.asarray(replies["code"])
@@ -276,7 +277,7 @@ def _settled(key: tuple, held: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: named[f.split()[0]] for f in ROWS.split(", ")})
 
 
-def alignments(docs: DataFrame, a: str, b: str, size: int = 24 << 20) -> DataFrame:
+def alignments(docs: DataFrame, a: str, b: str, size: int = 6 << 20) -> DataFrame:
     """A row per document: tokens of both tokenizers (`n_a`, `n_b`), groups between common byte ends, links between overlapping tokens, how
     many of its links have their second id's most frequent pair (`n_best`), the corpus-wide counts of its links added up (`count_sum`),
     and the digest of its groups.
@@ -284,7 +285,7 @@ def alignments(docs: DataFrame, a: str, b: str, size: int = 24 << 20) -> DataFra
     Null and empty texts, and texts that the tokens do not spell out, have no tokens: zeros and an empty digest. Repeated rows and null
     doc_ids give a row each and count each; an empty table gives none. Other columns are ignored.
 
-    A pair reaches the shuffle once per block of about 24 MB of text, however often the block has it, and its count goes back once per
+    A pair reaches the shuffle once per block of about 6 MB of text, however often the block has it, and its count goes back once per
     block; documents do not move again, but their pairs as numbers do. A pair that every block has is one row per block.
     """
     held = stored(blocks(docs, a, b, size), "alignment")
