@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidepath.llm.anchors import rolling
@@ -61,8 +61,8 @@ def _sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)), band_keys(found)
 
 
-def _spread(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """`many` joined with `few`, whatever number of rows of `many` shares a key.
+def _spread(many: DataFrame, few: DataFrame, on: str, unlike: Column | None = None) -> DataFrame:
+    """`many` joined with `few`, whatever number of rows of `many` shares a key; `unlike`: a further condition of the join.
 
     A key with over a thousandth of the rows is dealt over as many parts as it has thousandths; there are a thousand such keys at most.
     """
@@ -72,7 +72,9 @@ def _spread(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
     parts = F.coalesce("_parts", F.lit(1))
     one = many.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), parts)).drop("_parts")
     two = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return one.join(two, [on, "_part"]).drop("_part")
+    two = two.select(F.col(on).alias("_on"), F.col("_part").alias("_at"), *[c for c in few.columns if c != on])
+    same = (F.col(on) == F.col("_on")) & (F.col("_part") == F.col("_at"))
+    return one.join(two, same if unlike is None else same & unlike).drop("_part", "_on", "_at")
 
 
 def _alike(least: float):
@@ -93,12 +95,17 @@ def _alike(least: float):
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, text_key and group of each row. Rows of a group are joined by pairs with similarity `least` or more; no two groups have
-    first members (smallest doc_id, null last, then text hash) that share a band and are that similar.
+    """doc_id, text_key and group of each row: groups are the connected components of all pairs that share a band and have similarity
+    `least` or more.
 
-    Equal sets are one node. In each band bucket the first nodes (one, then twice as many each round) are paired with all later ones and
-    the pairs checked on their whole sets. What is like an earlier node leaves all buckets, so a group of n copies costs about n pairs,
-    and rounds end when no bucket has a pair left that was not checked.
+    Equal sets are one node. In each round every band bucket chooses hubs (one, then twice as many each round) among the nodes of its
+    largest component, and pairs them with its nodes of other components; the pairs are checked on their whole sets, and what is alike
+    becomes one component. A pair is left out only if both its nodes are in one component already or it was checked before, so no link
+    between components is lost, and a group of n alike copies costs about n pairs. Rounds end when no bucket has such a pair left.
+    Buckets of many nodes that are all unlike each other (sharing a band takes half of the shingles or so) do cost their pairs.
+
+    Null and blank texts have no shingles and are one group; texts of fewer words than a shingle are alike if they are equal but for the
+    case of A-Z and white space. Null doc_ids count as the largest. Repeated rows are in one group; an empty table gives none.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
     run = _mapped(_sketch, [("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -115,20 +122,32 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     sets = stored(texts.select(F.col("node").alias("doc_id"), "text_key", "text").mapInArrow(whole, "doc_id long, text_key long, set binary")
                   .select(F.col("doc_id").alias("node"), "set"), "sets")
     edges, hubs = None, 1
-    while not members.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("place", "node"))
-        first = stored(members.withColumn("turn", turn).filter(F.col("turn") <= hubs).select("key", F.col("node").alias("a"), F.col("place").alias("at")), "hubs")
-        pairs = _spread(members, first, "key").filter("at < place").select("a", F.col("node").alias("b"))
-        pairs = stored(pairs.distinct(), "pairs")
+    members = stored(members.withColumns({"comp": F.col("node"), "done": F.lit(False)}), "members")
+    while True:
+        open_ = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(~F.col("done")).alias("n"))
+        members = stored(members.join(open_.filter("x <> y AND n > 0").select("key"), "key", "left_semi"), "members")
+        if members.isEmpty():
+            break
+        sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "place", "node"))
+        first = members.filter("NOT done").join(sizes, ["key", "comp"]).withColumn("turn", turn).filter(F.col("turn") <= hubs)
+        first = stored(first.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "turn"), "hubs")
+        # Of two hubs the later one meets the earlier; a hub of an earlier round has met all it does not share a component with.
+        own = first.select("key", F.col("a").alias("node"), F.col("turn").alias("own"))
+        met = members.join(own, ["key", "node"], "left")
+        pairs = _spread(met.filter("NOT done"), first, "key", (F.col("comp") != F.col("comp_a")) & (F.col("own").isNull() | (F.col("own") > F.col("turn"))))
+        pairs = stored(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
         right = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         both = _spread(right, sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         found = stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_alike(least), "a long, b long"), "alike")
         edges = found if edges is None else edges.unionByName(found)
-        gone = found.select(F.col("b").alias("node")).distinct()
-        # Hubs of a bucket have met all its later members.
-        left = members.join(first.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").join(gone, "node", "left_anti")
-        open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        members = stored(left.join(open_, "key", "left_semi"), "members")
+        met = met.withColumn("done", F.col("done") | F.col("own").isNotNull()).drop("own")
+        # Components of this round's links between components; nodes of the others keep theirs.
+        comp_of = members.select("node", "comp").distinct()
+        links = found.join(comp_of.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(
+            comp_of.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        merged = components(links).filter("node <> component").select(F.col("node").alias("comp"), "component")
+        members = stored(met.join(merged, "comp", "left").select("key", "node", "place", F.coalesce("component", "comp").alias("comp"), "done"), "members")
         hubs *= 2
     if edges is None:
         return rows.select("doc_id", "text_key", F.col("node").alias("group"))

@@ -33,6 +33,58 @@ def test_copies_of_a_changed_text_and_unlike_members_of_a_bucket(spark):
     assert all(jaccard(chain[a], chain[b]) < 0.8 for a in firsts for b in firsts if a < b)
 
 
+def brute_groups(texts, least=0.8):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    at = list(range(len(texts)))
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links += 1
+                at[top(i)] = top(j)
+    return [top(i) for i in range(len(texts))], links
+
+
+def star_texts(seed, centres, copies, words, changes):
+    """Centres and copies with some words changed, so that copies are like their centre but not each other; in random order."""
+    rnd, texts = random.Random(seed), []
+    for c in range(centres):
+        centre = [f"c{c}w{rnd.randrange(10_000)}" for _ in range(words)]
+        texts.append(" ".join(centre))
+        for _ in range(copies):
+            copy = list(centre)
+            for i in rnd.sample(range(words), changes):
+                copy[i] = f"n{rnd.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    return texts
+
+
+def test_star_shaped_groups_keep_all_links(spark):
+    texts = star_texts(1, 12, 40, 300, 5)
+    want, links = brute_groups(texts)
+    assert len(set(want)) == 12 and links < 600  # copies are hardly ever alike themselves
+    got = {r.doc_id: r.group for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == 12
+
+
+def test_components_equal_brute_force(spark, docs):
+    """Recall of the stage itself, on documents, chains of changed copies and stars."""
+    texts = [r.text for r in docs.collect()] + star_texts(2, 6, 15, 200, 4)
+    words = [f"w{i}" for i in range(300)]
+    texts += [" ".join(words[:i] + [f"x{i}"] * 8 + words[i + 8:]) for i in range(0, 288, 8)]
+    want, _ = brute_groups(texts)
+    got = {r.doc_id: r.group for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want))
+
+
 def test_edges(edge, empty, crowded):
     out = one_of_each(crowded)
     assert out.columns == crowded.columns and out.count() == len({r.group for r in near_duplicates(edge).collect()})
