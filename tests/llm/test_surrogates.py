@@ -61,7 +61,7 @@ def test_clean_rows_stay(out):
 
 def test_no_two_entities_share_a_surrogate(spark):
     small = spark.range(90).select(F.lit("ip").alias("kind"), F.format_string("%d.%d.1.2", F.col("id") % 10, (F.col("id") / 10).cast("int")).alias("canon"))
-    names = spark.range(300).select(F.lit("name").alias("kind"), F.format_string("mr a%d", F.col("id")).alias("canon"))
+    names = spark.range(300).select(F.lit("family").alias("kind"), F.format_string("l:a%d", F.col("id")).alias("canon"))
     rows = mapping(small.unionByName(names), "k").collect()
     assert len(rows) == 390 and len({(r.kind, r.stand_in) for r in rows}) == 390
     assert not {r.stand_in for r in rows} & {r.canon for r in rows}
@@ -112,3 +112,45 @@ def test_longer_numbers_are_written_whole(spark):
     from glidepath.llm.surrogates import _shaped
     row = spark.sql("SELECT 'phone' AS k, '+1 23-45' AS e, '+1987654' AS s").select(_shaped(F.col("k"), F.col("e"), F.col("s"))).first()
     assert row[0] == "+1 98-7654"
+
+
+def replaced(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pseudonymised(rows, "k").orderBy("doc_id").collect()]
+
+
+def test_long_addresses_pass(spark):
+    hostile = ["x@" + "a." * 3000 + "com", "x@" + "ab." * 40_000 + "com", "y@" + "a" * 50_000 + ".com", "b" * 20_000 + "@example.com", "c." * 20_000 + "c@example.com",
+               "z@" + "-" * 20_000 + "a.com", "@" * 5000 + "a@b", "Mr " + "Abc-" * 5000 + "D", "+1" + " 23" * 5000, "1." * 20_000]
+    out = replaced(spark, *["start " + t + " end" for t in hostile])
+    for old, new in zip(hostile, out):
+        assert new.startswith("start ") and new.endswith(" end")
+    for n in range(5):
+        assert out[n] != "start " + hostile[n] + " end" and len(out[n]) == len(hostile[n]) + 10
+    assert "a.a.a.a.a." not in out[0] and "bbbbbbbb" not in out[3]
+
+
+def test_every_letter_is_replaced(spark):
+    texts = ["μαρία@example.com", "łukasz@ex.pl", "ßeta@ex.de", "用户名字@example.com", "דוד@example.com", "ÞÓRA@ex.is", "иван.петров@example.com"]
+    for old, new in zip(texts, replaced(spark, *texts)):
+        local, other = old.split("@")[0], new.split("@")[0]
+        assert len(local) == len(other) and new.endswith(old[old.rindex("."):])
+        kept = sum(a == b for a, b in zip(local, other))
+        assert kept <= 1, (old, new)  # a letter may draw itself
+    assert re.fullmatch("[\u4e00-\u9fff]{4}@.*", replaced(spark, "用户名字@example.com")[0])
+    assert replaced(spark, "ÞÓRA@ex.is")[0].split("@")[0].isupper()
+
+
+def test_short_and_full_names_agree(spark):
+    text, other = replaced(spark, "Mr John Smith met Mr Smith, Mrs Jones, Ms Jones and Mr. Smith; Mrs Jane Jones too. Г-н Петров, Г-жа Петрова", "Mr John Baker and Mr Smith")
+    m = re.fullmatch(r"Mr (\w+) ([\w-]+) met Mr ([\w-]+), Mrs ([\w-]+), Ms ([\w-]+) and Mr\. ([\w-]+); Mrs (\w+) ([\w-]+) too\. Г-н ([\w-]+), Г-жа ([\w-]+)", text)
+    assert m and m[2] == m[3] == m[6] != m[4] == m[5] == m[8] and m[1] != m[7] and m[9] != m[10]
+    again = re.fullmatch(r"Mr (\w+) ([\w-]+) and Mr ([\w-]+)", other)
+    assert again[1] == m[1] and again[3] == m[3] and again[2] not in (m[2], m[4])
+    assert not {"John", "Smith", "Jones", "Jane", "Петров", "Петрова"} & set(re.findall(r"\w+", text))
+
+
+def test_edge_rows(edge, crowded):
+    out = pseudonymised(crowded, "k")
+    assert set(out.columns) == set(crowded.columns) and out.count() == edge.count()
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, pseudonymised(edge, "k").select("doc_id", "text").collect()))
