@@ -21,20 +21,33 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARK = "\x01"
 
 
+class _Known(dict):
+    """Ids of words; words that are asked for and not there are noted, and have no ids for now."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missing.append(word)
+        return b""
+
+
 class WordTokens:
-    """`limit`: words kept per worker before the store is emptied; it bounds memory and does not change results."""
+    """`limit`: bytes that the store of words may take in a worker (as estimated from their lengths) before it is emptied; it bounds
+    memory and does not change results."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 320 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.limit, self.held = limit, 0
+        self.known = _Known()
         self.mark = self._ids(_MARK)
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -52,23 +65,21 @@ class WordTokens:
             for w in words[at : at + 4096]:
                 if w not in self.known:
                     self.known[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+        self.held += 180 * len(words) + 6 * sum(map(len, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
+        if self.held > self.limit:
+            self.known, self.held = _Known(), 0
         known, out, pending = self.known, [], []
-        get = known.__getitem__
+        get, missing = known.__getitem__, known.missing
         for n, text in enumerate(texts):
-            words = self.words(text) if text else []
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:
-                out.append(b"")
+            words, noted = self.words(text) if text else [], len(missing)
+            out.append(b"".join(map(get, words)))
+            if len(missing) > noted:
                 pending.append((n, words))
-        fresh = {w for _, words in pending for w in words if w not in known}
-        if len(known) + len(fresh) > self.limit:
-            known.clear()
-            fresh = {w for _, words in pending for w in words}
-        self._learn(list(fresh))
+        self._learn(list(dict.fromkeys(missing)))
+        missing.clear()
         for n, words in pending:
             out[n] = b"".join(map(get, words))
         return out
