@@ -21,6 +21,8 @@ from glidepath.sources.catalog import Catalog, stored
 LIVE = ["predictions", "demand_forecast", "irregularity_flags"]
 HISTORY = ["silver", "tracks", "touchdowns"]
 _KEEP = ("seg_end_ts",)
+#: Rules and scores look back half an hour at most.
+LIVE_MINUTES = 60
 
 
 def _rule_tables(tracks: DataFrame, segments: DataFrame, elev_ft: int) -> dict[str, DataFrame]:
@@ -96,11 +98,14 @@ def update_gold(cat: Catalog, silver: DataFrame, cutoff: str, end: str | None =
 def score(cat: Catalog, model: PipelineModel, version: int, now, profile: DataFrame, apt: str) -> None:
     """Appends one run of predictions, forecast and flags, all stamped `now`."""
     at = F.lit(now).cast("timestamp")
-    tracks = cat.read("tracks")
-    inbound = traffic.common_ring_inbound(cat.read("congestion"))
+    # the longest look back of scoring and flags, and the minutes its rows lie in
+    tracks = cat.recent("tracks", "snapshot_ts", LIVE_MINUTES)
+    inbound = traffic.common_ring_inbound(cat.recent("congestion", "minute_ts", LIVE_MINUTES))
     cat.append("predictions", learn.score_batch(model, features.scoring_rows(tracks, inbound), version, at), "scored_at")
     moment = cat.spark.range(1).select(F.lit(apt).alias("series"), at.alias("scored_at"))
-    asked = demand.score_requests(cat.read("touchdowns").where(F.col("apt_icao") == apt), moment)
+    # a forecast asks for the landings of its own day
+    landings = cat.since("touchdowns", "seg_end_ts", datetime.fromisoformat(now).replace(hour=0, minute=0, second=0))
+    asked = demand.score_requests(landings.where(F.col("apt_icao") == apt), moment)
     cat.append("demand_forecast", demand.forecast(asked, profile), "scored_at")
     cat.append("irregularity_flags", events.live_flags(tracks, apt).withColumn("scored_at", at), "scored_at")
 

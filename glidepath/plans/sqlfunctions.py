@@ -14,9 +14,9 @@ def _settled(value: str, digits: int = 0) -> str:
     return f"round(round({value}, {digits + 4}), {digits})"
 
 
-def _latest(table: str, stamp: str = "scored_at", where: str = "true") -> str:
+def _latest(table: str, stamp: str = "scored_at") -> str:
     """Rows of the newest run; the newest stamp is one value, found before the scan."""
-    return f"(SELECT * FROM {table} WHERE {where} AND {stamp} = (SELECT max({stamp}) FROM {table} WHERE {where}))"
+    return f"(SELECT * FROM {table} WHERE {stamp} = (SELECT max({stamp}) FROM {table}))"
 
 
 _NAME = "coalesce(nullif(trim(callsign), ''), icao)"
@@ -26,9 +26,11 @@ _ETA = f"{_settled('predicted_eta_min', 1)} AS eta_min, date_format(predicted_to
 def _bodies(p: str) -> dict[str, tuple[str, str]]:
     """For each function its arguments and its query, over tables that begin with `p`."""
     t = {name: f"{p}_{name}" for name in TABLES}
-    preds, flags = _latest(t["predictions"]), _latest(t["irregularity_flags"], where="apt_icao = asked_apt")
-    # a flag run of over 15 minutes before the newest predictions is an old one: nothing is flagged now
-    now = f"""(SELECT * FROM {flags} WHERE unix_micros((SELECT max(scored_at) FROM {t['predictions']})) - unix_micros(scored_at) <= 900000000)"""
+    preds = _latest(t["predictions"])
+    # the newest run of each airport; one of over 15 minutes before the newest predictions is an old one: nothing is flagged now
+    now = f"""{t['irregularity_flags']} f JOIN (SELECT apt_icao AS run_apt, max(scored_at) AS run_at FROM {t['irregularity_flags']} GROUP BY apt_icao) r
+                ON f.apt_icao = r.run_apt AND f.scored_at = r.run_at
+            WHERE apt_icao = asked_apt AND unix_micros((SELECT max(scored_at) FROM {t['predictions']})) - unix_micros(scored_at) <= 900000000"""
     model = """CASE WHEN lower(asked_model) RLIKE 'model ?1|eta|touchdown|arrival.?time' THEN 'eta_touchdown'
         WHEN lower(asked_model) RLIKE 'model ?2|demand|forecast' THEN 'demand_forecast' ELSE trim(asked_model) END"""
     return {

@@ -8,7 +8,8 @@ its window again. One writer per table at a time.
 
 from __future__ import annotations
 
-from datetime import datetime
+import re
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,10 +56,38 @@ class Catalog:
         at = F.lit(moment.isoformat(" ")).cast("timestamp")
         return self._days(name).where((F.col("dt") >= F.lit(moment.date())) & (F.col(time_col) >= at)).drop("dt")
 
+    def days(self, name: str) -> list[str]:
+        """The table's day folders in order, from the listing of its files; no file is opened."""
+        found = {hit[1] for f in self._days(name).inputFiles() if (hit := re.search(r"/dt=(\d{4}-\d\d-\d\d)/", f))}
+        return sorted(found)
+
     def newest_day(self, name: str) -> DataFrame:
-        """Rows of the last day that has any."""
+        """Rows of the last day that has any; other day folders stay unread."""
         rows = self._days(name)
-        return rows.where(F.col("dt") == F.lit(rows.agg(F.max("dt").alias("d")).first()["d"])).drop("dt")
+        for day in reversed(self.days(name)):  # an emptied day keeps a folder, so the first one usually ends the search
+            last = rows.where(F.col("dt") == F.lit(day).cast("date")).drop("dt")
+            if not last.isEmpty():
+                return last
+        return rows.where(F.lit(False)).drop("dt")
+
+    def newest(self, name: str, stamp: str) -> datetime | None:
+        """The newest stamp of a table (UTC), from its last day."""
+        micros = self.newest_day(name).agg(F.unix_micros(F.max(stamp)).alias("m")).first()["m"]
+        return None if micros is None else datetime(1970, 1, 1) + timedelta(microseconds=micros)
+
+    def latest_run(self, name: str, stamp: str = "scored_at") -> DataFrame:
+        """All rows with the newest stamp: day and stamp reach the scan as literals."""
+        at = self.newest(name, stamp)
+        if at is None:
+            return self.newest_day(name)
+        return self.since(name, stamp, at)
+
+    def recent(self, name: str, time_col: str, minutes: float) -> DataFrame:
+        """Rows no older than `minutes` before the newest one; days before that stay unread."""
+        at = self.newest(name, time_col)
+        if at is None:
+            return self.newest_day(name)
+        return self.since(name, time_col, at - timedelta(minutes=minutes))
 
     def _write(self, df: DataFrame, name: str, mode: str, time_col: str | None, cluster_by: list[str], days: str = "static") -> None:
         """Each day goes to `files_per_day` tasks, chosen by the first cluster column (else by the

@@ -17,7 +17,7 @@ from glidepath.sources.envelopes import to_silver
 from glidepath.streaming.medallion import bronze_stream
 
 LEDGER = "newest timestamp, mark timestamp, on_time bigint, late_rows bigint, batch bigint"
-_PLACE = ["late", "dt", "hh", "batch"]
+_PLACE = ["late", "dt", "batch"]
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +30,7 @@ def ledger(spark: SparkSession, root: str) -> DataFrame:
 def _silver(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """All rows written, with the columns of their place; `schema` is that of a Silver report."""
     path = f"{root}/silver_dealt"
-    full = StructType([*schema.fields, *StructType.fromDDL("late boolean, dt date, hh int, batch bigint").fields])
+    full = StructType([*schema.fields, *StructType.fromDDL("late boolean, dt date, batch bigint").fields])
     spark.createDataFrame([], full).write.mode("append").partitionBy(*_PLACE).parquet(path)
     return spark.read.schema(full).parquet(path)
 
@@ -44,15 +44,15 @@ def _committed(spark: SparkSession, root: str) -> tuple[int, object]:
 def silver_of(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The committed Silver table: on-time and late rows, `late` tells which."""
     last, _ = _committed(spark, root)
-    return _silver(spark, root, schema).where(F.col("batch") <= last).drop("hh", "batch")
+    return _silver(spark, root, schema).where(F.col("batch") <= last).drop("batch")
 
 
 def deal(bronze: DataFrame, batch: int, root: str, delay_s: int = 900, before_commit: Callable[[int], None] | None = None) -> None:
     """Writes and commits one batch of Bronze rows; a batch that is committed already is left alone.
 
-    The watermark is `delay_s` before the newest report of earlier batches. On-time rows are compared with Silver from the watermark's
-    hour on, late ones with the hours they lie in, two columns of each. One job writes both parts; a replay has the same rows, since it
-    is dealt by the same ledger and compared with committed batches only.
+    The watermark is `delay_s` before the newest report of earlier batches. Rows are compared with Silver's day folders that they lie in,
+    from the batch's first report on, which files sorted by time leave most of a day out for; two columns are read. One job writes both
+    parts; a replay has the same rows, since it is dealt by the same ledger and compared with committed batches only.
     """
     spark = bronze.sparkSession
     last, newest = _committed(spark, root)
@@ -62,16 +62,15 @@ def deal(bronze: DataFrame, batch: int, root: str, delay_s: int = 900, before_co
     schema = rows.schema
     mark = F.lit(None).cast("timestamp") if newest is None else F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay_s} SECONDS")
     dealt = rows.withColumns({"late": F.coalesce(F.col("snapshot_ts") < mark, F.lit(False)), "dt": F.to_date("snapshot_ts"),
-                              "hh": F.hour("snapshot_ts"), "batch": F.lit(batch).cast("bigint")})
+                              "batch": F.lit(batch).cast("bigint")})
     if newest is not None:
-        hours = [r["h"] for r in dealt.select(F.date_trunc("hour", "snapshot_ts").alias("h")).distinct().collect()]  # hours of one batch
+        first = {r["dt"]: r["t"] for r in dealt.groupBy("dt").agg(F.min("snapshot_ts").alias("t")).collect()}  # days of one batch
         held = _silver(spark, root, schema).where(F.col("batch") <= last)
-        at = F.make_timestamp(F.year("dt"), F.month("dt"), F.dayofmonth("dt"), "hh", F.lit(0), F.lit(0))
-        days = sorted({h.date() for h in hours})
-        held = held.where(F.col("dt").isin(days) & at.isin(hours)).select("icao", "snapshot_ts")
-        dealt = dealt.join(held, ["icao", "snapshot_ts"], "left_anti")
+        if first:
+            held = held.where(F.col("dt").isin(list(first)) & (F.col("snapshot_ts") >= F.lit(min(first.values()))))
+        dealt = dealt.join(held.select("icao", "snapshot_ts"), ["icao", "snapshot_ts"], "left_anti")
     path = f"{root}/silver_dealt"
-    (dealt.select(*schema.names, *_PLACE).repartition("late", "dt", "hh").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (dealt.select(*schema.names, *_PLACE).repartition("late", "dt").sortWithinPartitions("late", "dt", "snapshot_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*_PLACE).parquet(path))
     if before_commit:
         before_commit(batch)

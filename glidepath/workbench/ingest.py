@@ -284,6 +284,12 @@ def missing(spark, sf):
     return flat(catalog.missing_keys(td.table(spark, sf, "customer"), td.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]))
 
 
+@query("u03_missing_finished", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F' AND o_orderkey%3=0)")
+def missing_finished(spark, sf):
+    done = td.table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    return flat(catalog.missing_keys(td.table(spark, sf, "customer"), done, ["c_custkey"]))
+
+
 # Streams: the same envelopes through two triggered hops; the result is the batch Silver.
 def streamed(spark, sf, copies=1, max_files=None):
     path, root = landed(spark, sf, copies), fresh_path(spark, "medallion")
@@ -374,7 +380,7 @@ def replayed(spark, sf):
 
 # alt_geom stands for the event id, which the fixture takes modulo 41000.
 @query("r05_ledger", with_parts(f"""
-SELECT load AS batch, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late_rows FROM (
+SELECT CAST(load AS BIGINT) AS batch, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late_rows FROM (
  SELECT load, load=2 AND (ms-1704067200000)//864000000<1 AS late FROM (SELECT ms, {_LOADS.replace('event_id', 'alt_geom_ft')} AS load FROM rp WHERE icao IS NOT NULL) q) q GROUP BY 1"""))
 def replay_ledger(spark, sf):
     root, schema = dealt_loads(spark, sf)

@@ -127,6 +127,27 @@ def audited(spark, sf):
     return flat(gate.audit_row(decision, "ml.eta_touchdown", 2, 1, True, F.timestamp_seconds(F.lit(td.EPOCH))))
 
 
+# The other way round the same tables are an improvement, and the gate lets it pass.
+_TURNED = "SELECT coalesce(n.band,o.band) AS band, o.MAE_min AS challenger, n.MAE_min AS champion, o.MAE_min-n.MAE_min AS delta FROM bands_new n FULL JOIN bands_old o ON o.band=n.band"
+
+
+def _decision_turned(spark, sf):
+    worse, better = _tables(spark, sf)
+    return gate.evaluate_gate(better, worse, max_regress=0.05)
+
+
+@query("m13_gate_passed", with_parts("SELECT CAST(passed AS INT) AS passed, round(gain,6) AS improvement_pct, reasons FROM gated", aligned=_TURNED))
+def gate_passed(spark, sf):
+    return flat(_decision_turned(spark, sf))
+
+
+@query("m14_gate_applied", with_parts("""
+SELECT CAST(1704067200 AS BIGINT) AS audited_at, 'ml.eta_touchdown' AS model_name, CAST(2 AS BIGINT) AS challenger_version, CAST(1 AS BIGINT) AS champion_version_before,
+ CASE WHEN passed THEN 'PASS' ELSE 'HOLD' END AS gate_verdict, CAST(passed AS INT) AS applied, reasons FROM gated""", aligned=_TURNED))
+def gate_applied(spark, sf):
+    return flat(gate.audit_row(_decision_turned(spark, sf), "ml.eta_touchdown", 2, 1, True, F.timestamp_seconds(F.lit(td.EPOCH))))
+
+
 # Drift between the two halves of the events, and of two line statuses.
 def _halves(spark, sf):
     ev = td.table(spark, sf, "events").select("value", F.get_json_object("props", "$.k").try_cast("double").alias("k"),

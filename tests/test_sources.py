@@ -213,3 +213,19 @@ def test_model_beats_the_baseline_it_is_given(spark, sf_dir):
     assert overall["mae"] < overall["baseline_mae"] / 3 and info["final_trees"] >= 5
     best = learn.feature_effects(model, parts.where("part = 'test'"), ["seg_id", "snapshot_ts"], top=2)
     assert best.groupBy("seg_id", "snapshot_ts").count().where("count != 2").count() == 0
+
+
+def test_live_reads_take_the_last_day(spark):
+    cat = Catalog(spark, fresh_path(spark, "days"))
+    rows = spark.range(300).select("id", F.timestamp_seconds(F.col("id") * 1000 + 1704067200).alias("ts"))
+    cat.replace("t", rows, "ts")
+    assert cat.days("t") == ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
+    assert collected(cat.latest_run("t", "ts"), "id") == [(299,)] and cat.newest("t", "ts") == datetime(2024, 1, 4, 11, 3, 20)
+    assert collected(cat.recent("t", "ts", 1440), "id") == sorted(((i,) for i in range(213, 300)), key=repr)
+    plan = cat.recent("t", "ts", 30)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+    # an emptied last day is passed over, an empty table gives no rows
+    cat.replace_window("t", rows.where("id < 200"), "ts", "2024-01-02 00:00:00")
+    assert cat.newest("t", "ts") == datetime(2024, 1, 3, 7, 16, 40)
+    cat.replace("e", rows.where("false"), "ts")
+    assert cat.newest("e", "ts") is None and cat.latest_run("e", "ts").count() == cat.recent("e", "ts", 5).count() == 0
