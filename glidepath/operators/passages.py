@@ -109,14 +109,17 @@ def update_index(cat: Catalog, docs: DataFrame, load: int, **sizes) -> DataFrame
     """
     earlier = cat.read("passage_docs").where(F.col("at_load") < load) if cat.exists("passage_docs") else None
     newest = earlier.agg(F.max("at_load").alias("n")).first()["n"] if earlier is not None else None
-    held = None if newest is None else earlier.where(F.col("at_load") == newest)
+    held = None if newest is None else earlier.where((F.col("at_load") == newest) & F.col("name").isNotNull())
     changes = stored(change_set(document_hashes(docs), held), "passage-changes")
     fresh = changes.where(F.col("action").isin("insert", "replace"))
     made = chunk_docs(docs.join(fresh.select("name"), "name", "left_semi"), **sizes)
     cat.append_load("passages", made, load)
     live = changes.where(F.col("action") != "delete").select(
         "name", "doc_hash", F.when(F.col("action") == "keep", F.col("load")).otherwise(F.lit(load)).alias("load"), F.lit(load).alias("at_load"))
-    live.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at_load").parquet(cat.path("passage_docs"))
+    # a row without a name marks the load, also one that leaves no document
+    mark = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("doc_hash"),
+                                             F.lit(load).alias("load"), F.lit(load).alias("at_load"))
+    live.unionByName(mark).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at_load").parquet(cat.path("passage_docs"))
     return changes
 
 

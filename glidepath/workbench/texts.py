@@ -308,7 +308,7 @@ SELECT name, CAST(CASE WHEN NOT one OR changed THEN 2 ELSE 1 END AS BIGINT) AS l
 def live_loads(spark, sf):
     cat, _, _ = indexed(spark, sf)
     docs = cat.read("passage_docs")
-    return flat(docs.where(F.col("at_load") == 2).select("name", "load"))
+    return flat(docs.where("at_load = 2 AND name IS NOT NULL").select("name", "load"))
 
 
 @query("t02_index_equals_rebuild", with_parts("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS rewritten_unchanged"))
