@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glidepath.llm.common import partitions, stored, text_groups
 from glidepath.llm.packplan import Windows, plan
+from glidepath.llm.shinglejoin import _spread
 from glidepath.llm.wordtokens import word_tokens
 
 TIERS = (512, 1024, 2048, 4096)
@@ -20,34 +21,35 @@ PIECES = "doc_id long, text_key long, text_key2 long, start long, length long, i
 
 def _pieces(path: str, end_id: int, size: int):
     tail = np.array([end_id], dtype="<u4").tobytes()
+    schema = pa.schema([*[(c.split()[0], pa.int64()) for c in PIECES.split(", ")], ("ids", pa.binary())])
 
     def run(batches):
-        schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
         for part, texts in text_groups(batches):
-            rows = []
+            rows, tools = [], word_tokens(path)
+            kind = "<u2" if max(tools.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
             own = (part.column(c).to_pylist() for c in ("doc_id", "text_key", "text_key2"))
-            for doc, key, key2, ids in zip(*own, word_tokens(path).encode(texts)):
+            for doc, key, key2, ids in zip(*own, tools.encode(texts)):
                 ids += tail
                 n = len(ids) // 4
-                rows += [(doc, key, key2, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                for a in range(0, n, size):
+                    # Only what does not fill a window may be cut again; its ids stay beside it.
+                    rest = np.frombuffer(ids, "<u4", offset=4 * a).astype(kind).tobytes() if n - a < size else None
+                    rows.append((doc, key, key2, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n, rest))
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return run
 
 
-def _slices(path: str, end_id: int):
-    """Checksums of parts of documents, which come with their texts."""
-    tail = np.array([end_id], dtype="<u4").tobytes()
-
-    def run(batches):
-        for part, texts in text_groups(batches):
-            ids = [x + tail for x in word_tokens(path).encode(texts)]
-            spans = zip(ids, part.column("start").to_pylist(), part.column("length").to_pylist())
-            crc = pa.array([zlib.crc32(x[4 * a : 4 * (a + n)]) for x, a, n in spans], pa.int64())
-            at = part.schema.get_field_index("text")
-            yield part.remove_column(at).append_column("ids_crc32", crc)
-
-    return run
+def _slices(batches):
+    """Checksums of parts of pieces, which come with their ids (as many bytes each as the piece has ids)."""
+    for part in batches:
+        crc = []
+        for raw, of, first, start, length in zip(*(part.column(c).to_pylist() for c in ("ids", "of", "first", "start", "length"))):
+            ids = np.frombuffer(raw, f"<u{len(raw) // of}")
+            crc.append(zlib.crc32(ids[start - first : start - first + length].astype("<u4").tobytes()))
+        keep = [n for n in part.schema.names if n not in ("ids", "of", "first")]
+        yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
 
 
 class _Places:
@@ -136,8 +138,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
     their attention cost, so steps of a tier cost nearly the same.
 
     The plan needs only how many remainders have which length. Each remainder then gets its number within its length (numbered in
-    salted parts, so a length that a third of the rows share is spread), which says where its tokens go. Only documents that are cut
-    in a new place are encoded again for their checksums.
+    salted parts, so a length that a third of the rows share is spread), which says where its tokens go. Texts are encoded once: the ids of
+    remainders are written beside them, once per row, and a remainder that is cut takes its checksums from them. Cut rows and ids meet by
+    hash of the text; hashes that many cut rows share are dealt over parts.
 
     Null texts count as empty: a document has its end token at least. Rows with a null or repeated doc_id are packed like others;
     equal rows are told apart by place only. An empty table gives no rows. Other columns are ignored.
@@ -146,9 +149,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
     size = max(tiers)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"),
                        F.xxhash64("text", F.lit(1)).alias("text_key2"))
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, size), PIECES), "pieces")
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, size), PIECES + ", ids binary"), "pieces")
     salts = partitions(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(salts)).cast("int"))
+    salted = pieces.drop("ids").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # lengths 1 .. size
@@ -160,9 +163,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
                     .mapInPandas(_place(places), PLACED + ", whole boolean"), "placed")
     names = [c.split()[0] for c in PLACED.split(", ")][:-2]
     cut = placed.filter(~F.col("whole")).drop("ids_crc32", "whole")
-    keys = ["text_key", "text_key2"]
-    texts = rows.join(cut.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys).select(*keys, "text")
-    with_text = cut.join(texts, keys).select(*cut.columns, "text")
+    wanted = cut.select("text_key", "text_key2").distinct()
+    ids = pieces.filter(F.col("ids").isNotNull()).join(wanted, ["text_key", "text_key2"], "left_semi").groupBy("text_key", "text_key2").agg(
+        F.min(F.struct("start", "length", "ids")).alias("p")).select("text_key", F.col("text_key2").alias("key2"), F.col("p.start").alias("first"),
+                                                                     F.col("p.length").alias("of"), F.col("p.ids").alias("ids"))
+    with_ids = _spread(cut, ids, "text_key", F.col("text_key2") == F.col("key2")).drop("key2")
     fields = ", ".join(c for c in PLACED.split(", ") if not c.startswith("ids_crc32")) + ", ids_crc32 long"
-    again = with_text.mapInArrow(_slices(tokenizer, end_id), fields)
+    again = with_ids.select(*cut.columns, "ids", "of", "first").mapInArrow(_slices, fields)
     return placed.filter("whole").select(names).unionByName(again.select(names))

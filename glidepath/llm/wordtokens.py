@@ -37,7 +37,7 @@ class WordTokens:
     """`limit`: bytes that the store of words may take in a worker (as estimated from their lengths) before it is emptied; it bounds
     memory and does not change results."""
 
-    def __init__(self, path: str, limit: int = 320 << 20):
+    def __init__(self, path: str, limit: int = 224 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
