@@ -18,6 +18,8 @@ from glidepath.streaming.medallion import bronze_stream
 
 LEDGER = "newest timestamp, mark timestamp, on_time bigint, late_rows bigint, batch bigint"
 _PLACE = ["late", "dt", "batch"]
+#: A day is written in parts of so many seconds, so no task holds a whole day and a file spans a stretch of it.
+PART_S = 3 * 3600
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
@@ -70,7 +72,8 @@ def deal(bronze: DataFrame, batch: int, root: str, delay_s: int = 900, before_co
             held = held.where(F.col("dt").isin(list(first)) & (F.col("snapshot_ts") >= F.lit(min(first.values()))))
         dealt = dealt.join(held.select("icao", "snapshot_ts"), ["icao", "snapshot_ts"], "left_anti")
     path = f"{root}/silver_dealt"
-    (dealt.select(*schema.names, *_PLACE).repartition("late", "dt").sortWithinPartitions("late", "dt", "snapshot_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    part = F.floor(F.unix_seconds("snapshot_ts") / PART_S)
+    (dealt.select(*schema.names, *_PLACE).repartition("late", "dt", part).sortWithinPartitions("late", "dt", "snapshot_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*_PLACE).parquet(path))
     if before_commit:
         before_commit(batch)

@@ -324,13 +324,13 @@ def backfill(spark, sf):
     return silver_view(medallion.run_backfill(spark, root, silver, old))
 
 
-# Three loads by time, each one file and one batch. A tenth of the first one's reports come with the last one, long after the watermark;
+# Three loads by time, each one batch: what has arrived is dealt before the next one comes. A tenth of the first one's reports come with the last one, long after the watermark;
 # some reports of the second come again with the third.
 _LOADS = """CASE WHEN (ms-1704067200000)//864000000<1 THEN CASE WHEN event_id%10=0 THEN 2 ELSE 0 END WHEN (ms-1704067200000)//864000000<2 THEN 1 ELSE 2 END"""
 
 
-def dealt_loads(spark, sf):
-    """Bronze loads by time with late and repeated reports; the root and the schema."""
+def dealt_loads(spark, sf, deal):
+    """Bronze loads by time with late and repeated reports. `deal(root, schema, n)` is called when load `n` has arrived; the root and the schema."""
     root = fresh_path(spark, "dealt")
     bronze = medallion.with_day(envelopes.to_bronze(read_landed(spark, landed(spark, sf))))
     bronze = catalog.stored(bronze.withColumn("event_id", F.col("report.alt_geom").cast("bigint")), "bronze")
@@ -338,9 +338,11 @@ def dealt_loads(spark, sf):
     load = F.when(ten_days < 1, F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)).when(ten_days < 2, 1).otherwise(2)
     again = bronze.where((load == 1) & (F.col("event_id") % 7 == 0)).withColumn("load", F.lit(2))
     every = bronze.withColumn("load", load).unionByName(again).drop("event_id")
+    schema = every.drop("load").schema
     for n in range(3):
-        every.where(F.col("load") == n).drop("load").coalesce(1).write.mode("append").parquet(f"{root}/bronze")
-    return root, every.drop("load").schema
+        every.where(F.col("load") == n).drop("load").write.mode("append").parquet(f"{root}/bronze")
+        deal(root, schema, n)
+    return root, schema
 
 
 def dealt_silver(spark, root, schema):
@@ -348,34 +350,38 @@ def dealt_silver(spark, root, schema):
     return dealing.silver_of(spark, root, wanted)
 
 
+def dealt(spark, sf):
+    return dealt_loads(spark, sf, lambda root, schema, n: dealing.run_dealt(spark, root, schema))
+
+
 @query("r03_late_rows", with_parts(_SILVER))
 def late_rows(spark, sf):
-    root, schema = dealt_loads(spark, sf)
-    dealing.run_dealt(spark, root, schema, max_files=1)
-    return silver_view(dealt_silver(spark, root, schema))
+    return silver_view(dealt_silver(spark, *dealt(spark, sf)))
 
 
-def stopped_once(spark, root, schema):
-    """A run that stops between the second batch's write and its commit, and the run that goes on."""
+def stopped_once(spark, sf):
+    """Loads of which the second one's run stops between the batch's write and its commit; another run goes on."""
     def stop(batch):
         if batch == 1:
             raise RuntimeError("stopped before the commit")
 
-    try:
-        dealing.run_dealt(spark, root, schema, max_files=1, before_commit=stop)
-    except Exception as e:
-        if "stopped before the commit" not in str(e):
-            raise
-    else:
-        raise AssertionError("the run was not stopped")
-    dealing.run_dealt(spark, root, schema, max_files=1)
+    def deal(root, schema, n):
+        if n == 1:
+            try:
+                dealing.run_dealt(spark, root, schema, before_commit=stop)
+            except Exception as e:
+                if "stopped before the commit" not in str(e):
+                    raise
+            else:
+                raise AssertionError("the run was not stopped")
+        dealing.run_dealt(spark, root, schema)
+
+    return dealt_loads(spark, sf, deal)
 
 
 @query("r05_replayed", with_parts(_SILVER))
 def replayed(spark, sf):
-    root, schema = dealt_loads(spark, sf)
-    stopped_once(spark, root, schema)
-    return silver_view(dealt_silver(spark, root, schema))
+    return silver_view(dealt_silver(spark, *stopped_once(spark, sf)))
 
 
 # alt_geom stands for the event id, which the fixture takes modulo 41000.
@@ -383,8 +389,7 @@ def replayed(spark, sf):
 SELECT CAST(load AS BIGINT) AS batch, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late_rows FROM (
  SELECT load, load=2 AND (ms-1704067200000)//864000000<1 AS late FROM (SELECT ms, {_LOADS.replace('event_id', 'alt_geom_ft')} AS load FROM rp WHERE icao IS NOT NULL) q) q GROUP BY 1"""))
 def replay_ledger(spark, sf):
-    root, schema = dealt_loads(spark, sf)
-    stopped_once(spark, root, schema)
+    root, _ = stopped_once(spark, sf)
     return flat(dealing.ledger(spark, root).select("batch", "on_time", "late_rows"))
 
 

@@ -129,3 +129,31 @@ def test_chained_windows_equal_batch(spark):
     assert collected(medallion.windowed_measures(tracks.where("icao <> 'zz'")), *columns) == want
     got = drained(spark, tracks, 4, medallion.windowed_measures, "measures")
     assert collected(got.where(F.unix_seconds("minute_ts") < EPOCH + 9_000_000), *columns) == want
+
+
+def test_a_day_is_written_by_several_tasks(spark):
+    root = fresh_path(spark, "dealt")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        schema = silver_after(spark, root, [[(f"a{i}", i * 3600, "x") for i in range(24)]])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(rows_of(spark, root, schema)) == 24
+    parts = spark.read.parquet(f"{root}/silver_dealt").where("batch = 0").select(
+        F.floor(F.unix_seconds("snapshot_ts") / dealing.PART_S).alias("part"), F.input_file_name().alias("file")).distinct().collect()
+    assert len({r["part"] for r in parts}) == 8 and len({r["file"] for r in parts}) > 1
+
+
+def test_a_load_of_many_files_is_one_batch(spark, sf_dir, monkeypatch):
+    from glidepath.workbench import ingest
+    seen, deal, stored = [], dealing.deal, ingest.catalog.stored
+    monkeypatch.setattr(dealing, "deal", lambda batch, n, *a, **k: seen.append((n, batch.rdd.getNumPartitions())) or deal(batch, n, *a, **k))
+    monkeypatch.setattr(ingest.catalog, "stored", lambda df, name: stored(df.repartition(6), name))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128MB")  # a task for each file
+    try:
+        ingest.dealt(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert [n for n, _ in seen] == [0, 1, 2] and min(parts for _, parts in seen) > 1
