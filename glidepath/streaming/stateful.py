@@ -16,17 +16,21 @@ STATE = "us bigint, seg_start bigint, alt double, dist double, track double, ste
 #: A waiting report, as a bucket holds it: microseconds, values (NaN for null), on the ground (-1 for null).
 WAITING = np.dtype([("us", "i8"), ("alt", "f8"), ("dist", "f8"), ("track", "f8"), ("err", "f8"), ("vrate", "f8"), ("grounded", "i1")])
 
+#: Reports that a release steps over at once.
+STEP = 1 << 16
+
 
 class TrackState(StatefulProcessor):
     """Emits reports in time order once the watermark has passed them.
 
     Waiting reports lie in buckets of `bucket_s` by time: a batch touches each bucket of its reports once, and a release reads only the
-    buckets that the watermark has reached, one at a time, however long an aircraft's waiting list is. Of the past only the last report's
-    values stay. An aircraft that falls silent is dropped from the state `idle_ms` after its last report.
+    buckets that the watermark has reached, however long an aircraft's waiting list is. Every call of the state and every step has a fixed
+    cost, so buckets hold many reports and a release steps over up to `STEP` reports at once. Of the past only the last report's values
+    stay. An aircraft that falls silent is dropped from the state `idle_ms` after its last report.
     """
 
     def __init__(self, max_gap_s: int = 180, vrate_gap_s: int = 600, max_closure_kt: float = 700.0, inbound_err: float = 70.0,
-                 idle_ms: int = 3_600_000, bucket_s: int = 60):
+                 idle_ms: int = 3_600_000, bucket_s: int = 900):
         self.max_gap_s, self.vrate_gap_s, self.max_closure, self.inbound_err = max_gap_s, vrate_gap_s, max_closure_kt, inbound_err
         self.idle_ms, self.bucket_us = idle_ms, bucket_s * 1_000_000
 
@@ -37,45 +41,57 @@ class TrackState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
+        waiting = self._waiting()
         for pdf in rows:
             new = _packed(pdf)
             buckets = new["us"] // self.bucket_us
             order = np.argsort(buckets, kind="stable")
             edges = np.flatnonzero(np.diff(buckets[order], prepend=buckets[order[0]] - 1, append=buckets[order[-1]] + 1))
             for a, b in zip(edges, edges[1:]):
-                bucket = (int(buckets[order[a]]),)
-                held = self.waiting.getValue(bucket)[0] if self.waiting.containsKey(bucket) else b""
-                self.waiting.updateValue(bucket, (bytes(held) + new[order[a:b]].tobytes(),))
-        yield from self._release(key, mark)
+                bucket = int(buckets[order[a]])
+                held = self.waiting.getValue((bucket,))[0] if bucket in waiting else b""
+                self.waiting.updateValue((bucket,), (bytes(held) + new[order[a:b]].tobytes(),))
+                waiting.add(bucket)
+        yield from self._release(key, mark, waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        yield from self._release(key, mark)
+        yield from self._release(key, mark, self._waiting())
         if self.last.exists() and not self.waiting.exists() and mark >= self.last.get()[0] // 1000 + self.idle_ms:
             self.last.clear()
 
-    def _release(self, key, mark: int) -> Iterator[pd.DataFrame]:
-        """Reports up to the watermark, a bucket at a time; a timer for the first one that stays."""
+    def _waiting(self) -> set[int]:
+        """The buckets that hold reports."""
+        return {k[0] for k in self.waiting.keys()}  # noqa: SIM118
+
+    def _release(self, key, mark: int, waiting: set[int]) -> Iterator[pd.DataFrame]:
+        """Reports up to the watermark, about `STEP` at a time; a timer for the first one that stays."""
         passed = mark * 1000
-        buckets = sorted(k[0] for k in self.waiting.keys())  # noqa: SIM118
-        for bucket in buckets:
-            if bucket * self.bucket_us <= passed:
-                held = np.frombuffer(bytes(self.waiting.getValue((bucket,))[0]), dtype=WAITING)
-                held = held[np.argsort(held["us"], kind="stable")]
-                ready, stays = held[held["us"] <= passed], held[held["us"] > passed]
-                if len(ready):
-                    yield self._step(key, ready)
-                if not len(stays):
-                    self.waiting.removeKey((bucket,))
-                    continue
+        gathered, size, first = [], 0, None
+        for bucket in sorted(waiting):
+            if bucket * self.bucket_us > passed:
+                first = bucket * self.bucket_us
+                break
+            held = np.frombuffer(bytes(self.waiting.getValue((bucket,))[0]), dtype=WAITING)
+            held = held[np.argsort(held["us"], kind="stable")]
+            ready, stays = held[held["us"] <= passed], held[held["us"] > passed]
+            if len(ready):
+                gathered.append(ready)
+                size += len(ready)
+            if len(stays):
                 if len(ready):
                     self.waiting.updateValue((bucket,), (stays.tobytes(),))
                 first = int(stays["us"][0])
-            else:
-                first = bucket * self.bucket_us
+                break
+            self.waiting.removeKey((bucket,))
+            if size >= STEP:
+                yield self._step(key, np.concatenate(gathered))
+                gathered, size = [], 0
+        if gathered:
+            yield self._step(key, np.concatenate(gathered))
+        if first is not None:
             self.handle.registerTimer(max(first // 1000, mark) + 1)
-            return
-        if self.last.exists() and buckets:
+        elif waiting and self.last.exists():
             self.handle.registerTimer(max(self.last.get()[0] // 1000 + self.idle_ms, mark + 1))
 
     def _step(self, key, w: np.ndarray) -> pd.DataFrame:

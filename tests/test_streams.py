@@ -131,6 +131,33 @@ def test_chained_windows_equal_batch(spark):
     assert collected(got.where(F.unix_seconds("minute_ts") < EPOCH + 9_000_000), *columns) == want
 
 
+def test_a_release_steps_over_many_buckets_at_once(spark, monkeypatch):
+    import numpy as np
+
+    class Map(dict):
+        def getValue(self, k): return super().get(k)  # noqa: E704, N802
+        def updateValue(self, k, v): self[k] = v  # noqa: E704, N802
+        def removeKey(self, k): del self[k]  # noqa: E704, N802
+
+    def released(step):
+        monkeypatch.setattr(stateful, "STEP", step)
+        state, stepped, timers = stateful.TrackState(bucket_s=60), [], []
+        state.waiting = Map()
+        state.handle = type("H", (), {"registerTimer": staticmethod(timers.append)})
+        state._step = lambda key, w: stepped.append(w["us"].tolist()) or len(w)
+        for n in range(50):
+            w = np.zeros(2, dtype=stateful.WAITING)
+            w["us"] = [n * 60_000_000 + 30_000_000, n * 60_000_000]
+            state.waiting[(n,)] = (w.tobytes(),)
+        list(state._release(("a",), 40 * 60_000 + 1000, state._waiting()))
+        assert sorted(k[0] for k in state.waiting) == list(range(40, 50)) and timers == [40 * 60_000 + 30_000 + 1]
+        return stepped
+
+    once, often = released(1 << 16), released(3)
+    assert len(once) == 1 and len(once[0]) == 81 and max(map(len, often)) <= 4
+    assert once[0] == sorted(once[0]) == [x for part in often for x in part]
+
+
 def test_a_day_is_written_by_several_tasks(spark):
     root = fresh_path(spark, "dealt")
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
