@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ _HEADING = re.compile(r"^(#{1,4})\s+(.+?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _MARKS = re.compile(r"[`*]")
 _BLANK = re.compile(r"\n\s*\n")
+_PASSAGE = pa.schema([("name", pa.string()), ("source", pa.string()), ("pos", pa.int32()), ("text", pa.string())])
 
 
 def _sections(text: str) -> Iterator[tuple[str, str]]:
@@ -65,14 +66,29 @@ def passages_of(name: str, text: str, max_words: int, max_chars: int, min_words:
         yield from ((source, "\n\n".join(p)) for n, p in packed if n >= min_words)
 
 
-def chunk_docs(docs: DataFrame, max_words: int = 250, max_chars: int = 1500, min_words: int = 12) -> DataFrame:
-    """`name, source, pos, text` passages of documents `name, text`, one document at a time."""
+def _batch(rows: list[tuple[str, str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _PASSAGE.types)], schema=_PASSAGE)
+
+
+def chunk_docs(docs: DataFrame, max_words: int = 250, max_chars: int = 1500, min_words: int = 12, held_chars: int = 1 << 20) -> DataFrame:
+    """`name, source, pos, text` passages of documents `name, text`, one document at a time.
+
+    A worker takes one text out of its Arrow batch at a time and hands passages on from `held_chars` characters, whatever the batch holds.
+    """
     def run(batches):
-        for pdf in batches:
-            rows = [(name, source, i, p) for name, text in zip(pdf["name"], pdf["text"])
-                    for i, (source, p) in enumerate(passages_of(name, text or "", max_words, max_chars, min_words))]
-            yield pd.DataFrame(rows, columns=["name", "source", "pos", "text"])
-    return docs.select("name", "text").mapInPandas(run, "name string, source string, pos int, text string")
+        for batch in batches:
+            held, size = [], 0
+            for name, text in zip(batch.column(0), batch.column(1)):
+                name = name.as_py()
+                for i, (source, p) in enumerate(passages_of(name, text.as_py() or "", max_words, max_chars, min_words)):
+                    held.append((name, source, i, p))
+                    size += len(p)
+                    if size >= held_chars:
+                        yield _batch(held)
+                        held, size = [], 0
+            if held:
+                yield _batch(held)
+    return docs.select("name", "text").mapInArrow(run, "name string, source string, pos int, text string")
 
 
 def embed_input(source="source", text="text"):

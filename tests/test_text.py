@@ -198,3 +198,15 @@ def test_number_match_against_brute_force(spark):
     allowed = {abs(float(c)) for c in cells} | {float(round(float(c))) for c in cells}
     want = [n for n in re.findall(r"[\d.]+", body) if not any(abs(float(n) - a) < 0.051 for a in allowed)]
     assert check(spark, body, cells, 1000)[1] == [f"number {n} not in facts" for n in want]
+
+
+def test_passages_are_handed_on_in_small_batches(spark, monkeypatch):
+    body = "\n\n".join(f"# Part {i}\n\n" + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(30))
+    rows = [(f"doc{n}", body) for n in range(20)] + [("none", None), (None, body)]
+    docs = spark.createDataFrame(rows, "name string, text string").coalesce(1)
+    want = sorted(((n, s, i, p) for n, t in rows for i, (s, p) in enumerate(passages.passages_of(n, t or "", 250, 1500, 12))), key=repr)
+    assert sorted(map(tuple, passages.chunk_docs(docs).collect()), key=repr) == want and len(want) == 21 * 30
+    sizes = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: [sizes.append(b.num_rows) or b for b in run(iter(self.toArrow().to_batches()))])
+    passages.chunk_docs(docs, held_chars=2000)
+    assert sum(sizes) == len(want) and max(sizes) <= 2000 // 200
