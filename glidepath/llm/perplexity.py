@@ -29,8 +29,6 @@ BAND_RANGES = 3.0
 GRID = 10_000
 #: Characters of a stream that are worked on together; a longer one goes in pieces that overlap by a context.
 PIECE = 1 << 20
-#: Texts that over 1/SHARE of all rows share are counted once.
-SHARE = 1000
 #: Languages whose counts of counts may be broadcast.
 MOST_LANGS = 100_000
 
@@ -126,21 +124,17 @@ def _grams(order: int, held: int):
 
 
 def counted_once(docs: DataFrame) -> DataFrame:
-    """`docs` without the further copies of texts that over 1/SHARE of all rows share: of those the row with the smallest doc_id stays.
+    """lang and text of `docs`, each different text of a language once, however large the table and however often it stands there.
 
-    A text that fills a large part of the table would else teach the model itself, score below every band and be lost with all its
-    copies. There are fewer than SHARE such texts, so their hashes are broadcast; texts do not move.
+    Copies would else teach the model their text, which then scores below every band and is lost with all of them. Workers drop copies
+    before the shuffle, so a text that a third of the rows share costs no more.
     """
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    copies = keyed.filter(F.col("text").isNotNull()).groupBy("_text_key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first"))
-    copies = stored(copies.filter("_n > 1"), "copies")
-    hot = F.broadcast(copies.filter(F.col("_n") * SHARE > docs.count()))
-    return keyed.join(hot, "_text_key", "left").filter(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_first"))).select(*docs.columns)
+    return docs.select("lang", "text").distinct()
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n over the streams of all texts. Workers add up before the shuffle, so a language or word that a third of the rows share costs no more."""
-    rows = counted_once(docs.select("doc_id", _lang(), F.col("text").cast("string"))).select("lang", "text")
+    """lang, gram, n over the streams of the different texts. Workers add up before the shuffle, so a language or word that a third of the rows share costs no more."""
+    rows = counted_once(docs.select(_lang(), F.col("text").cast("string")))
     partial = rows.mapInArrow(_grams(order, 300_000), "lang string, gram string, n long")
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -350,8 +344,8 @@ def bands(scores: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, order: int = ORDER, columns: list[str] | None = None) -> DataFrame:
     """`columns` of `docs` (all unless given) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, nll and kept.
 
-    kept: the base rules hold and the score per character lies in the band of the document's language, bounds included. Three passes over
-    the texts: hashes that tell frequent copies, counts of n-grams, then counts and scores, which are written with `columns`; the bands follow from the written scores.
+    kept: the base rules hold and the score per character lies in the band of the document's language, bounds included. Two passes over
+    the texts: counts of n-grams over the different ones, then counts and scores of all, which are written with `columns`; the bands follow from the written scores.
     Workers read the model as a broadcast with one entry per different n-gram of the corpus; none is left out. Null and empty texts have
     no words and fail the base rules; a null language is a language of its own; repeated rows are scored alike; an empty table gives no
     rows. Input columns named like an added one are replaced.

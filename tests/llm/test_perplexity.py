@@ -158,3 +158,14 @@ def test_no_gram_is_left_out(spark, docs):
     got = {r.doc_id: r.nll for r in P.quality(df).collect()}
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(-score(t) / (100 * 10), rel=1e-6)
+
+
+def test_copies_count_once_in_a_table_of_any_size(spark, docs):
+    text = docs.filter("lang = 'en' AND n_chars > 2000").first().text
+    few = [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (3, text, "de", "a", 1)]
+    more = [(10 + i, f"other{i}", "xx", "a", 1) for i in range(2500)]  # two copies are under a thousandth of these rows
+
+    def counts(rows):
+        return sorted(map(tuple, P.gram_counts(spark.createDataFrame(rows, docs.schema)).filter("lang IN ('=en', '=de')").collect()))
+
+    assert counts(few) == counts(few + more) == counts(few[1:])
