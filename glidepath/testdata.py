@@ -21,6 +21,7 @@ from glidepath.sources.catalog import stored
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, start of the events table
 DENSE = "#dense"
+REPORTS, STEP_S = 12, 30  # reports of a dense event, and the seconds between them
 
 
 def _once(view):
@@ -40,23 +41,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _seconds(sf_dir: str) -> Column:
-    """The compressed second, or seconds, that an event gives a report at."""
+    """The compressed second that an event gives a report at, or the first one of a dense event."""
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH * 1_000_000)
     if not sf_dir.endswith(DENSE):
         return F.floor(micros / F.lit(240_000_000)).cast("bigint")
     ten_days = 864_000_000_000
-    first = F.floor(micros / ten_days) * 86400 + 16200 + F.floor((micros % ten_days) / 80_000_000)
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: (first + j * 30).cast("bigint")))
+    return (F.floor(micros / ten_days) * 86400 + 16200 + F.floor((micros % ten_days) / 80_000_000)).cast("bigint")
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with `t`, the compressed second, one row per (user, t): the lowest event id wins."""
+    """Events with `t`, the compressed second, one row per (user, t): the lowest event id wins.
+
+    The reports of dense events lie half a minute apart, so only events whose first seconds agree modulo `STEP_S` can meet: events are
+    dealt by that remainder and repeated behind the shuffle, not before it.
+    """
     alarm = F.when((F.col("event_type") == "error") & (F.col("value") > 150), 1).otherwise(0)
-    return (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id", _seconds(sf_dir).alias("t"), alarm.alias("alarm"))
-        .groupBy("user_id", "t").agg(F.min("event_id").alias("event_id"), F.min_by("alarm", "event_id").alias("alarm"))
-    )
+    found = table(spark, sf_dir, "events").select("event_id", "user_id", _seconds(sf_dir).alias("t"), alarm.alias("alarm"))
+    keys = ["user_id", "t"]
+    if sf_dir.endswith(DENSE):
+        dealt = found.withColumn("_rest", F.pmod("t", F.lit(STEP_S))).repartition("user_id", "_rest")
+        times = F.transform(F.sequence(F.lit(0), F.lit(REPORTS - 1)), lambda j: F.col("t") + j * STEP_S)
+        found, keys = dealt.select("event_id", "user_id", "_rest", "alarm", F.explode(times).alias("t")), ["user_id", "_rest", "t"]
+    return found.groupBy(*keys).agg(F.min("event_id").alias("event_id"), F.min_by("alarm", "event_id").alias("alarm")).drop("_rest")
 
 
 _KINEMATICS = f"""
