@@ -94,9 +94,11 @@ def genuine(spark, sf):
 
 def hold_rows(spark, sf):
     rows, segments = td.gold(spark, sf + td.DENSE)
-    held = events.genuine_holds(events.irregularities(rows, segments), rows, decade_landings(segments), max_same_day=SAME_DAY)
-    counted = features.with_inbound_count(rows, traffic.common_ring_inbound(traffic.congestion(rows)))
-    return stored(learn.hold_rows(counted, held), "hold_rows")
+    held = stored(events.genuine_holds(events.irregularities(rows, segments), rows, decade_landings(segments), max_same_day=SAME_DAY), "held")
+    # written first, so that the joins know the size of both small sides before they move any report
+    inbound = stored(traffic.common_ring_inbound(traffic.congestion(rows)), "inbound")
+    made = learn.hold_rows(features.with_inbound_count(rows, inbound), held)
+    return stored(made.select("seg_id", "snapshot_ts", "is_held", *learn.HOLD_FEATURES), "hold_rows")
 
 
 @query("m09_hold_rows", dense_sql(with_parts("SELECT seg_id, ts AS snapshot_ts, CAST(is_held AS BIGINT) AS is_held FROM hold_rows")))
