@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glidepath.constants import PSI_MODERATE, PSI_SIGNIFICANT
@@ -33,12 +33,13 @@ def psi(reference: DataFrame, comparison: DataFrame, columns: list[str], bins: i
         "feature", F.array_distinct("q").alias("_edges"))
     # an edge for each column named by the caller, so the table is as short as that list
     both = ref.withColumn("_r", F.lit(1)).unionByName(comp.withColumn("_r", F.lit(0))).join(F.broadcast(edges), "feature", "left")
-    inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
-    counted = both.withColumns({"_bin": F.size(F.filter(inner, lambda e: e <= F.col("v"))), "_spread": F.size("_edges") >= 2})
+    # the inner edges, of which there are `bins` - 1 at most, compared one by one
+    upto = [F.when((F.size("_edges") > i + 1) & (F.get("_edges", F.lit(i)) <= F.col("v")), 1).otherwise(0) for i in range(1, bins)]
+    counted = both.withColumns({"_bin": sum(upto, F.lit(0)), "_spread": F.size("_edges") >= 2})
     per_bin = counted.groupBy("feature", "_bin").agg(
         F.sum("_r").alias("_ref"), F.sum(1 - F.col("_r")).alias("_comp"), F.bool_and("_spread").alias("_spread"))
-    totals = per_bin.groupBy("feature").agg(F.sum("_ref").alias("ref_rows"), F.sum("_comp").alias("comp_rows"))
-    joined = per_bin.join(F.broadcast(totals), "feature")
+    of_feature = Window.partitionBy("feature")  # a row per bin
+    joined = per_bin.withColumns({"ref_rows": F.sum("_ref").over(of_feature), "comp_rows": F.sum("_comp").over(of_feature)})
     r = F.greatest(F.try_divide(F.col("_ref"), F.col("ref_rows")), F.lit(1e-6))
     c = F.greatest(F.try_divide(F.col("_comp"), F.col("comp_rows")), F.lit(1e-6))
     scored = joined.groupBy("feature").agg(

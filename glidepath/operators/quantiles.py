@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glidepath.sources.catalog import stored
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 100_000,
                     few_groups: bool = False, at_index: bool = False) -> DataFrame:
@@ -21,8 +26,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     eps = 2.0 / accuracy
     marks = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
     m = len(probs)
-    brackets = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", marks, accuracy).alias("_marks"))
+    # written: both passes over the values read it
+    brackets = stored(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", marks, accuracy).alias("_marks")), "brackets")
     if not keys:
         held = rows.crossJoin(F.broadcast(brackets))  # a single row
     else:
@@ -37,8 +43,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     around = wide.select(*keys, "n", F.inline(F.array(*[F.struct(
         F.lit(i).alias("_i"), *[F.col(f"{c}{i}").alias(c) for c in ("_below", "_prev", "_next")]) for i in range(m)])))
     inside = F.filter(F.array(*[F.lit(i) for i in range(m)]), lambda i: (v >= F.get("_marks", i)) & (v <= F.get("_marks", i + m)))
+    # few values lie in any bracket, and plain comparisons tell so faster than the filter of the list
+    near = reduce(or_, [(v >= F.get("_marks", F.lit(i))) & (v <= F.get("_marks", F.lit(i + m))) for i in range(m)])
     ranked = (
-        held.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        held.where(near).select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)))
     )

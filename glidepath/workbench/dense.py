@@ -134,7 +134,8 @@ _FIELDS, _IDS = ["alt_ft", "gs_kt", "dist_to_apt_nm", "baro_rate_fpm"], ["icao",
 
 def sketched(spark, sf):
     """The reports and the table of their sketches; the last day is written twice, as a rerun does."""
-    rows, cat = stored(td.positions(spark, sf + td.DENSE), "positions"), Catalog(spark, fresh_path(spark, "sketches"))
+    reports = td.positions(spark, sf + td.DENSE).select("snapshot_ts", *_FIELDS, *_IDS)  # no other column is sketched or compared
+    rows, cat = stored(reports, "positions"), Catalog(spark, fresh_path(spark, "sketches"))
     for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-03"):
         sketches.keep_sketches(cat, "sketches", rows.where(F.to_date("snapshot_ts") == F.lit(day).cast("date")), "snapshot_ts", _FIELDS, _IDS)
     return rows, spark.read.parquet(cat.path("sketches"))
