@@ -11,7 +11,7 @@ span laps, approaches and the borders of slices.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glidepath.constants import AIRPORT, AIRPORT_LAT, AIRPORT_LON, FIELD_ELEV_FT
@@ -53,16 +53,31 @@ def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with `t`, the compressed second, one row per (user, t): the lowest event id wins.
 
     The reports of dense events lie half a minute apart, so only events whose first seconds agree modulo `STEP_S` can meet: events are
-    dealt by that remainder and repeated behind the shuffle, not before it.
+    dealt by that remainder and repeated behind the shuffle, not before it. An event meets the few others of its reach there, so its
+    reports that a lower id takes are never made.
     """
     alarm = F.when((F.col("event_type") == "error") & (F.col("value") > 150), 1).otherwise(0)
     found = table(spark, sf_dir, "events").select("event_id", "user_id", _seconds(sf_dir).alias("t"), alarm.alias("alarm"))
-    keys = ["user_id", "t"]
     if sf_dir.endswith(DENSE):
-        dealt = found.withColumn("_rest", F.pmod("t", F.lit(STEP_S))).repartition("user_id", "_rest")
-        times = F.transform(F.sequence(F.lit(0), F.lit(REPORTS - 1)), lambda j: F.col("t") + j * STEP_S)
-        found, keys = dealt.select("event_id", "user_id", "_rest", "alarm", F.explode(times).alias("t")), ["user_id", "_rest", "t"]
-    return found.groupBy(*keys).agg(F.min("event_id").alias("event_id"), F.min_by("alarm", "event_id").alias("alarm")).drop("_rest")
+        found = found.withColumn("_rest", F.pmod("t", F.lit(STEP_S))).repartition("user_id", "_rest")
+    keys = [c for c in ("user_id", "_rest", "t") if c in found.columns]
+    one = found.groupBy(*keys).agg(F.min("event_id").alias("event_id"), F.min_by("alarm", "event_id").alias("alarm"))
+    return _repeated(one) if sf_dir.endswith(DENSE) else one
+
+
+def _repeated(events: DataFrame) -> DataFrame:
+    """The reports of events that are one per (user, t): where reports of two events meet, that of the lowest id stays, an event without id last."""
+    reach = (REPORTS - 1) * STEP_S
+    around = Window.partitionBy("user_id", "_rest").orderBy("t").rangeBetween(-reach, reach)
+    own = F.struct(F.col("event_id").isNull().alias("none"), F.coalesce("event_id", F.lit(0)).alias("id"), F.col("t").alias("at"))
+    near = events.withColumns({"_own": own, "_near": F.collect_list(own).over(around)})
+    times = F.sequence(F.col("t"), F.col("t") + reach, F.lit(STEP_S).cast("bigint"))
+
+    def taken(at: Column) -> Column:
+        return F.exists("_near", lambda o: (o["at"] <= at) & (o["at"] >= at - reach) & (o < F.col("_own")))
+    # an event without a time has one report without a time
+    times = F.when(F.col("t").isNull(), F.array(F.col("t"))).when(F.size("_near") == 1, times).otherwise(F.filter(times, lambda at: ~taken(at)))
+    return near.select("event_id", "user_id", "alarm", F.explode(times).alias("t")).select("user_id", "t", "event_id", "alarm")
 
 
 _KINEMATICS = f"""
