@@ -17,7 +17,7 @@ from glidepath.llm.common import worker_store
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{SPACE}]+")
 #: str.split() takes these for white space as well; the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _MARK = "\x01"
 
 
@@ -51,7 +51,7 @@ class WordTokens:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
+        return _WORDS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
