@@ -124,16 +124,86 @@ def _alike(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def _forest(sets: list[np.ndarray], sides: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links of similarity `least` or more between sets; if there are two sides, of those between the sides.
+
+    Values shared by many sets are columns of a 0-1 matrix and counted by its product with itself, the others pair by pair.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[first, len(values)])
+    both = np.zeros((n, n), np.float32)
+    many = np.flatnonzero(counts * 8 > max(n, 64))
+    for at in range(0, len(many), 1024):
+        runs = many[at : at + 1024]
+        held = np.zeros((n, len(runs)), np.float32)
+        for k, run in enumerate(runs):
+            held[owner[first[run] : first[run] + counts[run]], k] = 1
+        both += held @ held.T
+    few = (counts > 1) & (counts * 8 <= max(n, 64))
+    start, stay = np.repeat(first[few], counts[few]), np.repeat(counts[few], counts[few])
+    at = start + np.arange(len(start)) - np.repeat(np.cumsum(counts[few]) - counts[few], counts[few])
+    end = start + stay
+    flat, step = both.reshape(-1), 1
+    while len(at := at[(keep := at + step < end)]):
+        end = end[keep]
+        np.add.at(flat, owner[at] * n + owner[at + step], 1)
+        np.add.at(flat, owner[at + step] * n + owner[at], 1)
+        step += 1
+    two, new, a, b = sides.min() != sides.max(), np.ones(n, bool), [], []
+    for root in range(n):
+        if not new[root]:
+            continue
+        new[root], waiting = False, [root]
+        while waiting:
+            i = waiting.pop()
+            alike = new & (both[i] > 0) & (both[i] >= least * (sizes[i] + sizes - both[i].astype(np.float64)) - 1e-9)
+            found = np.flatnonzero(alike & (sides != sides[i]) if two else alike)
+            new[found] = False
+            a += [i] * len(found)
+            b += found.tolist()
+            waiting += found.tolist()
+    return a, b
+
+
+def _tiles_alike(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        a, b = _forest(sets, table.column("tile").to_numpy(), least)
+        nodes = table.column("node").to_numpy()
+        return pa.table({"a": pa.array(nodes[a], pa.int64()), "b": pa.array(nodes[b], pa.int64())})
+
+    return run
+
+
+def _within_crowds(crowds: DataFrame, sets: DataFrame, least: float, docs: int, size: int) -> DataFrame:
+    """Links (a, b) that join what is alike of each crowd: node, crowd. All pairs of a crowd are compared on their whole sets, in pairs of
+    tiles of about `docs` sets and `size` values; a pair of tiles is one small group, which passes on a forest of its links."""
+    narrow = stored(crowds.join(sets.select("node", "n"), "node"), "crowds")
+    parts = narrow.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / docs), F.ceil(F.sum("n") / size), F.lit(1)).cast("int").alias("parts"))
+    tiled = _spread(narrow, parts, "crowd").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = sets.select("node", "set").join(tiled.select("node", "crowd", "tile", "parts"), "node").withColumn("other", other)
+    dealt = dealt.select("node", "crowd", "tile", "set", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    return dealt.groupBy("crowd", "low", "high").applyInArrow(_tiles_alike(least), "a long, b long")
+
+
+#: Buckets of so many nodes are paired row by row, larger ones in tiles of so many sets and values.
+FEW, TILE_DOCS, TILE_VALUES = 4, 1024, 1 << 18
+
+
+def near_duplicates(docs: DataFrame, least: float = LEAST, tile_docs: int = TILE_DOCS) -> DataFrame:
     """doc_id, text_key and group of each row: groups are the connected components of all pairs that share a band and have similarity
     `least` or more.
 
-    Equal sets are one node. In each round every band bucket chooses hubs (one, then twice as many each round) among the nodes of its
-    largest component, and pairs them with its nodes of other components; the pairs are checked on their whole sets, and what is alike
-    becomes one component. A pair is left out only if both its nodes are in one component already, if it was checked before, or if its
-    smallest values differ in more than FAR of 120 places, which the join sees before it makes a row. So no link between components is
-    lost, but for one in 150,000 at similarity 0.8 and fewer above, and a group of n alike copies costs about n pairs. Rounds end when no
-    bucket has such a pair left.
+    Equal sets are one node. Nodes of a band bucket of FEW nodes are paired, and the pairs are checked on their whole sets; a pair whose
+    smallest values differ in more than FAR of 120 places makes no row (one in 150,000 at similarity 0.8 and fewer above). Nodes that larger
+    buckets connect are a crowd, and all its pairs are compared on their whole sets in tiles, whether they share a band or not. A group of n
+    texts so makes n rows for each `tile_docs` texts that it has, and n * n comparisons, in groups of bounded size.
 
     Null and blank texts have no shingles and are one group; texts of fewer words than a shingle are alike if they are equal but for the
     case of A-Z and white space. Null doc_ids count as the largest. Repeated rows are in one group; an empty table gives none.
@@ -143,47 +213,28 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = stored(keyed.mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>, sig array<long>"), "sketches")
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text_key")
     nodes = stored(rows.groupBy("node").agg(F.min(place).alias("place"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "nodes")
-    members = nodes.select("node", "place", "sig", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = stored(members.join(shared, "key", "left_semi"), "members")
-    wanted = members.select("place.doc", "place.text_key", "node").dropDuplicates(["node"])
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    members = stored(_spread(members, shared, "key"), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("place.doc", "place.text_key", "node")
     texts = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).join(wanted, ["doc", "text_key"]).dropDuplicates(["node"])
-    whole = _mapped(lambda s: (s.tobytes(),), [("set", pa.binary())])
+    whole = _mapped(lambda s: (s.tobytes(), len(s)), [("set", pa.binary()), ("n", pa.int64())])
     # The node goes through the pass in place of the id.
-    sets = stored(texts.select(F.col("node").alias("doc_id"), "text_key", "text").mapInArrow(whole, "doc_id long, text_key long, set binary")
-                  .select(F.col("doc_id").alias("node"), "set"), "sets")
-    edges, hubs = None, 1
-    members = stored(members.withColumns({"comp": F.col("node"), "done": F.lit(False)}), "members")
-    while True:
-        open_ = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count_if(~F.col("done")).alias("n"))
-        members = stored(members.join(open_.filter("x <> y AND n > 0").select("key"), "key", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "place", "node"))
-        first = members.filter("NOT done").join(sizes, ["key", "comp"]).withColumn("turn", turn).filter(F.col("turn") <= hubs)
-        first = stored(first.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "turn", F.col("sig").alias("sig_a")), "hubs")
-        # Of two hubs the later one meets the earlier; a hub of an earlier round has met all it does not share a component with.
-        own = first.select("key", F.col("a").alias("node"), F.col("turn").alias("own"))
-        met = members.join(own, ["key", "node"], "left")
-        pairs = _spread(met.filter("NOT done"), first, "key", (F.col("comp") != F.col("comp_a"))
-                        & (F.col("own").isNull() | (F.col("own") > F.col("turn"))) & _may_be_alike("sig", "sig_a"))
-        pairs = stored(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        right = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        both = _spread(right, sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        found = stored(both.select("a", "b", "set_a", "set_b").mapInArrow(_alike(least), "a long, b long"), "alike")
-        edges = found if edges is None else edges.unionByName(found)
-        met = met.withColumn("done", F.col("done") | F.col("own").isNotNull()).drop("own")
-        # Components of this round's links between components; nodes of the others keep theirs.
-        comp_of = members.select("node", "comp").distinct()
-        links = found.join(comp_of.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a").join(
-            comp_of.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        merged = components(links).filter("node <> component").select(F.col("node").alias("comp"), "component")
-        members = stored(met.join(merged, "comp", "left").select("key", "node", "place", "sig", F.coalesce("component", "comp").alias("comp"), "done"), "members")
-        hubs *= 2
-    if edges is None:
-        return rows.select("doc_id", "text_key", F.col("node").alias("group"))
-    groups = components(edges).withColumnRenamed("component", "group")
+    sets = stored(texts.select(F.col("node").alias("doc_id"), "text_key", "text").mapInArrow(whole, "doc_id long, text_key long, set binary, n long")
+                  .select(F.col("doc_id").alias("node"), "set", "n"), "sets")
+    links = members.filter(F.col("n") > FEW).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    crowds = stored(components(links).withColumnRenamed("component", "crowd"), "crowds")
+    edges = _within_crowds(crowds, sets, least, tile_docs, TILE_VALUES)
+    paired = members.filter(F.col("n") <= FEW).select("key", "node").join(nodes.select("node", "sig"), "node").join(crowds, "node", "left")
+    other = paired.select("key", F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("crowd").alias("crowd_a"))
+    apart = F.col("crowd").isNull() | F.col("crowd_a").isNull() | (F.col("crowd") != F.col("crowd_a"))
+    pairs = paired.withColumnRenamed("key", "_key").join(
+        other, (F.col("_key") == F.col("key")) & (F.col("a") < F.col("node")) & apart & _may_be_alike("sig", "sig_a"))
+    pairs = stored(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(
+        sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    found = both.select("a", "b", "set_a", "set_b").mapInArrow(_alike(least), "a long, b long")
+    groups = components(edges.unionByName(found)).withColumnRenamed("component", "group")
     return rows.join(groups, "node", "left").select("doc_id", "text_key", F.coalesce("group", "node").alias("group"))
 
 

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from glidepath.llm import shinglejoin
 from glidepath.llm.shinglejoin import near_duplicates, one_of_each
 
 
@@ -89,3 +92,47 @@ def test_edges(edge, empty, crowded):
     out = one_of_each(crowded)
     assert out.columns == crowded.columns and out.count() == len({r.group for r in near_duplicates(edge).collect()})
     assert one_of_each(empty).count() == 0
+
+
+def test_a_crowd_of_unlike_texts_makes_few_rows_and_loses_no_link(spark, monkeypatch):
+    """Texts that share most buckets and are hardly ever alike: rows grow with their number, not its square; whatever the tiles, links stay."""
+    rnd, base = random.Random(5), [f"w{i}" for i in range(250)]
+    texts = []
+    for _ in range(120):
+        text = list(base)
+        for i in rnd.sample(range(250), 8):
+            text[i] = f"n{rnd.randrange(10**9)}"
+        texts += [" ".join(text)] + [" ".join(text[:-3] + ["z", str(len(texts)), "y"])] * (len(texts) % 3 == 0)
+    want, _ = brute_groups(texts)
+    made, real = {}, shinglejoin.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shinglejoin, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (1024, 40):
+        made.clear()
+        got = {r.doc_id: r.group for r in near_duplicates(df, tile_docs=tile).collect()}
+        assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want))
+        assert made["pairs"] < 2 * len(texts)
+
+
+def test_forest_of_links_equals_brute_force():
+    rnd = np.random.default_rng(4)
+    for n, shared in ((3, 10), (70, 40), (200, 300)):
+        base = np.arange(shared, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(shared // 2, shared + 1), replace=False), rnd.integers(10**6, 10**6 + 50, 8).astype(np.uint64)])) for _ in range(n)]
+        for sides in (np.zeros(n, int), np.arange(n) % 2):
+            at = {(i, j) for i in range(n) for j in range(i) if sides.max() == 0 or sides[i] != sides[j]}
+            alike = {(i, j) for i, j in at if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - b) - 1e-9}
+            a, b = shinglejoin._forest(sets, sides, 0.8)
+            links = {(max(p), min(p)) for p in zip(a, b)}
+            assert links <= alike and len(links) == len(a)
+            group = list(range(n))
+            for i, j in links:
+                group = [group[j] if g == group[i] else g for g in group]
+            assert all(group[i] == group[j] for i, j in alike)
+            assert len(set(group)) == n - len(links)
