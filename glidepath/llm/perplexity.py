@@ -29,6 +29,8 @@ BAND_RANGES = 3.0
 GRID = 10_000
 #: Characters of a stream that are worked on together; a longer one goes in pieces that overlap by a context.
 PIECE = 1 << 20
+#: Characters that are scored together: so few that the arrays over them stay in a core's cache.
+BATCH = 1 << 16
 #: Languages whose counts of counts may be broadcast.
 MOST_LANGS = 100_000
 
@@ -58,28 +60,28 @@ def _pieces(streams: list[str], order: int) -> tuple[list[str], list[int]]:
     return out, of
 
 
-def _places(pieces: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """All pieces as one string and as code points, the places that end an n-gram, and the piece of each place."""
+def _places(pieces: list[str], of: np.ndarray, order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces as one string and as code points, the places that end an n-gram, and what `of` says of the piece of each place."""
     joined = "".join(pieces)
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     size = np.array([len(p) for p in pieces], dtype=np.int64)
-    start = np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(np.arange(len(points)) - start >= order - 1)
-    return joined, points, at, np.repeat(np.arange(len(pieces)), size)[at]
+    ends = np.maximum(size - order + 1, 0)
+    before = np.cumsum(size) - size + order - 1 - (np.cumsum(ends) - ends)
+    return joined, points, np.arange(ends.sum()) + np.repeat(before, ends), np.repeat(of, ends)
 
 
-def _batches(streams: list[str], salts: list[int], order: int):
-    """(string, points, places, piece's stream, salt of each place) for about PIECE characters at a time."""
+def _batches(streams: list[str], salts: list[int], order: int, size: int):
+    """(string, points, places, piece's stream, salt of each place) for about `size` characters at a time."""
     pieces, of = _pieces(streams, order)
+    salt = np.array(salts, dtype=np.uint64)
     first = 0
     while first < len(pieces):
         last, held = first, 0
-        while last < len(pieces) and (last == first or held + len(pieces[last]) <= PIECE):
+        while last < len(pieces) and (last == first or held + len(pieces[last]) <= size):
             held += len(pieces[last])
             last += 1
-        joined, points, at, piece = _places(pieces[first:last], order)
-        owner = np.array(of[first:last])[piece]
-        yield joined, points, at, owner, np.array(salts, dtype=np.uint64)[owner]
+        joined, points, at, owner = _places(pieces[first:last], np.array(of[first:last], dtype=np.int64), order)
+        yield joined, points, at, owner, salt[owner]
         first = last
 
 
@@ -89,35 +91,36 @@ def _grams(order: int, held: int):
     """Per language, how often each n-gram of `order` occurs; emitted whenever `held` different ones are there."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
-    def flush(names: dict[int, tuple[str, str]], counts: dict[int, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": [names[k][0] for k in counts], "gram": [names[k][1] for k in counts], "n": list(counts.values())}, schema=schema)
+    def flush(names: list[tuple[str, str]], counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": [x for x, _ in names], "gram": [x for _, x in names], "n": counts}, schema=schema)
 
     def run(batches):
         worker_store("n-gram counts", dict)  # nothing is kept; lets another operator's store go before grams pile up
-        names: dict[int, tuple[str, str]] = {}
-        counts: dict[int, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names: list[tuple[str, str]] = []
+        known, number, counts = none  # sorted hashes, the number of each, and how often each number was met
+        index = _index(known)
         for part, texts in text_groups(batches):
             langs = part.column("lang").to_pylist()
-            for joined, points, at, owner, salt in _batches([stream(t, order) for t in texts], [_lang_salt(x) for x in langs], order):
+            for joined, points, at, owner, salt in _batches([stream(t, order) for t in texts], [_lang_salt(x) for x in langs], order, PIECE):
                 keys = _keys(points, at + 1, order, salt)
-                ranked = np.sort(keys)
-                first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
-                found = ranked[first].tolist()
-                fresh = [k for k in found if k not in counts]
-                if len(fresh) > 2000:
-                    spots = zip(*np.unique(keys, return_index=True))
-                else:
-                    wanted = np.flatnonzero(np.isin(keys, np.array(fresh, dtype=np.uint64)))
-                    spots = zip(keys[wanted], wanted)
-                for k, i in spots:
-                    if int(k) not in names:
-                        names[int(k)] = langs[owner[i]], joined[at[i] - order + 1 : at[i] + 1]
-                for k, n in zip(found, np.diff(first, append=len(ranked)).tolist()):
-                    counts[k] = counts.get(k, 0) + n
-                if len(counts) > held:
+                place = _where(known, index, keys)
+                new = np.flatnonzero(place < 0)
+                met = place[place >= 0] if len(new) else place
+                counts[number] += np.bincount(met, minlength=len(known))
+                if len(new):
+                    fresh, first, n = np.unique(keys[new], return_index=True, return_counts=True)
+                    names += [(langs[owner[i]], joined[at[i] - order + 1 : at[i] + 1]) for i in new[first].tolist()]
+                    between = np.searchsorted(known, fresh)
+                    known = np.insert(known, between, fresh)
+                    number = np.insert(number, between, np.arange(len(counts), len(names)))
+                    counts = np.concatenate([counts, n])
+                    index = _index(known)
+                if len(known) > held:
                     yield flush(names, counts)
-                    names, counts = {}, {}
-        if counts:
+                    names, (known, number, counts) = [], none
+                    index = _index(known)
+        if names:
             yield flush(names, counts)
 
     return run
@@ -191,12 +194,53 @@ def _lang_salt(lang: str) -> int:
 
 def _keys(points: np.ndarray, ends: np.ndarray, k: int, salt: np.ndarray) -> np.ndarray:
     """64-bit hashes of the k characters that end before each of `ends`, per language."""
-    h = np.zeros(len(ends), dtype=np.uint64)
-    for j in range(k):
-        h = h * _BASE + points[ends - k + j].astype(np.uint64) + np.uint64(1)
+    if 2 * len(ends) > len(points):  # most places: over all in a row, then those asked for
+        h = np.zeros(max(0, len(points) - k + 1), dtype=np.uint64)
+        for j in range(k):
+            h *= _BASE
+            h += points[j : j + len(h)]
+            h += np.uint64(1)
+        h = h[ends - k]
+    else:
+        h = np.zeros(len(ends), dtype=np.uint64)
+        for j in range(k):
+            h = h * _BASE + points[ends - k + j].astype(np.uint64) + np.uint64(1)
     return mixed(h ^ salt ^ np.uint64(k))
 
 
+def _index(held: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """For sorted hashes: by how much to shift one to get its leading bits, and where each pattern of these begins. There are one to two
+    patterns for each hash, so a pattern has about one."""
+    bits = max(1, len(held).bit_length())
+    shift = np.uint64(64 - bits)
+    starts = np.zeros((1 << bits) + 1, np.int32 if len(held) < 1 << 31 else np.int64)
+    for at in range(0, len(held), 1 << 20):
+        pattern = (held[at : at + (1 << 20)] >> shift).astype(np.int64)
+        counts = np.bincount(pattern - pattern[0])
+        starts[pattern[0] + 1 : pattern[0] + 1 + len(counts)] += counts.astype(starts.dtype)
+    return shift, np.cumsum(starts, dtype=starts.dtype, out=starts)
+
+
+def _where(held: np.ndarray, index: tuple[np.uint64, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted hashes `held`, -1 if it is not there. Looks at the first hash with the key's leading bits, then at
+    the next ones for the keys that are still open."""
+    if not len(held):
+        return np.full(len(keys), -1, np.int64)
+    shift, starts = index
+    pattern = (keys >> shift).view(np.int64)
+    place = starts.take(pattern).astype(np.int64)
+    open_ = np.flatnonzero(held.take(place, mode="clip") != keys)
+    at, end, key = place[open_] + 1, starts[pattern[open_] + 1], keys[open_]
+    place[open_] = -1
+    while len(more := np.flatnonzero(at < end)):
+        open_, at, end, key = open_[more], at[more], end[more], key[more]
+        found = held[at] == key
+        place[open_[found]] = at[found]
+        rest = np.flatnonzero(~found)
+        open_, at, end, key = open_[rest], at[rest] + 1, end[rest], key[rest]
+    return place
+
+
 @F.pandas_udf(T.LongType())
 def _gram_key(lang: pd.Series, gram: pd.Series) -> pd.Series:
     out = np.zeros(len(gram), dtype=np.uint64)
@@ -229,37 +273,47 @@ def seen_grams(table: DataFrame, order: int = ORDER) -> DataFrame:
     return table.filter(F.col("k") == order)
 
 
-def _find(model, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def indexed(model) -> dict[int, tuple[np.uint64, np.ndarray]]:
+    """The index of each array of hashes of a model; made where it is used, so that it is not sent."""
+    return {k: _index(held) for k, (held, _) in model.items()}
+
+
+def _find(model, index, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     held, values = model.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
     if not len(held):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-    return held[at] == keys, values[at]
+    at = _where(held, index[k], keys)
+    return at >= 0, values[at]
 
 
-def log_probs(model, points: np.ndarray, at: np.ndarray, salt: np.ndarray, order: int = ORDER) -> np.ndarray:
+def log_probs(model, index, points: np.ndarray, at: np.ndarray, salt: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Log probability of the character at each place after the order - 1 before it."""
     logp = np.zeros(len(at))
     open_ = np.arange(len(at))
     for k in range(order, 0, -1):
-        found, value = _find(model, k, _keys(points, at[open_] + 1, k, salt[open_]))
+        found, value = _find(model, index, k, _keys(points, at[open_] + 1, k, salt[open_]))
+        if len(found) == len(logp) and found.all():
+            return value.astype(np.float64)
         logp[open_[found]] += value[found]
         open_ = open_[~found]
         if not len(open_):
             return logp
-        held, weight = _find(model, -k, _keys(points, at[open_], k - 1, salt[open_]))
+        held, weight = _find(model, index, -k, _keys(points, at[open_], k - 1, salt[open_]))
         logp[open_] += np.where(held, weight, 0.0)
-    held, least = _find(model, 0, _keys(points, at[open_], 0, salt[open_]))
+    held, least = _find(model, index, 0, _keys(points, at[open_], 0, salt[open_]))
     logp[open_] += np.where(held, least, 0.0)
     return logp
 
 
-def text_scores(model, langs: list[str], texts: list[str | None], order: int = ORDER) -> list[float | None]:
-    """Log probability of each text's stream; None without words."""
+def text_scores(model, langs: list[str], texts: list[str | None], order: int = ORDER, index=None) -> list[float | None]:
+    """Log probability of each text's stream; None without words. `index`: that of the model, made here if it isn't given."""
+    index = indexed(model) if index is None else index
     streams = [stream(t, order) for t in texts]
     total = np.zeros(len(texts))
-    for _, points, at, owner, salt in _batches(streams, [_lang_salt(x) for x in langs], order):
-        total += np.bincount(owner, weights=log_probs(model, points, at, salt, order), minlength=len(texts))
+    for _, points, at, owner, salt in _batches(streams, [_lang_salt(x) for x in langs], order, min(BATCH, PIECE)):
+        if len(at):
+            scores = np.bincount(owner - owner[0], weights=log_probs(model, index, points, at, salt, order))
+            total[owner[0] : owner[0] + len(scores)] += scores
     return [x if s else None for x, s in zip(total.tolist(), streams)]
 
 
@@ -308,9 +362,11 @@ def _scored(model, order: int):
 
     def run(batches):
         worker_store("n-gram counts", dict)  # as above; the model itself is the broadcast's
+        index = None
         for part, texts in text_groups(batches):
+            index = indexed(model.value) if index is None else index
             counts = [base_counts(t) for t in texts]
-            logs = text_scores(model.value, part.column("lang").to_pylist(), texts, order)
+            logs = text_scores(model.value, part.column("lang").to_pylist(), texts, order, index)
             nll = [None if x is None else -x / (c[1] + c[0]) for x, c in zip(logs, counts)]
             columns = [*zip(*counts), [base_failed(c[0], c[4]) for c in counts], nll]
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds)]

@@ -169,3 +169,29 @@ def test_copies_count_once_in_a_table_of_any_size(spark, docs):
         return sorted(map(tuple, P.gram_counts(spark.createDataFrame(rows, docs.schema)).filter("lang IN ('=en', '=de')").collect()))
 
     assert counts(few) == counts(few + more) == counts(few[1:])
+
+
+def test_hashes_are_found_by_their_leading_bits():
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    for held in ([], [0], [2**64 - 1], [7, 8, 9, 2**63], rnd.integers(0, 2**64, 5000, dtype=np.uint64), rnd.integers(0, 1000, 300, dtype=np.uint64)):
+        held = np.unique(np.array(held, dtype=np.uint64))  # the last ones all begin alike
+        asked = np.concatenate([held, held + np.uint64(1), rnd.integers(0, 2**64, 1000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        spots = {int(x): i for i, x in enumerate(held)}
+        assert P._where(held, P._index(held), asked).tolist() == [spots.get(int(x), -1) for x in asked]
+
+
+def test_grams_are_counted_whatever_is_held(docs):
+    import pyarrow as pa
+    rows = docs.limit(60).collect()
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array([r.lang or "" for r in rows]), "text": pa.array([r.text for r in rows], pa.string())})
+    want = Counter()
+    for r in rows:
+        s = plain_stream(r.text, 4)
+        want.update((r.lang or "", s[i - 4:i]) for i in range(4, len(s) + 1))
+    for held in (1, 10**6):
+        got = Counter()
+        for part in P._grams(4, held)(iter([batch.slice(0, 20), batch.slice(20)])):
+            for r in part.to_pylist():
+                got[r["lang"], r["gram"]] += r["n"]
+        assert got == want
