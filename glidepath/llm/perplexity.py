@@ -147,11 +147,13 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     context of order -k; k = 0, log probability of a character never seen.
 
     Below the highest order counts are the numbers of different characters seen before the gram. Discounts per language and order follow
-    from the counts of counts, a row per language, which is broadcast up to MOST_LANGS languages.
+    from the counts of counts, a row per language, which is broadcast up to MOST_LANGS languages. The counts of each order are written, so
+    that no query counts the orders above its own again, and the driver holds small plans.
     """
     adjusted = {order: stored(grams, "grams")}
     for k in range(order - 1, 0, -1):
-        adjusted[k] = adjusted[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts = adjusted[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        adjusted[k] = stored(counts, f"counts{k}")
     lower, levels, unseen = None, [], None
     for k in range(1, order + 1):
         a = adjusted[k].withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))

@@ -195,3 +195,10 @@ def test_grams_are_counted_whatever_is_held(docs):
             for r in part.to_pylist():
                 got[r["lang"], r["gram"]] += r["n"]
         assert got == want
+
+
+def test_orders_are_not_counted_again(docs, monkeypatch):
+    plans, store = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name))
+    P.kneser_ney(P.gram_counts(docs))
+    assert max(plan.count("functions=[partial_count") for name, plan in plans.items() if name.startswith("order")) == 0
