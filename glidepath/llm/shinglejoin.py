@@ -30,12 +30,6 @@ def shingles(text: str | None, known: dict[bytes, int], width: int = WIDTH) -> n
     return np.unique(mixed(rolling(h, min(width, len(h))))) if len(h) else h
 
 
-#: Of the BANDS * BAND smallest values of two sets, so many may differ in their last four bits: at similarity LEAST they differ in 22.5 +- 4.3, so
-#: this is 4.5 standard deviations off, one pair in 150,000; at 0.5 one pair in 200 passes.
-FAR = 42
-_NIBBLES = 0x1111111111111111
-
-
 def least_values(found: np.ndarray) -> np.ndarray:
     """The smallest value of each of BANDS * BAND permutations of the hashes."""
     least = np.empty(BANDS * BAND, np.uint64)
@@ -66,29 +60,9 @@ def _mapped(make, fields: list[tuple[str, pa.DataType]]):
     return run
 
 
-def signature(least: np.ndarray) -> np.ndarray:
-    """The last four bits of each smallest value, sixteen to a number."""
-    bits = np.zeros(-(-len(least) // 16) * 16, np.uint64)
-    bits[: len(least)] = least & np.uint64(15)
-    return (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _may_be_alike(a: str, b: str) -> Column:
-    """Whether two signatures differ in FAR places at most."""
-    differing = []
-    for i in range(-(-BANDS * BAND // 16)):
-        z = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        any_bit = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
-        differing.append(F.bit_count(any_bit.bitwiseAND(F.lit(_NIBBLES))))
-    return sum(differing[1:], differing[0]) <= FAR
-
-
-def _sketch(found: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+def _sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
     node = int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
-    if not len(found):
-        return node, np.arange(BANDS, dtype=np.int64), signature(np.zeros(BANDS * BAND, np.uint64))
-    least = least_values(found)
-    return node, band_keys(least), signature(least)
+    return node, band_keys(least_values(found)) if len(found) else np.arange(BANDS, dtype=np.int64)
 
 
 def _spread(many: DataFrame, few: DataFrame, on: str, unlike: Column | None = None) -> DataFrame:
@@ -200,8 +174,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, tile_docs: int = TILE
     """doc_id, text_key and group of each row: groups are the connected components of all pairs that share a band and have similarity
     `least` or more.
 
-    Equal sets are one node. Nodes of a band bucket of FEW nodes are paired, and the pairs are checked on their whole sets; a pair whose
-    smallest values differ in more than FAR of 120 places makes no row (one in 150,000 at similarity 0.8 and fewer above). Nodes that larger
+    Equal sets are one node. Nodes of a band bucket of FEW nodes are paired, and every pair is checked on its whole sets. Nodes that larger
     buckets connect are a crowd, and all its pairs are compared on their whole sets in tiles, whether they share a band or not. A group of n
     texts so makes n rows for each `tile_docs` texts that it has, and n * n comparisons, in groups of bounded size.
 
@@ -209,10 +182,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, tile_docs: int = TILE
     case of A-Z and white space. Null doc_ids count as the largest. Repeated rows are in one group; an empty table gives none.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key"))
-    run = _mapped(_sketch, [("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
-    rows = stored(keyed.mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>, sig array<long>"), "sketches")
+    run = _mapped(_sketch, [("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    rows = stored(keyed.mapInArrow(run, "doc_id long, text_key long, node long, bands array<long>"), "sketches")
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text_key")
-    nodes = stored(rows.groupBy("node").agg(F.min(place).alias("place"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min(place).alias("place"), F.min("bands").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     members = stored(_spread(members, shared, "key"), "members")
@@ -225,11 +198,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, tile_docs: int = TILE
     links = members.filter(F.col("n") > FEW).select(F.col("first").alias("a"), F.col("node").alias("b"))
     crowds = stored(components(links).withColumnRenamed("component", "crowd"), "crowds")
     edges = _within_crowds(crowds, sets, least, tile_docs, TILE_VALUES)
-    paired = members.filter(F.col("n") <= FEW).select("key", "node").join(nodes.select("node", "sig"), "node").join(crowds, "node", "left")
-    other = paired.select("key", F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("crowd").alias("crowd_a"))
+    paired = members.filter(F.col("n") <= FEW).select("key", "node").join(crowds, "node", "left")
+    other = paired.select("key", F.col("node").alias("a"), F.col("crowd").alias("crowd_a"))
     apart = F.col("crowd").isNull() | F.col("crowd_a").isNull() | (F.col("crowd") != F.col("crowd_a"))
-    pairs = paired.withColumnRenamed("key", "_key").join(
-        other, (F.col("_key") == F.col("key")) & (F.col("a") < F.col("node")) & apart & _may_be_alike("sig", "sig_a"))
+    pairs = paired.withColumnRenamed("key", "_key").join(other, (F.col("_key") == F.col("key")) & (F.col("a") < F.col("node")) & apart)
     pairs = stored(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")

@@ -136,3 +136,20 @@ def test_forest_of_links_equals_brute_force():
                 group = [group[j] if g == group[i] else g for g in group]
             assert all(group[i] == group[j] for i, j in alike)
             assert len(set(group)) == n - len(links)
+
+
+def test_no_pair_of_a_small_bucket_is_left_out_before_its_sets_are_compared(spark):
+    """Pairs of similarity 0.5 to 0.6 that share a band are found at that bound, though most of their smallest values differ."""
+    rnd, texts = random.Random(8), []
+    for c in range(150):
+        text = [f"c{c}w{i}" for i in range(120)]
+        copy = list(text)
+        for i in (12, 36, 60, 84, 108, *([119] if c % 2 else [])):
+            copy[i] = f"n{rnd.randrange(10**9)}"
+        texts += [" ".join(text), " ".join(copy)]
+    found = [shinglejoin.shingles(t, {}) for t in texts]
+    bands = [shinglejoin.band_keys(shinglejoin.least_values(x)) for x in found]
+    near = [i for i in range(0, 300, 2) if jaccard(texts[i], texts[i + 1]) >= 0.5 and set(bands[i]) & set(bands[i + 1])]
+    assert len(near) > 30 and all(jaccard(texts[i], texts[i + 1]) < 0.7 for i in near)
+    got = {r.doc_id: r.group for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=0.5).collect()}
+    assert all(got[i] == got[i + 1] for i in near)
