@@ -203,7 +203,9 @@ def aligned(a: pa.LargeListArray, b: pa.LargeListArray, sizes: list[pa.Int64Arra
     return links, digests, n_groups
 
 
-BLOCK = ("block long, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, "
+#: A block is handed over in pieces of so many entries of each of its lists: readers and writers hold whole batches of rows, so a row is small.
+PIECE = 512
+BLOCK = ("block long, piece int, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, "
          "pair array<bigint>, hits array<bigint>, doc array<int>, code array<int>, links array<int>")
 ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -224,28 +226,30 @@ def _slice(tools: Encoders, part: pa.RecordBatch, texts: list[str | None]) -> tu
 
 
 def _block(block: int, parts: list[tuple[dict, pa.Table]]) -> pa.RecordBatch:
-    """Several slices as one row: documents, different pairs with partial counts, and each document's pairs by their place among those."""
+    """Several slices as one block: documents, different pairs with partial counts, and each document's pairs by their place among those.
+
+    A row per piece: the lists of a block are cut at the same places and go on in the next piece.
+    """
     row: dict[str, list] = {k: [x for own, _ in parts for x in own[k]] for k in parts[0][0]}
     first = np.cumsum([0] + [len(own["doc_id"]) for own, _ in parts])
     held = pa.concat_tables([pa.table({"doc": pc.add(t["doc"], int(n)).cast(pa.int32()), "pair": t["pair"], "n": t["n"]}) for (_, t), n in zip(parts, first)]).combine_chunks()
     total = held.select(["pair", "n"]).group_by("pair", use_threads=False).aggregate([("n", "sum")])
     code = pc.index_in(held["pair"], total["pair"].combine_chunks())
-    row |= {"block": [block], "pair": total["pair"], "hits": total["n_sum"], "doc": held["doc"], "code": code, "links": held["n"].cast(pa.int32())}
+    row |= {"pair": total["pair"], "hits": total["n_sum"], "doc": held["doc"], "code": code, "links": held["n"].cast(pa.int32())}
     fields = [f.split(" ", 1) for f in BLOCK.split(", ")]
     kinds = {"array<bigint>": pa.int64(), "array<int>": pa.int32(), "array<string>": pa.string()}
-    arrays = []
-    for name, kind in fields:
-        if name == "block":
-            arrays.append(pa.array([block], pa.int64()))
-            continue
+    pieces = max(1, -(-max(len(x) for x in row.values()) // PIECE))
+    arrays = [pa.array([block] * pieces, pa.int64()), pa.array(range(pieces), pa.int32())]
+    for name, kind in fields[2:]:
         flat = row[name]
         flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else pa.array(flat, kinds[kind])
-        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kinds[kind])))
+        cuts = np.minimum(np.arange(pieces + 1) * PIECE, len(flat)).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(cuts), flat.cast(kinds[kind])))
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
 def blocks(docs: DataFrame, a: str, b: str, size: int = 6 << 20, step: int = 1 << 20) -> DataFrame:
-    """`docs` encoded and aligned, about `size` bytes of text to a row; a task works on `step` bytes at a time (one document at least)."""
+    """`docs` encoded and aligned in blocks of about `size` bytes of text, a row per piece; a task works on `step` bytes at a time (one document at least)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = encoders(a, b)
         task, n, held, parts = TaskContext.get().partitionId(), 0, 0, []
@@ -264,7 +268,8 @@ def blocks(docs: DataFrame, a: str, b: str, size: int = 6 << 20, step: int = 1 <
 def _settled(key: tuple, held: pa.Table, replies: pa.Table) -> pa.Table:
     """The documents of a block, with the corpus-wide counts of their pairs added up."""
     worker_store("alignment counts", dict)  # nothing is kept; lets the encoders' store go
-    row = {c: held[c].combine_chunks().flatten() for c in held.column_names if c != "block"}
+    held = held.sort_by("piece")
+    row = {c: held[c].combine_chunks().flatten() for c in held.column_names if c not in ("block", "piece")}
     count, best = np.zeros(len(row["pair"]), np.int64), np.zeros(len(row["pair"]), np.int64)
     code = np.asarray(replies["code"])
     count[code], best[code] = np.asarray(replies["n"]), np.asarray(replies["best"]).astype(np.int64)
@@ -289,7 +294,8 @@ def alignments(docs: DataFrame, a: str, b: str, size: int = 6 << 20) -> DataFram
     block; documents do not move again, but their pairs as numbers do. A pair that every block has is one row per block.
     """
     held = stored(blocks(docs, a, b, size), "alignment")
-    asked = held.select("block", F.posexplode(F.arrays_zip("pair", "hits")).alias("code", "p")).select("block", "code", "p.pair", "p.hits")
+    asked = held.select("block", "piece", F.posexplode(F.arrays_zip("pair", "hits")).alias("at", "p"))
+    asked = asked.select("block", (F.col("piece") * PIECE + F.col("at")).alias("code"), "p.pair", "p.hits")
     counts = stored(asked.groupBy("pair").agg(F.sum("hits").alias("n")), "alignment-counts").withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
     top = counts.groupBy("b").agg(F.max("n").alias("most"))
     judged = counts.join(top, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))

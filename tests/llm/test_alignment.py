@@ -118,3 +118,12 @@ def test_empty_and_crowded(empty, edge, crowded):
     assert alignment.alignments(empty, BYTE_TOKENIZER, PIECE_MODEL).collect() == []
     more = crowded.withColumns({c: F.lit("x") for c in ["block", "code", "pair", "hits", "links", "doc", "n_a", "a", "b"]})
     assert found(alignment.alignments(more, BYTE_TOKENIZER, PIECE_MODEL)) == found(alignment.alignments(edge, BYTE_TOKENIZER, PIECE_MODEL))
+
+
+def test_a_block_is_many_small_rows(spark, docs, libraries):
+    """Readers and writers hold whole batches of rows: a row of all the pairs of a block made a task's memory grow with its input."""
+    texts = docs.select("doc_id", "text").coalesce(1)
+    made = alignment.blocks(texts, BYTE_TOKENIZER, PIECE_MODEL).select("block", *[F.size(c).alias(c) for c in ("doc_id", "pair", "code")]).collect()
+    assert sum(r["code"] for r in made) > 10_000 and len({r["block"] for r in made}) < 10
+    assert all(max(r["doc_id"], r["pair"], r["code"]) <= 1024 for r in made)
+    assert found(alignment.alignments(texts, BYTE_TOKENIZER, PIECE_MODEL)) == brute([tuple(r) for r in texts.collect()], libraries)
