@@ -11,6 +11,9 @@ from glidepath.functions.numbers import settled
 from glidepath.operators.slices import SLICE_S, interval_join, two_level
 
 SQUAWKS = list(SQUAWK_EVENTS)
+#: What the segment summary and the rules over it read of the tracks.
+REPORT_COLUMNS = ["seg_id", "icao", "callsign", "ac_type", "apt_icao", "snapshot_ts", "lat", "lon", "alt_ft", "gs_kt", "track_deg",
+                  "dist_to_apt_nm", "heading_err_deg", "is_grounded", "vrate_fpm", "squawk", "emergency"]
 
 
 def _airborne() -> Column:
@@ -274,8 +277,8 @@ def genuine_holds(irr: DataFrame, tracks: DataFrame, td: DataFrame, land_within_
                   max_same_day: int = 2) -> DataFrame:
     """Holding segments whose aircraft lands soon after and does not loiter: `seg_id`."""
     holds = irr.where(F.col("kind") == "holding").select("seg_id", "icao", F.to_date("event_ts").alias("_day"))
-    ends = (tracks.select("seg_id", "snapshot_ts").join(holds.select("seg_id"), "seg_id", "left_semi")
-            .groupBy("seg_id").agg(F.max("snapshot_ts").alias("t_end")))
+    # the ends of all segments: they combine before the shuffle, so no report moves
+    ends = tracks.groupBy("seg_id").agg(F.max("snapshot_ts").alias("t_end"))
     per_day = holds.groupBy("icao", "_day").agg(F.count(F.lit(1)).alias("same_day_holds"))
     held = holds.join(ends, "seg_id").join(per_day, ["icao", "_day"]).where(F.col("same_day_holds") <= max_same_day)
     waits = held.withColumn("_by", F.timestamp_micros(F.unix_micros("t_end") + F.lit(land_within_min * 60_000_000)))

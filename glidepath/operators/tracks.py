@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def point_features(df: DataFrame, apt_lat="apt_lat", apt_lon="apt_lon") -> DataF
     )
 
 
-def _gaps(sliced: DataFrame, key: str, ts: str, min_gap_s: int, max_gap_s: int) -> tuple[DataFrame, Window]:
+def _gaps(sliced: DataFrame, within: list[str], ts: str, min_gap_s: int, max_gap_s: int) -> tuple[DataFrame, Window]:
     """Whole-second gap to the previous report and whether it starts a new segment."""
-    in_time = Window.partitionBy(key, "_slice").orderBy(ts)
+    in_time = Window.partitionBy(*within).orderBy(ts)
     micros = F.unix_micros(F.col(ts))
     gap = F.expr(f"(unix_micros({ts}) - _prev_us) div 1000000")
     df = sliced.withColumn("_prev_us", F.lag(micros).over(in_time)).withColumn("_gap_s", gap)
@@ -54,19 +56,19 @@ def _gaps(sliced: DataFrame, key: str, ts: str, min_gap_s: int, max_gap_s: int)
     return df.withColumn("_local_start", F.max(started).over(running)), in_time
 
 
-def _slice_totals(gapped: DataFrame, key: str, ts: str, opening: DataFrame | None = None, slice_s: int = SLICE_S) -> DataFrame:
+def _slice_totals(gapped: DataFrame, key: str, within: list[str], ts: str, opening: DataFrame | None = None, slice_s: int = SLICE_S) -> DataFrame:
     """One row per (key, slice): what a segment crossing the slice borders needs to know.
 
     A slice has a head (rows before its first break, which belong to a segment of an earlier
     slice), complete segments, and a tail (its last segment, which later slices may continue).
     A segment of `opening` stands in a slice before all others, as its tail.
     """
-    local = Window.partitionBy(key, "_slice", "_local_start")
+    local = Window.partitionBy(*within, "_local_start")
     head = F.col("_local_start").isNull()
     per_slice = (
         gapped.where(~F.col("_halo"))
-        .select(key, "_slice", ts, "_local_start", F.count(F.lit(1)).over(local).alias("_n"))
-        .groupBy(key, "_slice")
+        .select(*within, ts, "_local_start", F.count(F.lit(1)).over(local).alias("_n"))
+        .groupBy(*within)
         .agg(F.max(F.when(head, F.col("_n"))).alias("_head_n"),
              F.max(F.when(head, F.col(ts))).alias("_head_end"),
              F.max("_local_start").alias("_tail_start"),
@@ -87,7 +89,7 @@ def _slice_totals(gapped: DataFrame, key: str, ts: str, opening: DataFrame | Non
         .withColumns({"_later_n": F.sum("_head_n").over(crossing), "_later_end": F.max("_head_end").over(crossing)})
         .withColumns({"_next_n": F.lead("_later_n").over(by_key), "_next_end": F.lead("_later_end").over(by_key)})
         .select(
-            key, "_slice", "_carry", "_tail_start",
+            *within, "_carry", "_tail_start",
             (F.col("_carry_n") + F.col("_later_n")).alias("_open_n"),
             F.col("_later_end").alias("_open_end"),
             (F.col("_tail_n") + F.coalesce("_next_n", F.lit(0))).alias("_tail_total"),
@@ -96,32 +98,46 @@ def _slice_totals(gapped: DataFrame, key: str, ts: str, opening: DataFrame | Non
 
 
 def _segmented(df: DataFrame, key: str, ts: str, min_gap_s: int, max_gap_s: int, slice_s: int, halo_s: int,
-               lags: dict[str, str], step: Column | None, opening: DataFrame | None = None) -> DataFrame:
+               lags: dict[str, str], step: Column | None, opening: DataFrame | None = None,
+               features: Callable[[DataFrame], DataFrame] | None = None, by_day: bool = False) -> DataFrame:
     """Rows with their segment, the lagged columns, `_gap_s`, and `_steps`: how many of the last
-    three reports of the segment satisfy `step`. Reports of `opening` come before the rows, as a halo."""
+    three reports of the segment satisfy `step`. Reports of `opening` come before the rows, as a halo.
+    `features` adds columns to the rows once they lie in their slices, so that these do not move. `by_day`
+    adds `_day`, and the rows of a task come ordered by it."""
+    if by_day and (opening is not None or 86400 % slice_s):
+        raise ValueError("tracks by day are made in full, of slices that a day is made of")
+    within = ["_day", key, "_slice"] if by_day else [key, "_slice"]
+
     def sliced(rows: DataFrame) -> DataFrame:
         out = with_halo(rows, ts, slice_s, halo_s)
+        if by_day:
+            return out.withColumn("_day", F.date_from_unix_date(F.floor(F.col("_slice") / F.lit(86400 // slice_s)).cast("int")))
         if opening is None:
             return out
         past = opening.select(key, F.explode("recent").alias("_r")).select(key, "_r.*")
         past = past.select(*[c for c in past.columns if c in rows.columns])
         return out.unionByName(with_halo(past, ts, slice_s, halo_s).withColumn("_halo", F.lit(True)), allowMissingColumns=True)
 
-    gapped, in_time = _gaps(sliced(df), key, ts, min_gap_s, max_gap_s)
-    thin, _ = _gaps(sliced(df.select(key, ts)), key, ts, min_gap_s, max_gap_s)
-    totals = _slice_totals(thin, key, ts, opening, slice_s)
+    wide = sliced(df)
+    if features is not None:
+        wide = features(wide.repartition(*within))
+    gapped, in_time = _gaps(wide, within, ts, min_gap_s, max_gap_s)
+    thin, _ = _gaps(sliced(df.select(key, ts)), within, ts, min_gap_s, max_gap_s)
+    totals = _slice_totals(thin, key, within, ts, opening, slice_s)
     same = F.col("seg_break") == 0
     rows = gapped.withColumns({n: F.lag(c).over(in_time) for n, c in lags.items()})
     rows = rows.withColumns({"_step": F.when(same & step, 1).otherwise(0) if step is not None else F.lit(0),
                              "_same": same.cast("int")})
     rows = rows.withColumns({"_same_1": F.lag("_same", 1, 0).over(in_time), "_step_1": F.lag("_step", 1, 0).over(in_time),
                              "_step_2": F.lag("_step", 2, 0).over(in_time)})
-    local = Window.partitionBy(key, "_slice", "_local_start")
+    local = Window.partitionBy(*within, "_local_start")
+    if by_day:  # the order of the files as well
+        local = local.orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.where(~F.col("_halo")).withColumns({"_n": F.count(F.lit(1)).over(local), "_end": F.max(ts).over(local)})
     head = F.col("_local_start").isNull()
     tail = F.col("_local_start") == F.col("_tail_start")
     return (
-        rows.join(totals, [key, "_slice"], "left")
+        rows.join(totals, within, "left")
         .withColumns({
             "seg_start_ts": F.coalesce("_local_start", "_carry"),
             "seg_n_reports": F.when(head, F.col("_open_n")).when(tail, F.col("_tail_total")).otherwise(F.col("_n")),
@@ -146,18 +162,23 @@ def segment(df: DataFrame, key: str = "icao", ts: str = "snapshot_ts", min_gap_s
 
 
 def enrich_tracks(silver: DataFrame, vrate_gap_s: int = 600, max_closure_kt: float = 700, inbound_err_deg: float = 70,
-                  min_gap_s: int = 1, max_gap_s: int = 180, slice_s: int = SLICE_S, opening: DataFrame | None = None) -> DataFrame:
+                  min_gap_s: int = 1, max_gap_s: int = 180, slice_s: int = SLICE_S, opening: DataFrame | None = None,
+                  features: Callable[[DataFrame], DataFrame] | None = None, by_day: bool = False) -> DataFrame:
     """Silver reports to tracks: segments plus closure, turn, vertical rate and the inbound flag.
 
     One shuffle of the full rows, on (icao, slice). A second, two-column pass finds the segments
     that cross slice borders; its result has one row per (icao, slice). `opening`, a register of
-    open segments (see `open_segments`), continues the tracks of an earlier load.
+    open segments (see `open_segments`), continues the tracks of an earlier load. `features` makes
+    the point-wise columns (`point_features`) of rows that lack them, behind that shuffle. `by_day`
+    adds `dt`, the day (UTC), and the rows of a task come in its order, ready for day folders.
     """
+    if features is not None and opening is not None:
+        raise ValueError("reports of a register hold no columns to make features from")
     lags = {"_prev_alt": "alt_ft", "_prev_dist": "dist_to_apt_nm", "_prev_track": "track_deg"}
     halo_s = max(vrate_gap_s, 3 * max_gap_s)
     closer = F.col("_prev_dist") > F.col("dist_to_apt_nm")
     df = _segmented(silver.where(F.col("has_position")), "icao", "snapshot_ts", min_gap_s, max_gap_s, slice_s, halo_s,
-                    lags, closer, opening)
+                    lags, closer, opening, features, by_day)
     same = F.col("seg_break") == 0
     gap = F.col("_gap_s")
     climb = F.when(gap.between(1, vrate_gap_s), F.try_divide(F.col("alt_ft") - F.col("_prev_alt"), gap) * 60.0)
@@ -180,7 +201,7 @@ def enrich_tracks(silver: DataFrame, vrate_gap_s: int = 600, max_closure_kt: flo
             "seg_id", "icao", "callsign", "ac_type", "apt_icao", "snapshot_ts", "lat", "lon", "alt_ft", "alt_geom_ft",
             "gs_kt", "track_deg", "sel_altitude_ft", "dist_to_apt_nm", "bearing_to_apt", "heading_err_deg",
             "is_grounded", "phase", "squawk", "emergency", "dt_s", "closure_kt", "turn_deg", "vrate_fpm", "vrate_src",
-            "turn_rate_dps", "seg_n_reports", "seg_start_ts", "seg_end_ts", "inbound_flag")
+            "turn_rate_dps", "seg_n_reports", "seg_start_ts", "seg_end_ts", "inbound_flag", *([F.col("_day").alias("dt")] if by_day else []))
     )
 
 

@@ -19,15 +19,19 @@ from pyspark.sql.types import MapType, StructType, VariantType
 from glidepath.session import fresh_path
 
 
+#: Of the files written here: a sixth smaller than Spark's default for reports, whose doubles hardly repeat.
+CODEC = "zstd"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table to the shared folder and reads it back, which cuts lineage."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Catalog:
-    """Tables under `root`. A day of a table is written as at most `files_per_day` files."""
+    """Tables under `root`. A day of a table is written as at most `files_per_day` files, unless its rows come dealt (see `replace`)."""
 
     def __init__(self, spark: SparkSession, root: str, files_per_day: int = 32):
         self.spark, self.root, self.files_per_day = spark, root.rstrip("/"), files_per_day
@@ -89,26 +93,34 @@ class Catalog:
             return self.newest_day(name)
         return self.since(name, time_col, at - timedelta(minutes=minutes))
 
-    def _write(self, df: DataFrame, name: str, mode: str, time_col: str | None, cluster_by: list[str], days: str = "static") -> None:
+    def _write(self, df: DataFrame, name: str, mode: str, time_col: str | None, cluster_by: list[str], days: str = "static", dealt: bool = False) -> None:
         """Each day goes to `files_per_day` tasks, chosen by the first cluster column (else by the
-        whole row), so a hot day is spread and a key's rows stay together."""
+        whole row), so a hot day is spread and a key's rows stay together. Rows that come dealt stay in their tasks."""
         if time_col is None:
-            (df.sortWithinPartitions(*cluster_by) if cluster_by else df).write.mode(mode).parquet(self.path(name))
+            (df.sortWithinPartitions(*cluster_by) if cluster_by else df).write.mode(mode).option("compression", CODEC).parquet(self.path(name))
             return
-        plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]  # Spark hashes no others
-        spread = F.pmod(F.xxhash64(*(cluster_by[:1] or plain)), F.lit(self.files_per_day))
-        dealt = df.withColumn("dt", F.to_date(time_col)).repartition("dt", spread).sortWithinPartitions("dt", *cluster_by)
-        dealt.write.mode(mode).option("partitionOverwriteMode", days).partitionBy("dt").parquet(self.path(name))
+        if dealt:
+            rows = df.sortWithinPartitions("dt", *cluster_by)
+        else:
+            plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]  # Spark hashes no others
+            spread = F.pmod(F.xxhash64(*(cluster_by[:1] or plain)), F.lit(self.files_per_day))
+            rows = df.withColumn("dt", F.to_date(time_col)).repartition("dt", spread).sortWithinPartitions("dt", *cluster_by)
+        rows.write.mode(mode).option("partitionOverwriteMode", days).option("compression", CODEC).partitionBy("dt").parquet(self.path(name))
 
     def _no_rows(self, schema: StructType, name: str, day: str, mode: str) -> None:
         """Writes a day folder without rows; its file holds the schema."""
         self.spark.createDataFrame([], schema).write.mode(mode).parquet(f"{self.path(name)}/dt={day}")
 
-    def replace(self, name: str, df: DataFrame, time_col: str | None = None, cluster_by: list[str] | None = None) -> None:
-        """Full rebuild. `df` must not read the table itself: Spark refuses that; write it with `stored` first."""
-        self._write(df, name, "overwrite", time_col, cluster_by or [])
+    def replace(self, name: str, df: DataFrame, time_col: str | None = None, cluster_by: list[str] | None = None, dealt: bool = False) -> None:
+        """Full rebuild. `df` must not read the table itself: Spark refuses that; write it with `stored` first.
+
+        `dealt`: `df` has its day as `dt`, and its last shuffle keeps a key's rows of a few hours together (as tracks `by_day` do). They are
+        written where they are, a file for each day in a task, which spares a shuffle and a sort of all rows; the files of a day are as many as
+        the tasks that hold it.
+        """
+        self._write(df, name, "overwrite", time_col, cluster_by or [], dealt=dealt)
         if time_col:
-            self._no_rows(df.schema, name, "__HIVE_DEFAULT_PARTITION__", "append")  # a table without rows keeps its columns
+            self._no_rows(df.drop("dt").schema if dealt else df.schema, name, "__HIVE_DEFAULT_PARTITION__", "append")  # a table without rows keeps its columns
 
     def append(self, name: str, df: DataFrame, time_col: str | None = None) -> None:
         """Adds rows; new columns widen the table."""

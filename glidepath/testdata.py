@@ -115,17 +115,29 @@ _REPORT = {
 }
 
 
+@_once
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed position reports without the point-wise features."""
+    made = spark.sql(_KINEMATICS, d=_instants(spark, sf_dir)).selectExpr(*[f"{e} AS {n}" for n, e in _REPORT.items()])
+    return made.withColumn("alt_geom_ft", F.col("alt_ft") + 50).withColumns({"apt_lat": F.lit(AIRPORT_LAT), "apt_lon": F.lit(AIRPORT_LON)})
+
+
 @_once
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver-shaped position reports: typed columns plus the point-wise features."""
-    reports = spark.sql(_KINEMATICS, d=_instants(spark, sf_dir)).selectExpr(*[f"{e} AS {n}" for n, e in _REPORT.items()])
-    reports = reports.withColumn("alt_geom_ft", F.col("alt_ft") + 50)
-    return point_features(reports.withColumns({"apt_lat": F.lit(AIRPORT_LAT), "apt_lon": F.lit(AIRPORT_LON)}))
+    return point_features(reports(spark, sf_dir))
 
 
 @_once
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_tracks(positions(spark, sf_dir))
+    """Tracks of the reports; the point-wise features are made behind the shuffle of the tracks."""
+    return enrich_tracks(reports(spark, sf_dir), features=point_features)
+
+
+@_once
+def tracks_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with `dt`, in its order within tasks."""
+    return enrich_tracks(reports(spark, sf_dir), features=point_features, by_day=True)
 
 
 @_once
@@ -148,9 +160,11 @@ def _run(ts: str):
     return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 600) * 600)
 
 
-def gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Tracks and segment summary as written tables, for work that reads them several times."""
-    rows = stored(tracks(spark, sf_dir), "tracks")
+def gold(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tracks and segment summary as written tables, for work that reads them several times. `columns`: those of the tracks that the work
+    reads, the summary included; others are neither moved nor written."""
+    rows = tracks(spark, sf_dir)
+    rows = stored(rows.select(*columns) if columns else rows, "tracks")
     return rows, stored(events.segment_summary(rows, FIELD_ELEV_FT), "segments")
 
 

@@ -40,7 +40,7 @@ def holding(spark, sf):
 
 @query("g21_irregularities", with_parts("SELECT * REPLACE (round(confidence,6) AS confidence, CAST(landed AS BIGINT) AS landed) FROM irr"))
 def irregularities(spark, sf):
-    return flat(events.irregularities(*td.gold(spark, sf)))
+    return flat(events.irregularities(*td.gold(spark, sf, events.REPORT_COLUMNS)))
 
 
 @query("a01_congestion", with_parts("SELECT * FROM cong"))

@@ -88,12 +88,13 @@ WHERE t.dist_to_apt_nm BETWEEN 20 AND 60 AND t.gs_kt>60 AND t.alt_ft IS NOT NULL
 
 @query("g23_genuine_holds_dense", dense_sql(with_parts("SELECT seg_id FROM genuine")))
 def genuine(spark, sf):
-    rows, segments = td.gold(spark, sf + td.DENSE)
+    rows, segments = td.gold(spark, sf + td.DENSE, events.REPORT_COLUMNS)
     return flat(events.genuine_holds(events.irregularities(rows, segments), rows, decade_landings(segments), max_same_day=SAME_DAY))
 
 
 def hold_rows(spark, sf):
-    rows, segments = td.gold(spark, sf + td.DENSE)
+    more = ["bearing_to_apt", "closure_kt", "turn_rate_dps", "inbound_flag"]  # of the model and the inbound count
+    rows, segments = td.gold(spark, sf + td.DENSE, events.REPORT_COLUMNS + more)
     held = stored(events.genuine_holds(events.irregularities(rows, segments), rows, decade_landings(segments), max_same_day=SAME_DAY), "held")
     # written first, so that the joins know the size of both small sides before they move any report
     inbound = stored(traffic.common_ring_inbound(traffic.congestion(rows)), "inbound")
@@ -184,7 +185,7 @@ def sketched_drift(spark, sf):
 def live_tables(spark, sf):
     """Tracks, congestion, predictions and flags of the dense reports, in day folders."""
     cat = Catalog(spark, fresh_path(spark, "live"))
-    cat.replace("tracks", td.tracks(spark, sf + td.DENSE), "snapshot_ts", ["icao", "snapshot_ts"])
+    cat.replace("tracks", td.tracks_by_day(spark, sf + td.DENSE), "snapshot_ts", dealt=True)
     tracks = cat.read("tracks")
     cat.replace("congestion", traffic.congestion(tracks), "minute_ts")
     cat.append("predictions", td.predictions_of(tracks), "scored_at")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from glidepath import testdata
 from glidepath.operators import slices
-from glidepath.operators.tracks import carried_on, enrich_tracks, incremental_tracks, open_segments, segment
+from glidepath.operators.tracks import carried_on, enrich_tracks, incremental_tracks, open_segments, point_features, segment
+from glidepath.session import fresh_path
+from glidepath.sources.catalog import Catalog
 
 
 @pytest.mark.parametrize("gap,breaks", [(0.5, True), (1, False), (180, False), (180.9, False), (181, True)])
@@ -54,6 +56,41 @@ def test_segments_across_slices_match_a_loop(spark, seed):
         assert {(r.icao, r.t): (r.a, r.seg_n_reports, r.b) for r in got} == want
 
 
+def moved(df):
+    """The columns of each shuffle of the plan that runs."""
+    import re
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [set(re.findall(r"(\w+)#", block)) for block in re.findall(r"Exchange hashpartitioning[^\n]*\n[^\n]*?Project \[([^\n]*)\]", plan)]
+
+
+def test_point_features_are_made_behind_the_shuffle(spark, sf_dir):
+    """The same tracks, of reports with a null time and a null key as well, without moving what each report tells by itself."""
+    reports = testdata.reports(spark, sf_dir + testdata.DENSE)
+    odd = reports.limit(1)
+    reports = reports.unionByName(odd.withColumn("snapshot_ts", F.lit(None).cast("timestamp"))).unionByName(odd.withColumn("icao", F.lit(None).cast("string")))
+    before = enrich_tracks(point_features(reports))
+    for made in (enrich_tracks(reports, features=point_features), enrich_tracks(reports, features=point_features, by_day=True).drop("dt")):
+        assert collected(made, *before.columns) == collected(before, *before.columns)
+        full = [c for c in moved(made) if "lat" in c]
+        assert full and not any({"dist_to_apt_nm", "bearing_to_apt", "heading_err_deg", "phase"} & c for c in full)
+
+
+def test_tracks_by_day_are_written_where_they_are(spark, sf_dir):
+    """Day folders with the rows of a rebuild, sorted in each file by aircraft and time, without dealing or sorting the rows once more."""
+    cat = Catalog(spark, fresh_path(spark, "by-day"))
+    rows = testdata.tracks_by_day(spark, sf_dir + testdata.DENSE)
+    cat.replace("dealt", rows, dealt=True, time_col="snapshot_ts")
+    cat.replace("again", testdata.tracks(spark, sf_dir + testdata.DENSE), "snapshot_ts", ["icao", "snapshot_ts"])
+    assert cat.days("dealt") == cat.days("again") and cat.read("dealt").schema == cat.read("again").schema
+    both = [cat._days(t).groupBy("dt").agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cat.read(t).columns).cast("decimal(38,0)"))).collect() for t in ("dealt", "again")]
+    assert sorted(both[0]) == sorted(both[1]) and len(both[0]) == 3
+    for file in cat._days("dealt").inputFiles():
+        at = [tuple(r) for r in spark.read.parquet(file).select("icao", "snapshot_ts").coalesce(1).collect()]
+        assert at == sorted(at)
+    sorted_by_day = rows.sortWithinPartitions("dt")
+    assert sorted_by_day._jdf.queryExecution().executedPlan().toString().count("Sort [dt#") == 0
+
+
 def test_tracks_do_not_depend_on_the_slice(spark, sf_dir):
     reports = testdata.positions(spark, sf_dir)
     columns = ["icao", "snapshot_ts", "seg_id", "dt_s", "closure_kt", "turn_deg", "vrate_fpm", "inbound_flag", "seg_n_reports", "seg_end_ts"]
